@@ -1,11 +1,23 @@
-"""Reductions over score vectors held as arrays."""
+"""Reductions over score vectors held as arrays, and naming of intermediate values."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row, however often the body uses it.
+
+    Spark copies an expression wherever a name for it is used when it merges projections or moves a
+    filter below them; nested guards would then grow without bound. A lambda's variable is never
+    replaced by its expression.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def row_max(values: Column) -> Column:
     """Largest entry."""
     return F.array_max(values)

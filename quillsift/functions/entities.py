@@ -12,6 +12,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillsift.functions.arrays import let
+
 # What may follow an ampersand: decimal, hexadecimal or named reference.
 _REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 _REPLACEMENT = "�"
@@ -90,21 +92,21 @@ def _code_point(token: Column) -> Column:
     )
 
 
-def html_unescape(text: Column) -> Column:
-    """Decode all HTML 5 character references once. Give it a stored column, it is used thrice."""
+def _unescape(text: Column) -> Column:
     parts = F.split(text, "&", -1)
-    # Nested transforms name the intermediate values, so that each is worked out once per reference.
-    tokens = F.transform(
-        F.slice(parts, F.lit(2), F.size(parts)),
-        lambda part: F.struct(part.alias("part"), F.regexp_extract(part, _REFERENCE, 1).alias("token")),
-    )
-    coded = F.transform(
-        tokens, lambda t: F.struct(t["part"].alias("part"), t["token"].alias("token"), _code_point(t["token"]).alias("code"))
-    )
     decoded = F.transform(
-        coded,
-        lambda t: F.concat(
-            _decoded(t["token"], t["code"]), F.substr(t["part"], F.char_length(t["token"]) + 1)
-        ),
+        F.slice(parts, F.lit(2), F.size(parts)),
+        lambda part: let(F.regexp_extract(part, _REFERENCE, 1), lambda token: _part(part, token)),
     )
-    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(decoded, ""))).otherwise(text)
+    return F.concat(parts[0], F.array_join(decoded, ""))
+
+
+def _part(part: Column, token: Column) -> Column:
+    """Text after one ampersand, its reference decoded."""
+    char = let(_code_point(token), lambda code: _decoded(token, code))
+    return F.concat(char, F.substr(part, F.char_length(token) + 1))
+
+
+def html_unescape(text: Column) -> Column:
+    """Decode all HTML 5 character references once."""
+    return let(text, lambda t: F.when(t.contains("&"), _unescape(t)).otherwise(t))

@@ -1,10 +1,13 @@
-"""Text cleaning as column expressions. Each step is one function; ``add_clean_text`` runs them all."""
+"""Text cleaning as column expressions. Each step is one function; ``clean_text`` runs them all."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.functions.arrays import let
 from quillsift.functions.columns import full_text
 from quillsift.functions.entities import html_unescape
 
@@ -96,42 +99,24 @@ def squeeze_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
-def add_full_text(df: DataFrame, output: str = "full_text") -> DataFrame:
-    return df.withColumn(output, full_text())
+def _where(condition: Callable[[Column], Column], step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A step that is skipped where the text has nothing for it."""
+    return lambda text: let(text, lambda t: F.when(condition(t), step(t)).otherwise(t))
 
 
-def add_clean_text(df: DataFrame, source: str = "full_text", output: str = "clean_text") -> DataFrame:
-    """The whole cleaning chain over a column.
+def clean_text(text: Column) -> Column:
+    """The whole cleaning chain. Most texts lack some of the characters, so steps are guarded."""
+    step = F.lower(html_unescape(text_null_to_empty(text)))
+    step = _where(lambda t: t.contains("'"), lambda t: strip_possessive(expand_suffix(expand_special(t))))(step)
+    step = _where(lambda t: t.contains("http") | t.contains("www."), strip_urls)(step)
+    step = _where(lambda t: t.contains("<"), strip_tags)(step)
+    # Blanking punctuation and then collapsing spaces equals collapsing all that is not a-z 0-9.
+    return F.trim(F.regexp_replace(step, "[^a-z0-9]+", " "))
 
-    Steps that need a certain character are skipped where the text has none. The steps are separate
-    projections because a guarded value is used more than once; Spark keeps them apart for that
-    reason and compiles them into one stage.
-    """
-    step = F.col("_step")
-    return (
-        df.withColumn("_step", text_null_to_empty(F.col(source)))
-        .withColumn("_step", F.lower(html_unescape(step)))
-        .withColumn(
-            "_step",
-            F.when(step.contains("'"), strip_possessive(expand_suffix(expand_special(step)))).otherwise(step),
-        )
-        .withColumn("_step", F.when(step.contains("http") | step.contains("www."), strip_urls(step)).otherwise(step))
-        .withColumn("_step", F.when(step.contains("<"), strip_tags(step)).otherwise(step))
-        # Blanking punctuation and then collapsing spaces equals collapsing all that is not a-z 0-9.
-        .withColumn(output, F.trim(F.regexp_replace(step, "[^a-z0-9]+", " ")))
-        .drop("_step")
-    )
 
-
-def add_light_clean(df: DataFrame, source: str = "full_text", output: str = "light_text") -> DataFrame:
+def light_clean(text: Column) -> Column:
     """Decode, strip tags and squeeze spaces; case and punctuation stay."""
-    step = F.col("_step")
-    return (
-        df.withColumn("_step", text_null_to_empty(F.col(source)))
-        .withColumn("_step", html_unescape(step))
-        .withColumn(output, squeeze_space(strip_tags(step)))
-        .drop("_step")
-    )
+    return squeeze_space(strip_tags(html_unescape(text_null_to_empty(text))))
 
 
 def words(text: Column) -> Column:
@@ -157,17 +142,21 @@ def without(tokens: Column, stop_words: list[str]) -> Column:
     return F.filter(tokens, lambda w: ~w.isin(*stop_words))
 
 
-def bigrams(tokens: Column) -> Column:
-    """Neighbouring words joined by a space. Give it a stored column, it is used often."""
+def _pairs(tokens: Column) -> Column:
     pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
     return F.zip_with(
         F.slice(tokens, F.lit(1), pairs), F.slice(tokens, F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b)
     )
 
 
+def bigrams(tokens: Column) -> Column:
+    """Neighbouring words joined by a space."""
+    return let(tokens, _pairs)
+
+
 def terms(tokens: Column) -> Column:
     """Words and bigrams."""
-    return F.concat(tokens, bigrams(tokens))
+    return let(tokens, lambda t: F.concat(t, _pairs(t)))
 
 
 def truncate_tokens(tokens: Column, limit: int = 128) -> Column:
@@ -176,5 +165,5 @@ def truncate_tokens(tokens: Column, limit: int = 128) -> Column:
 
 def add_clean_columns(df: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """``full_text``, ``clean_text`` and ``clean_text_no_stopwords``."""
-    cleaned = add_clean_text(add_full_text(df))
+    cleaned = df.withColumn("full_text", full_text()).withColumn("clean_text", clean_text(F.col("full_text")))
     return cleaned.withColumn("clean_text_no_stopwords", remove_stopwords(F.col("clean_text"), stop_words))

@@ -86,8 +86,10 @@ def clean_dataset_counts(df: DataFrame, minimum: int = MIN_TEXT_LENGTH) -> DataF
 
 def value_counts(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """Distinct non-null values with their counts."""
-    valued = df.select(*by, value.cast("double").alias("value")).filter("value IS NOT NULL")
-    return valued.groupBy(*by, "value").agg(F.count("*").alias("n"))
+    valued = df.select(*by, value.cast("double").alias("value"))
+    # A filter on the count stays above the aggregate; one on the value would move below it and work
+    # the value out twice.
+    return valued.groupBy(*by, "value").agg(F.count("value").alias("n")).filter("n > 0")
 
 
 def _join_groups(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

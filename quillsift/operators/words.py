@@ -33,8 +33,8 @@ def top_words_by_class(
 
 def _bigram_counts(df: DataFrame, column: str, stop_words: list[str], by: list[str]) -> DataFrame:
     """Stop words go before pairing, so a pair may bridge one."""
-    kept = df.select(*by, without(tokenize_words(F.col(column)), stop_words).alias("_tokens"))
-    return _counted(kept, bigrams(F.col("_tokens")), "bigram", by)
+    kept = without(tokenize_words(F.col(column)), stop_words)
+    return _counted(df, bigrams(kept), "bigram", by)
 
 
 def bigram_counts(

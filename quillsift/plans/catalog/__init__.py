@@ -1,0 +1,3 @@
+"""Importing this package registers every query."""
+
+from quillsift.plans.catalog import quality, tables, tallies, text  # noqa: F401

@@ -32,7 +32,7 @@ def with_views(sql: str) -> str:
 
     def visit(text: str) -> None:
         for name, body in _VIEWS.items():
-            if name in needed or not _mentions(text, name):
+            if name in needed or body is text or not _mentions(text, name):
                 continue
             visit(body)
             if name not in needed:
