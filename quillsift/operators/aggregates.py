@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions.columns import LABELS
-from quillsift.operators.quality import exact_percentiles, value_counts
+from quillsift.operators.quality import percentiles_of_counts, value_counts
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -126,10 +126,11 @@ def topic_trend_in_group(df: DataFrame, topics: list[str], month: str = "year_mo
 def length_boxstats(df: DataFrame, value: str = "clean_text_length", group: str = "sentiment_label") -> DataFrame:
     """Quartiles and whiskers (farthest values within 1.5 quartile ranges) per group."""
     known = df.filter(F.col(group).isNotNull())
-    box = exact_percentiles(known, F.col(value), [0.25, 0.5, 0.75], ["q1", "median", "q3"], [group])
+    counted = value_counts(known, F.col(value), [group])
+    box = percentiles_of_counts(counted, [0.25, 0.5, 0.75], ["q1", "median", "q3"], [group])
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    within = value_counts(known, F.col(value), [group]).join(box, group).filter(inside)
+    within = counted.join(box, group).filter(inside)
     return within.groupBy(group, "q1", "median", "q3").agg(
         F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high")
     )

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
@@ -85,6 +88,14 @@ def _weight_total(df: DataFrame, weight: str) -> float:
     return df.agg(F.sum(weight)).head()[0]
 
 
+def _in_parallel(tasks: list[Callable], parallelism: int) -> list:
+    """Results of independent fits, several of which may run at once."""
+    if parallelism <= 1:
+        return [task() for task in tasks]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(task)) for task in tasks]]
+
+
 def train_logreg(df: DataFrame, c: float = 1.0, max_iter: int = 1000, features: str = "features") -> PipelineModel:
     """Multinomial logistic regression with balanced classes.
 
@@ -102,14 +113,25 @@ def train_logreg(df: DataFrame, c: float = 1.0, max_iter: int = 1000, features:
     return PipelineModel([model])
 
 
-def _fit_margins(df: DataFrame, c: float, max_iter: int, features: str, prefix: str) -> list:
+def _one_against_rest(df: DataFrame, weights: dict[float, float], k: int) -> DataFrame:
+    """Class ``k`` as 1 with the weight of the class, all others as 0 with weight 1."""
+    mine = F.col("label") == k
+    return df.withColumn("_is", mine.cast("double")).withColumn(
+        "_w", F.when(mine, weights.get(float(k), 1.0)).otherwise(1.0)
+    )
+
+
+def _weights(df: DataFrame) -> dict[float, float]:
+    """Weight of each class: as many numbers as there are classes."""
+    return {row["label"]: row["weight"] for row in class_weights(df, "label").collect()}
+
+
+def _fit_margins(df: DataFrame, c: float, max_iter: int, features: str, prefix: str, parallelism: int) -> list:
     """One linear SVM per class against the rest; rows of the class carry the class weight."""
-    weights = {row[0]: row["weight"] for row in class_weights(df, "label").collect()}
-    models = []
-    for k in range(CLASSES):
-        binary = df.withColumn("_is", (F.col("label") == k).cast("double")).withColumn(
-            "_w", F.when(F.col("_is") == 1.0, weights.get(float(k), 1.0)).otherwise(1.0)
-        )
+    weights = _weights(df)
+
+    def fit(k: int):
+        binary = _one_against_rest(df.select("label", features), weights, k)
         svm = LinearSVC(
             featuresCol=features,
             labelCol="_is",
@@ -120,8 +142,9 @@ def _fit_margins(df: DataFrame, c: float, max_iter: int, features: str, prefix:
             rawPredictionCol=f"{prefix}{k}",
             predictionCol=f"{prefix}{k}_p",
         )
-        models.append(svm.fit(binary))
-    return models
+        return svm.fit(binary)
+
+    return _in_parallel([partial(fit, k) for k in range(CLASSES)], parallelism)
 
 
 class DropColumns(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -134,9 +157,11 @@ class DropColumns(Transformer, HasInputCols, DefaultParamsReadable, DefaultParam
         return dataset.drop(*self.getInputCols())
 
 
-def train_linear_svc(df: DataFrame, c: float = 1.0, max_iter: int = 100, features: str = "features") -> PipelineModel:
+def train_linear_svc(
+    df: DataFrame, c: float = 1.0, max_iter: int = 100, features: str = "features", parallelism: int = CLASSES
+) -> PipelineModel:
     """Linear SVM, one against the rest; the largest margin gives the class."""
-    models = _fit_margins(df, c, max_iter, features, "_margin")
+    models = _fit_margins(df, c, max_iter, features, "_margin", parallelism)
     raw = [f"_margin{k}" for k in range(CLASSES)]
     return PipelineModel([*models, ArgmaxScores(inputCols=raw), DropColumns(inputCols=[f"{r}_p" for r in raw])])
 
@@ -161,28 +186,44 @@ def _fit_sigmoid(df: DataFrame, margin: str, is_class: Column) -> tuple[float, f
 
 
 def calibrate_sigmoid(
-    df: DataFrame, fold: str = "fold", folds: int = 3, c: float = 1.0, max_iter: int = 100, features: str = "features"
+    df: DataFrame,
+    fold: str = "fold",
+    folds: int = 3,
+    c: float = 1.0,
+    max_iter: int = 100,
+    features: str = "features",
+    parallelism: int = 3,
 ) -> PipelineModel:
     """Linear SVMs fitted without each fold and calibrated on it; scores average over the folds.
 
     The class is the largest mean probability, which need not be the largest margin.
     """
-    models, raw, slopes, offsets = [], [], [], []
-    for f in range(folds):
-        fitted = _fit_margins(df.filter(F.col(fold) != f), c, max_iter, features, f"_margin{f}_")
-        held = PipelineModel(fitted).transform(df.filter(F.col(fold) == f))
-        for k in range(CLASSES):
-            slope, offset = _fit_sigmoid(held, f"_margin{f}_{k}", F.col("label") == k)
-            raw.append(f"_margin{f}_{k}")
-            slopes.append(slope)
-            offsets.append(offset)
-        models += fitted
-    join = MeanSigmoid(inputCols=raw, slopes=slopes, offsets=offsets)
+
+    def fit(f: int) -> tuple[list, list[tuple[float, float]]]:
+        fitted = _fit_margins(df.filter(F.col(fold) != f), c, max_iter, features, f"_margin{f}_", parallelism)
+        raw = [f"_margin{f}_{k}" for k in range(CLASSES)]
+        held = PipelineModel(fitted).transform(df.filter(F.col(fold) == f)).select("label", *raw).persist()
+        tasks = [partial(_fit_sigmoid, held, raw[k], F.col("label") == k) for k in range(CLASSES)]
+        sigmoids = _in_parallel(tasks, parallelism)
+        held.unpersist()
+        return fitted, sigmoids
+
+    by_fold = _in_parallel([partial(fit, f) for f in range(folds)], parallelism)
+    models = [model for fitted, _ in by_fold for model in fitted]
+    sigmoids = [pair for _, pairs in by_fold for pair in pairs]
+    raw = [f"_margin{f}_{k}" for f in range(folds) for k in range(CLASSES)]
+    join = MeanSigmoid(inputCols=raw, slopes=[s for s, _ in sigmoids], offsets=[o for _, o in sigmoids])
     return PipelineModel([*models, join, DropColumns(inputCols=[f"{r}_p" for r in raw])])
 
 
 def train_boosted_trees(
-    df: DataFrame, trees: int = 300, depth: int = 6, top_features: int = 500, features: str = "features", seed: int = 42
+    df: DataFrame,
+    trees: int = 300,
+    depth: int = 6,
+    top_features: int = 500,
+    features: str = "features",
+    seed: int = 42,
+    parallelism: int = CLASSES,
 ) -> PipelineModel:
     """Boosted trees, one against the rest, on the features that separate the classes best."""
     selector = UnivariateFeatureSelector(
@@ -190,13 +231,10 @@ def train_boosted_trees(
     )
     selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(top_features)
     chosen = selector.fit(df)
-    weights = {row[0]: row["weight"] for row in class_weights(df, "label").collect()}
-    selected = chosen.transform(df)
-    models = []
-    for k in range(CLASSES):
-        binary = selected.withColumn("_is", (F.col("label") == k).cast("double")).withColumn(
-            "_w", F.when(F.col("_is") == 1.0, weights.get(float(k), 1.0)).otherwise(1.0)
-        )
+    weights = _weights(df)
+    selected = chosen.transform(df).select("label", "_selected").persist()
+
+    def fit(k: int):
         trees_k = GBTClassifier(
             featuresCol="_selected",
             labelCol="_is",
@@ -204,11 +242,13 @@ def train_boosted_trees(
             maxIter=trees,
             maxDepth=depth,
             seed=seed,
-            rawPredictionCol=f"_trees{k}_raw",
-            probabilityCol=f"_trees{k}",
             predictionCol=f"_trees{k}_p",
         )
-        models.append(trees_k.fit(binary))
+        trees_k.setRawPredictionCol(f"_trees{k}_raw").setProbabilityCol(f"_trees{k}")
+        return trees_k.fit(_one_against_rest(selected, weights, k))
+
+    models = _in_parallel([partial(fit, k) for k in range(CLASSES)], parallelism)
+    selected.unpersist()
     raw = [f"_trees{k}" for k in range(CLASSES)]
     extra = [f"{r}_p" for r in raw] + [f"{r}_raw" for r in raw] + ["_selected"]
     return PipelineModel([chosen, *models, ArgmaxScores(inputCols=raw), DropColumns(inputCols=extra)])

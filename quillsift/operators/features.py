@@ -91,10 +91,13 @@ def count_features(
     max_df: float = 0.5,
     max_features: int = 10_000,
 ) -> CountVectorizerModel:
-    """Term counts over the most frequent terms; the vocabulary is bounded by ``max_features``."""
-    vectorizer = CountVectorizer(
-        inputCol=terms, outputCol=output, minDF=float(min_df), maxDF=float(max_df), vocabSize=max_features
-    )
+    """Term counts over the most frequent terms; the vocabulary is bounded by ``max_features``.
+
+    A ``max_df`` of 1.0 means all rows, for which Spark's vectorizer has no limit to set.
+    """
+    vectorizer = CountVectorizer(inputCol=terms, outputCol=output, minDF=float(min_df), vocabSize=max_features)
+    if max_df != 1.0:
+        vectorizer.setMaxDF(float(max_df))
     return vectorizer.fit(df)
 
 

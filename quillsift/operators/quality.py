@@ -99,16 +99,21 @@ def _join_groups(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def exact_percentiles(
-    df: DataFrame, value: Column, shares: list[float], names: list[str], by: list[str] | None = None, slices: int = 128
+    df: DataFrame, value: Column, shares: list[float], names: list[str], by: list[str] | None = None
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group.
+    """Exact percentiles with linear interpolation, one row per group."""
+    return percentiles_of_counts(value_counts(df, value, by or []), shares, names, by or [])
 
-    Equal values collapse to a count first. The distinct values of a group are then cut into
-    ``slices`` ranges (an approximate sketch suffices for the cuts), so that the running count that
-    locates each percentile is made by many tasks also when one group holds most rows.
+
+def percentiles_of_counts(
+    counts: DataFrame, shares: list[float], names: list[str], by: list[str], slices: int = 128
+) -> DataFrame:
+    """The same from distinct values and their counts, see ``value_counts``.
+
+    The distinct values of a group are cut into ``slices`` ranges (an approximate sketch suffices for
+    the cuts), so that the running count that locates each percentile is made by many tasks also
+    when one group holds most rows.
     """
-    by = by or []
-    counts = value_counts(df, value, by)
     grid = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*by).agg(F.percentile_approx("value", grid, 1000).alias("cuts"))
     # Without groups the cuts are one value, which Spark works out once and inlines.

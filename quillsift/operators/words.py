@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions.text import ENGLISH_STOP_WORDS, bigrams, tokenize_words, without, words
-from quillsift.operators.quality import exact_percentiles
+from quillsift.operators.quality import percentiles_of_counts, value_counts
 
 
 def _counted(df: DataFrame, items: Column, name: str, by: list[str]) -> DataFrame:
@@ -59,7 +59,9 @@ def token_length_stats(df: DataFrame, tokens: Column, limit: int = 128) -> DataF
 
     ``tokens`` is any expression that gives an array; word tokens are the usual one.
     """
-    sized = df.select(F.size(tokens).alias("_n"))
-    over = sized.agg((F.avg((F.col("_n") > limit).cast("int")) * 100).alias("pct_over"))
-    places = exact_percentiles(sized, F.col("_n"), [0.5, 0.95], ["median", "p95"])
+    counts = value_counts(df, F.size(tokens), [])
+    over = counts.agg(
+        F.try_divide(F.sum(F.when(F.col("value") > limit, F.col("n")).otherwise(0)) * 100.0, F.sum("n"))
+    )
+    places = percentiles_of_counts(counts, [0.5, 0.95], ["median", "p95"], [])
     return places.select(over.scalar().alias("pct_over"), "median", "p95")

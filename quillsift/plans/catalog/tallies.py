@@ -127,11 +127,11 @@ def _(spark, sf_dir):
 
 @query(
     "length_boxstats",
-    """WITH sized AS (SELECT sentiment_label, CAST(length(text) AS DOUBLE) AS len FROM labelled),
+    """WITH lens AS (SELECT sentiment_label, CAST(length(text) AS DOUBLE) AS len FROM labelled),
     box AS (SELECT sentiment_label, quantile_cont(len, 0.25) AS q1, quantile_cont(len, 0.5) AS median, quantile_cont(len, 0.75) AS q3
-      FROM sized GROUP BY 1)
+      FROM lens GROUP BY 1)
     SELECT sentiment_label, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-      min(len) AS whisker_low, max(len) AS whisker_high FROM sized JOIN box USING (sentiment_label)
+      min(len) AS whisker_low, max(len) AS whisker_high FROM lens JOIN box USING (sentiment_label)
     WHERE len BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) GROUP BY sentiment_label, q1, median, q3""",
 )
 def _(spark, sf_dir):
