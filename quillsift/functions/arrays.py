@@ -18,6 +18,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fenced(value: Column) -> Column:
+    """The value itself, in a form that Spark leaves in its own projection.
+
+    A batched Python function cannot take an argument that contains a lambda, which is what the
+    argument becomes when Spark merges the projection that makes it with the one that uses it. It
+    does not merge what it takes for not deterministic, such as the number of the task.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def row_max(values: Column) -> Column:
     """Largest entry."""
     return F.array_max(values)

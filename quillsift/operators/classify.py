@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.functions.arrays import row_argmax, row_max
+from quillsift.functions.arrays import fenced, row_argmax, row_max
 from quillsift.functions.columns import LABELS, label_id, label_name
 from quillsift.functions.text import truncate_tokens
 from quillsift.operators.evaluate import MacroF1
@@ -303,7 +303,7 @@ class TfidfSvc(Estimator, Params):
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         terms = Terms(inputCol="clean_text", outputCol="terms", ngrams=self.getOrDefault(self.ngrams))
-        prepared = terms.transform(dataset).select("label", "terms")
+        prepared = terms.transform(dataset).select("label", "terms").persist()
         tfidf = tfidf_features(
             prepared,
             min_df=self.getOrDefault(self.minDF),
@@ -312,6 +312,8 @@ class TfidfSvc(Estimator, Params):
             sublinear=self.getOrDefault(self.sublinear),
         )
         features = tfidf.transform(prepared).select("label", "features").persist()
+        features.count()
+        prepared.unpersist()
         svm = train_linear_svc(
             features, self.getOrDefault(self.inversePenalty), self.getOrDefault(self.maxIter)
         )
@@ -386,11 +388,13 @@ def batch_model_scoring(
     """Score texts with a pretrained model, in batches.
 
     ``make_model`` runs once per Python worker and returns a function from an array of texts to an
-    array of class probabilities, in the order of ``labels``.
+    array of class probabilities, in the order of ``labels``. The call is marked as not
+    deterministic, so that Spark does not repeat it for each use of the probabilities.
     """
     score = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     seen = first_words(F.col(text), max_tokens) if max_tokens else F.col(text)
-    scored = df.withColumn("probabilities", score(seen))
+    ready = df.withColumn("_seen", fenced(seen))
+    scored = ready.withColumn("probabilities", score.asNondeterministic()(F.col("_seen"))).drop("_seen")
     return scored.withColumns(
         {
             "predicted_label": label_name(row_argmax(F.col("probabilities")), labels),

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillsift.functions.arrays import fenced
 from quillsift.functions.text import ENGLISH_STOP_WORDS, terms, tokenize_words, without
 
 # Smallest topic, and the number of topics after merging.
@@ -33,10 +34,12 @@ def embed_texts(df: DataFrame, make_encoder, text: str = "light_text", output: s
     """Embed texts with a pretrained encoder, in batches.
 
     ``make_encoder`` runs once per Python worker and returns a function from an array of texts to an
-    array of vectors.
+    array of vectors. The call is marked as not deterministic, so that Spark neither repeats it nor
+    moves it into an expression that cannot hold a Python function.
     """
     encode = predict_batch_udf(make_encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return df.withColumn(output, encode(F.col(text)))
+    ready = df.withColumn("_text", fenced(F.col(text)))
+    return ready.withColumn(output, encode.asNondeterministic()(F.col("_text"))).drop("_text")
 
 
 def fit_hashed_embedding(df: DataFrame, tokens: str = "tokens", dimensions: int = 256, output: str = "features") -> PipelineModel:

@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from quillsift.plans.catalog import models, quality, tables, tallies, text  # noqa: F401
+from quillsift.plans.catalog import models, quality, streams, tables, tallies, text, topics  # noqa: F401

@@ -20,7 +20,7 @@ from quillsift.sources.tables import reviews, timed_reviews
 
 # Settings of these runs, for which the tables here are small; the defaults are in the operators.
 MIN_DF = 5
-ITERATIONS = 20
+ITERATIONS = 10
 
 
 def _terms(spark, sf_dir):
@@ -152,11 +152,11 @@ def _(spark, sf_dir):
     )
 
 
-def _search(spark, sf_dir):
+def _search(spark, sf_dir, draws=15):
     data = _dataset(spark, sf_dir)
     train = data.filter("split = 'train'")
     folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id")
-    return M.random_search(folded, max_iter=5), data
+    return M.random_search(folded, draws, max_iter=3), data
 
 
 @query("random_search")
@@ -167,7 +167,7 @@ def _(spark, sf_dir):
 
 @query("refit_best")
 def _(spark, sf_dir):
-    model, data = _search(spark, sf_dir)
+    model, data = _search(spark, sf_dir, draws=3)
     tested = model.bestModel.transform(data.filter("split = 'test'"))
     named = tested.select(
         F.col("sentiment_label").alias("true_label"), M.label_name(F.col("prediction")).alias("predicted_label")
