@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from quillsift.functions.arrays import fenced
 from quillsift.functions.text import ENGLISH_STOP_WORDS, terms, tokenize_words, without
+from quillsift.session import cut_lineage
 
 # Smallest topic, and the number of topics after merging.
 MIN_TOPIC_SIZE = 150
@@ -164,7 +165,8 @@ def ctfidf_words(
     stop_words: list[str] = ENGLISH_STOP_WORDS,
 ) -> DataFrame:
     """The ``n`` most distinctive words and bigrams of each topic."""
-    weights = ctfidf_weights(topic_terms(df, text, topic, stop_words), topic, min_df)
+    counts = cut_lineage(topic_terms(df, text, topic, stop_words))
+    weights = ctfidf_weights(counts, topic, min_df)
     ranks = Window.partitionBy(topic).orderBy(F.desc(F.round("weight", 9)), "term")
     ranked = weights.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= n)
     return ranked.select(topic, "rank", "term", "n", "weight")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.operators.topk import top_per_group
+
 # Confidence limit of the report, and the dashboard's default.
 REPORT_CONFIDENCE = 0.70
 DASHBOARD_CONFIDENCE = 0.90
@@ -63,31 +65,36 @@ def mean_confidence_mismatch(df: DataFrame) -> DataFrame:
 def mismatch_top(
     df: DataFrame, n: int = 15, confidence: float = DASHBOARD_CONFIDENCE, row_id: str = "review_id"
 ) -> DataFrame:
-    """The most confident rows of each kind; rows past the limit go before the shuffle."""
-    ranks = Window.partitionBy("kind").orderBy(F.desc("confidence"), row_id)
-    ranked = mismatch_high_conf(df, confidence).withColumn("rank", F.row_number().over(ranks))
+    """The most confident rows of each kind."""
+    order = [F.desc("confidence"), F.col(row_id)]
+    ranked = top_per_group(mismatch_high_conf(df, confidence), "kind", order, n, row_id=row_id)
     columns = ["rating", "predicted_label", "confidence", "title", "text", "topic_label"]
-    return ranked.filter(F.col("rank") <= n).select("kind", "rank", row_id, *columns)
+    return ranked.select("kind", "rank", row_id, *columns)
 
 
 def mismatch_threshold_sweep(df: DataFrame, low: float = 0.5, steps: int = 50, per_unit: int = 100) -> DataFrame:
     """Count of each kind for every confidence limit of the slider, in one pass.
 
     A row is placed at the highest limit it reaches, rows are counted per limit, and the counts of
-    the at most ``steps + 1`` limits are added up from the top. The limits are compared as they are
-    and not computed back from the confidence, which binary fractions would get wrong.
+    the at most ``steps + 1`` limits are added up from the top. Arithmetic gives the place only up to
+    one, as decimal steps are not exact in binary, and comparing with the limits next to it settles it.
     """
-    limits = F.array(*[F.lit(low + i / per_unit) for i in range(steps + 1)])
-    level = F.size(F.filter(limits, lambda t: t <= F.col("confidence")))
+
+    def limit(step: Column) -> Column:
+        return F.lit(low) + step.cast("double") / float(per_unit)
+
+    near = F.floor((F.col("confidence") - low) * per_unit).cast("int")
+    below = near - (limit(near) > F.col("confidence")).cast("int") + (limit(near + 1) <= F.col("confidence")).cast("int")
+    level = F.least(below, F.lit(steps))
     counted = (
         df.groupBy(level.alias("level"))
         .agg(F.count_if(_is(FIVE_NEGATIVE)).alias("five"), F.count_if(_is(ONE_POSITIVE)).alias("one"))
-        .filter(F.col("level") > 0)
+        .filter(F.col("level") >= 0)
     )
-    frame = df.sparkSession.range(1, steps + 2).select(F.col("id").cast("int").alias("level"))
+    frame = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("level"))
     above = Window.partitionBy(F.lit(1)).orderBy(F.desc("level"))
     return frame.join(counted, "level", "left").select(
-        F.get(limits, F.col("level") - 1).alias("threshold"),
+        limit(F.col("level")).alias("threshold"),
         F.coalesce(F.sum("five").over(above), F.lit(0)).alias("five_negative"),
         F.coalesce(F.sum("one").over(above), F.lit(0)).alias("one_positive"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions.columns import MIN_TEXT_LENGTH, drop_if_exists, min_length_filter
+from quillsift.session import cut_lineage
 
 
 def _per_column(df: DataFrame, count_of) -> DataFrame:
@@ -85,11 +86,11 @@ def clean_dataset_counts(df: DataFrame, minimum: int = MIN_TEXT_LENGTH) -> DataF
 
 
 def value_counts(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    """Distinct non-null values with their counts."""
+    """Distinct non-null values with their counts, written once because they are read repeatedly."""
     valued = df.select(*by, value.cast("double").alias("value"))
     # A filter on the count stays above the aggregate; one on the value would move below it and work
     # the value out twice.
-    return valued.groupBy(*by, "value").agg(F.count("value").alias("n")).filter("n > 0")
+    return cut_lineage(valued.groupBy(*by, "value").agg(F.count("value").alias("n")).filter("n > 0"))
 
 
 def _join_groups(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -4,8 +4,10 @@ Every draw orders rows by a key made from a seed and the row's id. The order is
 however the rows are spread over tasks, and a task that is run again draws the same rows.
 
 Fixed-size draws per class must not send a class to one task. The key space is cut into equal
-slices; counting rows per slice (a small table) tells which slices lie wholly inside the draw, and
-only rows inside it are shuffled, by class and slice.
+slices; counting rows per slice tells how many rows of the class come before each slice, so a rank
+needs an order only within a slice, and a draw only touches the slices it reaches. The counts are
+written as a small table: Spark then knows its size and broadcasts it if it is small, and if it is
+not, the join is on class and slice, which no class can overload.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.operators.topk import top_per_group
+from quillsift.session import cut_lineage
+
 KEY_BITS = 60
 
 
@@ -23,31 +28,24 @@ def sample_key(seed: int | str, row_id: Column | str = "review_id") -> Column:
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("bigint")
 
 
-def _same(left: str, right: str, columns: list[str]) -> list[Column]:
-    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
-
-
 def _slices(df: DataFrame, by: list[str], seed: int | str, row_id: str, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with key and slice, and per group and slice the number of rows in it and before it."""
-    keyed = df.withColumn("_key", sample_key(seed, row_id)).withColumn(
-        "_slice", F.shiftright("_key", KEY_BITS - bits).cast("int")
-    )
-    group = [F.col(c) for c in by] or [F.lit(1)]
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        keyed.groupBy(*by, "_slice")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    )
-    return keyed, sizes
-
-
-def _ranked(keyed: DataFrame, sizes: DataFrame, by: list[str], row_id: str, rank: str) -> DataFrame:
+    """Rows with key, group and slice; and per group and slice the rows in it and before it."""
+    keyed = df.withColumns(
+        {
+            # A struct is never null and compares by its parts, so rows without a class are one too.
+            "_group": F.struct(*[F.col(c) for c in by] or [F.lit(1).alias("all")]),
+            "_key": sample_key(seed, row_id),
+        }
+    ).withColumn("_slice", F.shiftright("_key", KEY_BITS - bits).cast("int"))
+    counted = cut_lineage(keyed.groupBy("_group", "_slice").agg(F.count("*").alias("_rows")))
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return keyed, counted.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+
+
+def _ranked(keyed: DataFrame, sizes: DataFrame, row_id: str, rank: str) -> DataFrame:
     """Rank from 1 within the group, for rows whose slice is listed in ``sizes``."""
-    on = [*by, "_slice"]
-    joined = keyed.alias("k").join(sizes.alias("s"), _same("k", "s", on))
-    joined = joined.drop(*[F.col(f"s.{c}") for c in on])
-    in_slice = Window.partitionBy(*on).orderBy("_key", row_id)
+    joined = keyed.join(sizes, ["_group", "_slice"])
+    in_slice = Window.partitionBy("_group", "_slice").orderBy("_key", row_id)
     return joined.withColumn(rank, F.col("_before") + F.row_number().over(in_slice))
 
 
@@ -55,9 +53,8 @@ def random_rank(
     df: DataFrame, seed: int | str, by: list[str] | None = None, rank: str = "rank", row_id: str = "review_id", bits: int = 12
 ) -> DataFrame:
     """Exact rank of every row in the random order of its group."""
-    by = by or []
-    keyed, sizes = _slices(df, by, seed, row_id, bits)
-    return _ranked(keyed, sizes, by, row_id, rank).drop("_key", "_slice", "_rows", "_before")
+    keyed, sizes = _slices(df, by or [], seed, row_id, bits)
+    return _ranked(keyed, sizes, row_id, rank).select(*df.columns, rank)
 
 
 def take_random(
@@ -65,19 +62,16 @@ def take_random(
 ) -> DataFrame:
     """The first ``quota`` rows of each group in its random order.
 
-    The quota may use the group columns and ``group_rows``, the size of the group.
+    The quota may use ``group_rows``, the size of the group.
     """
-    by = by or []
-    keyed, sizes = _slices(df, by, seed, row_id, bits)
-    group = [F.col(c) for c in by] or [F.lit(1)]
+    keyed, sizes = _slices(df, by or [], seed, row_id, bits)
     wanted = (
-        sizes.withColumn("group_rows", F.sum("_rows").over(Window.partitionBy(*group)))
+        sizes.withColumn("group_rows", F.sum("_rows").over(Window.partitionBy("_group")))
         .withColumn("_quota", quota.cast("bigint"))
         .filter("_before < _quota")
         .drop("group_rows")
     )
-    ranked = _ranked(keyed, wanted, by, row_id, "_rank")
-    return ranked.filter("_rank <= _quota").select(*df.columns)
+    return _ranked(keyed, wanted, row_id, "_rank").filter("_rank <= _quota").select(*df.columns)
 
 
 def sample_n(df: DataFrame, n: int, seed: int | str = 42, row_id: str = "review_id") -> DataFrame:
@@ -102,50 +96,42 @@ def sample_frac_per_group(
     return take_random(df.filter(F.col(group).isNotNull()), quota, seed, [group], row_id)
 
 
-def test_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame:
+def _test_quotas(sizes: DataFrame, test_size: float) -> DataFrame:
     """Test rows per class: proportional, the total rounded up, leftovers to the largest remainders.
 
     One row per class. Decimal products keep the remainders exact at any table size.
     """
-    sizes = df.groupBy(label).agg(F.count("*").cast("decimal(19,0)").alias("_n"))
     classes = Window.partitionBy(F.lit(1))
-    total = F.sum("_n").over(classes)
-    sizes = sizes.withColumn("_all", total.cast("decimal(19,0)")).withColumn(
-        "_test", F.ceil(F.col("_all") * F.lit(str(test_size)).cast("decimal(9,8)")).cast("decimal(19,0)")
-    )
-    share = (F.col("_n") * F.col("_test")).cast("decimal(38,0)")
-    floor = F.expr("CAST(_share DIV _all AS BIGINT)")
-    ranked = (
-        sizes.withColumn("_share", share)
-        .withColumn("_floor", floor)
-        .withColumn("_rest", F.col("_share") % F.col("_all"))
-        .withColumn("_missing", F.col("_test").cast("bigint") - F.sum("_floor").over(classes))
-        .withColumn("_place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_rest"), label)))
-    )
-    return ranked.select(
-        label, (F.col("_floor") + (F.col("_place") <= F.col("_missing")).cast("bigint")).alias("quota")
+    by_rest = classes.orderBy(F.desc("rest"), "_group")
+    counted = sizes.groupBy("_group").agg(F.sum("_rows").cast("decimal(19,0)").alias("n"))
+    return (
+        counted.withColumn("all", F.sum("n").over(classes).cast("decimal(19,0)"))
+        .withColumn("test", F.ceil(F.col("all") * F.lit(str(test_size)).cast("decimal(9,8)")).cast("decimal(19,0)"))
+        .withColumn("share", (F.col("n") * F.col("test")).cast("decimal(38,0)"))
+        .withColumn("floor", F.expr("CAST(share DIV all AS BIGINT)"))
+        .withColumn("rest", F.expr("share % all"))
+        .withColumn("missing", F.col("test").cast("bigint") - F.sum("floor").over(classes))
+        .withColumn("extra", (F.row_number().over(by_rest) <= F.col("missing")).cast("bigint"))
+        .select("_group", (F.col("floor") + F.col("extra")).alias("_quota"))
     )
 
 
-def persist_split(
+def stratified_split(
     df: DataFrame, label: str = "sentiment_label", test_size: float = 0.2, seed: int | str = 42, row_id: str = "review_id"
 ) -> DataFrame:
-    """Stratified split as a slim table: key, class and ``train`` or ``test``."""
-    slim = df.select(row_id, label)
-    ranked = random_rank(slim, seed, [label], "_rank", row_id)
-    quotas = test_quotas(slim, label, test_size)
-    # One row per class in the quota table.
-    flagged = ranked.alias("r").join(quotas.alias("q"), _same("r", "q", [label])).drop(F.col(f"q.{label}"))
-    side = F.when(F.col("_rank") <= F.col("quota"), "test").otherwise("train")
-    return flagged.select(row_id, label, side.alias("split"))
+    """All rows with a ``split`` column, ``train`` or ``test``, the classes in proportion in both."""
+    keyed, sizes = _slices(df, [label], seed, row_id, 12)
+    # The quotas join the slice counts and not the rows: a class that holds most rows would be one task.
+    ranked = _ranked(keyed, sizes.join(_test_quotas(sizes, test_size), "_group"), row_id, "_rank")
+    side = F.when(F.col("_rank") <= F.col("_quota"), "test").otherwise("train")
+    return ranked.select(*df.columns, side.alias("split"))
 
 
-def stratified_split(
+def persist_split(
     df: DataFrame, label: str = "sentiment_label", test_size: float = 0.2, seed: int | str = 42, row_id: str = "review_id"
 ) -> DataFrame:
-    """All rows with a ``split`` column."""
-    split = persist_split(df, label, test_size, seed, row_id).select(row_id, "split")
-    return df.join(split, row_id)
+    """The split as a slim table to store: key, class and side."""
+    return stratified_split(df.select(row_id, label), label, test_size, seed, row_id)
 
 
 def lookup_split(df: DataFrame, split: DataFrame, side: str = "test", row_id: str = "review_id") -> DataFrame:
@@ -173,19 +159,9 @@ def stratified_kfold(
 def topic_examples(
     df: DataFrame, topic: str = "topic_label", first: int = 200, n: int = 10, seed: int | str = 42, row_id: str = "review_id"
 ) -> DataFrame:
-    """Per topic, ``n`` random rows out of its first ``first`` rows by id.
-
-    Spark drops rows beyond the limit in each task before the shuffle, so a topic contributes at
-    most ``first`` rows per task however large it is.
-    """
-    early = Window.partitionBy(topic).orderBy(row_id)
+    """Per topic, ``n`` random rows out of its first ``first`` rows by id."""
+    known = df.filter(F.col(topic).isNotNull())
+    early = top_per_group(known, topic, [row_id], first, "_nth", row_id).withColumn("_key", sample_key(seed, row_id))
+    # At most ``first`` rows per topic are left.
     drawn = Window.partitionBy(topic).orderBy("_key", row_id)
-    return (
-        df.filter(F.col(topic).isNotNull())
-        .withColumn("_nth", F.row_number().over(early))
-        .filter(F.col("_nth") <= first)
-        .withColumn("_key", sample_key(seed, row_id))
-        .withColumn("_nth", F.row_number().over(drawn))
-        .filter(F.col("_nth") <= n)
-        .drop("_nth", "_key")
-    )
+    return early.withColumn("_nth", F.row_number().over(drawn)).filter(F.col("_nth") <= n).select(*df.columns)

@@ -15,7 +15,7 @@ from quillsift.plans.catalog.tables import labelled
 from quillsift.plans.catalog.text import cleaned
 from quillsift.plans.enrich import enrich_reviews, fit_topics, prepare, score_and_topic
 from quillsift.plans.registry import query, rounded, view
-from quillsift.session import cut_lineage
+from quillsift.session import cut_lineage, spread
 from quillsift.sources.tables import reviews, timed_reviews
 
 # Settings of these runs, for which the tables here are small; the defaults are in the operators.
@@ -95,9 +95,9 @@ def _(spark, sf_dir):
 
 def _dataset(spark, sf_dir):
     """Clean labelled texts with their side of the split, written once for the many passes of a fit."""
-    rows = M.add_label(prepare(timed_reviews(spark, sf_dir)))
+    rows = M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))
     rows = rows.select("review_id", "text", "full_text", "clean_text", "sentiment_label", "label")
-    return cut_lineage(stratified_split(rows))
+    return spread(cut_lineage(stratified_split(rows)), "review_id")
 
 
 def _vectors(spark, sf_dir):
@@ -196,14 +196,14 @@ def keyword_model():
       round(greatest(a, b, c)::DOUBLE / (a + b + c), 5) AS confidence FROM marks""",
 )
 def _(spark, sf_dir):
-    rows = reviews(spark, sf_dir).withColumn("full_text", full_text())
+    rows = reviews(spark, sf_dir, heavy=True).withColumn("full_text", full_text())
     scored = M.batch_model_scoring(rows, keyword_model)
     return scored.select("review_id", "predicted_label", F.round("confidence", 5).alias("confidence"))
 
 
 def _fitted(spark, sf_dir):
     """A scorer and a topic model fitted on the clean reviews."""
-    ready = cut_lineage(M.add_label(prepare(timed_reviews(spark, sf_dir))))
+    ready = spread(cut_lineage(M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))), "review_id")
     classifier = M.end_to_end_model(ready, lambda d: M.train_logreg(d, max_iter=ITERATIONS), min_df=MIN_DF)
     topics = fit_topics(ready, iterations=10)
 
@@ -228,7 +228,7 @@ def _fitted(spark, sf_dir):
 @query("score_and_topic")
 def _(spark, sf_dir):
     score, topics = _fitted(spark, sf_dir)
-    texts = reviews(spark, sf_dir).select("review_id", "text")
+    texts = reviews(spark, sf_dir, heavy=True).select("review_id", "text")
     scored = score_and_topic(texts, score, topics)
     shares = [F.col("probabilities")[i].alias(f"p_{name}") for i, name in enumerate(LABELS)]
     return scored.select("review_id", *shares, "predicted_label", "confidence", "dominant_topic", "topic_label")
@@ -237,7 +237,7 @@ def _(spark, sf_dir):
 @query("enrich_reviews")
 def _(spark, sf_dir):
     score, topics = _fitted(spark, sf_dir)
-    return enrich_reviews(timed_reviews(spark, sf_dir), score, topics)
+    return enrich_reviews(timed_reviews(spark, sf_dir, heavy=True), score, topics)
 
 
 @query(

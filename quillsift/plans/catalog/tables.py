@@ -37,8 +37,8 @@ view(
 )
 
 
-def labelled(spark, sf_dir):
-    return timed_reviews(spark, sf_dir).withColumn("sentiment_label", C.sentiment_label())
+def labelled(spark, sf_dir, heavy=False):
+    return timed_reviews(spark, sf_dir, heavy).withColumn("sentiment_label", C.sentiment_label())
 
 
 def topical(spark, sf_dir):

@@ -11,6 +11,7 @@ from quillsift.operators import words as W
 from quillsift.operators.aggregates import length_boxstats
 from quillsift.plans.catalog.tables import labelled
 from quillsift.plans.registry import query, rounded, view
+from quillsift.session import spread
 from quillsift.sources.tables import table, timed_reviews
 
 
@@ -57,8 +58,12 @@ view(
 )
 
 
+def pages(spark, sf_dir):
+    return spread(table(spark, sf_dir, "pages"), "page_id")
+
+
 def joined(spark, sf_dir):
-    return labelled(spark, sf_dir).withColumn("full_text", full_text())
+    return labelled(spark, sf_dir, heavy=True).withColumn("full_text", full_text())
 
 
 def lowered(spark, sf_dir):
@@ -66,7 +71,7 @@ def lowered(spark, sf_dir):
 
 
 def cleaned(spark, sf_dir):
-    return X.add_clean_columns(labelled(spark, sf_dir))
+    return X.add_clean_columns(labelled(spark, sf_dir, heavy=True))
 
 
 @query("text_null_to_empty", "SELECT review_id, coalesce(title, '') AS title FROM reviews")
@@ -76,7 +81,7 @@ def _(spark, sf_dir):
 
 @query("html_unescape", f"SELECT page_id, {_sub_all('html', _ENTITIES)} AS html FROM pages")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html_unescape(F.col("html")).alias("html"))
+    return pages(spark, sf_dir).select("page_id", html_unescape(F.col("html")).alias("html"))
 
 
 @query("lowercase", "SELECT review_id, low FROM lowered")
@@ -106,7 +111,7 @@ def _(spark, sf_dir):
 
 @query("strip_tags", "SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
+    return pages(spark, sf_dir).select("page_id", X.strip_tags(F.col("html")).alias("text"))
 
 
 @query("strip_punct", r"SELECT review_id, regexp_replace(low, '[^a-z0-9\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', ' ', 'g') AS text FROM lowered")
@@ -135,7 +140,7 @@ def _(spark, sf_dir):
     '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS light_text FROM pages""",
 )
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.light_clean(F.col("html")).alias("light_text"))
+    return pages(spark, sf_dir).select("page_id", X.light_clean(F.col("html")).alias("light_text"))
 
 
 @query("char_length", "SELECT review_id, CAST(length(clean_text) AS INT) AS clean_text_length FROM cleaned")

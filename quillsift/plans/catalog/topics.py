@@ -14,7 +14,7 @@ from quillsift.operators import topics as L
 from quillsift.plans.catalog.tables import topical
 from quillsift.plans.catalog.text import cleaned
 from quillsift.plans.registry import query, rounded, view
-from quillsift.session import cut_lineage
+from quillsift.session import cut_lineage, spread
 from quillsift.sources.tables import review_vectors, reviews
 
 # The run over these small tables; the default is in the operator.
@@ -24,7 +24,7 @@ LDA_ITERATIONS = 10
 def _counts(spark, sf_dir):
     """Term counts of the stop-word-free texts, and the fitted counter."""
     terms = V.Terms(inputCol="clean_text_no_stopwords", outputCol="terms").transform(cleaned(spark, sf_dir))
-    ready = cut_lineage(terms.select("review_id", "terms"))
+    ready = spread(cut_lineage(terms.select("review_id", "terms")), "review_id")
     counter = V.count_features(ready)
     return counter.transform(ready).select("review_id", "counts").persist(), counter
 
@@ -79,7 +79,7 @@ _LETTERS = "etaoinshrdluçñüé"
     SELECT review_id, round(list_sum(list_transform(v, lambda x: x)) / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-9), 3) AS total FROM counted""",
 )
 def _(spark, sf_dir):
-    rows = reviews(spark, sf_dir).select("review_id", X.light_clean(full_text()).alias("light_text"))
+    rows = reviews(spark, sf_dir, heavy=True).select("review_id", X.light_clean(full_text()).alias("light_text"))
     embedded = B.embed_texts(rows, letter_encoder)
     total = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x)
     return embedded.select("review_id", F.round(total, 3).alias("total"))
@@ -87,7 +87,8 @@ def _(spark, sf_dir):
 
 def _reduced(spark, sf_dir):
     tokens = X.tokenize_words(F.col("clean_text_no_stopwords"))
-    ready = cut_lineage(cleaned(spark, sf_dir).select("review_id", "clean_text", tokens.alias("tokens")))
+    ready = cleaned(spark, sf_dir).select("review_id", "clean_text", tokens.alias("tokens"))
+    ready = spread(cut_lineage(ready), "review_id")
     embedded = B.fit_hashed_embedding(ready).transform(ready)
     reduced = B.reduce_dims(embedded, 8)
     return reduced.select("review_id", "clean_text", vector_to_array("reduced").alias("vec"))

@@ -59,3 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table scan in at least as many tasks as there are cores, for the heavy work that follows.
+
+    A table in one small file is one task however many cores wait. Larger tables have tasks enough
+    and are left as they are. Use it on a scan: counting the tasks of a plan with shuffles runs them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 def sink_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a table and return it as read back from the path.
 
-    With partition columns the rows are first grouped by them plus a hash salt, so that a month
-    that holds a third of all rows is still written by many tasks.
+    With partition columns the rows are first brought together by them, so that a month is a few
+    files. It is a rebalancing, which splits a month that holds a third of all rows into many tasks.
     """
-    writer = df.write.mode("overwrite")
     if partition_by:
-        salted = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(32)))
-        writer = salted.write.mode("overwrite").partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsift.session import spread
+
 # Raw review records. The rating follows the language of the text, with one in seventeen turned
 # round; some titles are null and some texts carry markup, contractions and links.
 REVIEWS_SQL = """
@@ -59,14 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw reviews with ``ts_ms``."""
-    return spark.sql(REVIEWS_SQL, documents=table(spark, sf_dir, "documents"))
+def reviews(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Raw reviews with ``ts_ms``; ``heavy`` for work that needs all cores."""
+    documents = table(spark, sf_dir, "documents")
+    return spark.sql(REVIEWS_SQL, documents=spread(documents, "doc_id") if heavy else documents)
 
 
-def timed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def timed_reviews(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """Raw reviews in the core column order, with the time as a timestamp."""
-    raw = reviews(spark, sf_dir)
+    raw = reviews(spark, sf_dir, heavy)
     return raw.select(
         "review_id",
         "rating",
