@@ -17,7 +17,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,12 +88,13 @@ def _weight_total(df: DataFrame, weight: str) -> float:
     return df.agg(F.sum(weight)).head()[0]
 
 
-def _in_parallel(tasks: list[Callable], parallelism: int) -> list:
+def _in_parallel(spark: SparkSession, tasks: list[Callable], parallelism: int) -> list:
     """Results of independent fits, several of which may run at once."""
     if parallelism <= 1:
         return [task() for task in tasks]
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(parallelism) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(task)) for task in tasks]]
+        return [f.result() for f in [pool.submit(inherit(task)) for task in tasks]]
 
 
 def train_logreg(df: DataFrame, c: float = 1.0, max_iter: int = 1000, features: str = "features") -> PipelineModel:
@@ -144,7 +145,7 @@ def _fit_margins(df: DataFrame, c: float, max_iter: int, features: str, prefix:
         )
         return svm.fit(binary)
 
-    return _in_parallel([partial(fit, k) for k in range(CLASSES)], parallelism)
+    return _in_parallel(df.sparkSession, [partial(fit, k) for k in range(CLASSES)], parallelism)
 
 
 class DropColumns(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -204,11 +205,11 @@ def calibrate_sigmoid(
         raw = [f"_margin{f}_{k}" for k in range(CLASSES)]
         held = PipelineModel(fitted).transform(df.filter(F.col(fold) == f)).select("label", *raw).persist()
         tasks = [partial(_fit_sigmoid, held, raw[k], F.col("label") == k) for k in range(CLASSES)]
-        sigmoids = _in_parallel(tasks, parallelism)
+        sigmoids = _in_parallel(df.sparkSession, tasks, parallelism)
         held.unpersist()
         return fitted, sigmoids
 
-    by_fold = _in_parallel([partial(fit, f) for f in range(folds)], parallelism)
+    by_fold = _in_parallel(df.sparkSession, [partial(fit, f) for f in range(folds)], parallelism)
     models = [model for fitted, _ in by_fold for model in fitted]
     sigmoids = [pair for _, pairs in by_fold for pair in pairs]
     raw = [f"_margin{f}_{k}" for f in range(folds) for k in range(CLASSES)]
@@ -247,7 +248,7 @@ def train_boosted_trees(
         trees_k.setRawPredictionCol(f"_trees{k}_raw").setProbabilityCol(f"_trees{k}")
         return trees_k.fit(_one_against_rest(selected, weights, k))
 
-    models = _in_parallel([partial(fit, k) for k in range(CLASSES)], parallelism)
+    models = _in_parallel(df.sparkSession, [partial(fit, k) for k in range(CLASSES)], parallelism)
     selected.unpersist()
     raw = [f"_trees{k}" for k in range(CLASSES)]
     extra = [f"{r}_p" for r in raw] + [f"{r}_raw" for r in raw] + ["_selected"]

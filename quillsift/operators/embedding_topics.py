@@ -88,8 +88,13 @@ def _nearest(centres: KMeansModel, df: DataFrame, vector: str) -> DataFrame:
     return near.withColumn("_distance", _distance(doubles, F.col("_point"))).drop("_point", "_vector")
 
 
-def _linked(points: np.ndarray, dense: np.ndarray, radius: float) -> np.ndarray:
-    """Number of the group of each dense centre, where neighbours within the radius are linked."""
+def _linked(points: np.ndarray, rows: np.ndarray, min_points: int, radius: float) -> np.ndarray:
+    """Number of the group of each dense centre, -1 for the others; neighbours in reach are linked."""
+
+    def reach(i: int) -> np.ndarray:
+        return np.linalg.norm(points - points[i], axis=1) <= radius
+
+    dense = np.array([rows[reach(i)].sum() >= min_points for i in range(len(points))]) & (rows > 0)
     group = np.full(len(points), OUTLIER)
     current = 0
     for start in np.flatnonzero(dense):
@@ -98,8 +103,7 @@ def _linked(points: np.ndarray, dense: np.ndarray, radius: float) -> np.ndarray:
         frontier = [start]
         group[start] = current
         while frontier:
-            distances = np.linalg.norm(points - points[frontier.pop()], axis=1)
-            reached = np.flatnonzero(dense & (group == OUTLIER) & (distances <= radius))
+            reached = np.flatnonzero(dense & (group == OUTLIER) & reach(frontier.pop()))
             group[reached] = current
             frontier.extend(reached)
         current += 1
@@ -117,8 +121,9 @@ def density_topics(
 ) -> DensityTopics:
     """Find topics whose number follows from the data; the largest is topic 0.
 
-    A centre is dense if at least ``min_points`` rows lie within the radius of it. Topics with fewer
-    than ``min_topic_size`` rows dissolve into the outliers.
+    A centre is dense if the centres within the radius of it, itself included, have at least
+    ``min_points`` rows close to them. Topics with fewer than ``min_topic_size`` rows dissolve into
+    the outliers.
     """
     points = df.select(array_to_vector(F.col(vector)).alias("_vector")).persist()
     fitted = KMeans(k=centres, seed=seed, featuresCol="_vector", predictionCol="_centre").fit(points)
@@ -128,7 +133,7 @@ def density_topics(
     rows = np.zeros(len(fitted.clusterCenters()), dtype=np.int64)
     for row in close.collect():
         rows[row["_centre"]] = row["n"]
-    group = _linked(np.array(fitted.clusterCenters()), rows >= min_points, radius)
+    group = _linked(np.array(fitted.clusterCenters()), rows, min_points, radius)
     sizes = {g: int(rows[group == g].sum()) for g in set(group.tolist()) if g != OUTLIER}
     kept = sorted((g for g in sizes if sizes[g] >= min_topic_size), key=lambda g: (-sizes[g], g))
     number = {g: i for i, g in enumerate(kept)}

@@ -87,9 +87,9 @@ def mismatch_threshold_sweep(df: DataFrame, low: float = 0.5, steps: int = 50, p
     below = near - (limit(near) > F.col("confidence")).cast("int") + (limit(near + 1) <= F.col("confidence")).cast("int")
     level = F.least(below, F.lit(steps))
     counted = (
-        df.groupBy(level.alias("level"))
+        df.filter(F.col("confidence") >= low)
+        .groupBy(level.alias("level"))
         .agg(F.count_if(_is(FIVE_NEGATIVE)).alias("five"), F.count_if(_is(ONE_POSITIVE)).alias("one"))
-        .filter(F.col("level") >= 0)
     )
     frame = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("level"))
     above = Window.partitionBy(F.lit(1)).orderBy(F.desc("level"))
