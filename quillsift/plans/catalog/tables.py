@@ -36,6 +36,22 @@ view(
     ELSE 'Topic ' || CAST(dominant_topic AS VARCHAR) END AS topic_label FROM scored""",
 )
 
+view(
+    "stacked",
+    """SELECT 'first' AS model, review_id, true_label, predicted_label FROM scored
+    UNION ALL SELECT 'second', review_id, true_label, other_label FROM scored""",
+)
+view(
+    "compared",
+    """SELECT model, round(avg(hit), 6) AS accuracy, round(any_value(macro), 6) AS macro_f1, round(any_value(weighted), 6) AS weighted_f1
+    FROM (SELECT model, CASE WHEN true_label = predicted_label THEN 1.0::DOUBLE ELSE 0 END AS hit FROM stacked) JOIN (
+      SELECT model, avg(f1) AS macro, sum(f1 * sup) / sum(sup) AS weighted FROM (
+        SELECT model, l.class, count(*) FILTER (true_label = l.class) AS sup,
+          coalesce(2.0::DOUBLE * count(*) FILTER (true_label = l.class AND predicted_label = l.class)
+            / nullif(count(*) FILTER (true_label = l.class) + count(*) FILTER (predicted_label = l.class), 0), 0) AS f1
+        FROM stacked, (VALUES ('negative'), ('neutral'), ('positive')) l(class) GROUP BY 1, 2) GROUP BY 1) USING (model) GROUP BY 1""",
+)
+
 
 def labelled(spark, sf_dir, heavy=False):
     return timed_reviews(spark, sf_dir, heavy).withColumn("sentiment_label", C.sentiment_label())
@@ -104,12 +120,15 @@ def _(spark, sf_dir):
     return readers.scan_csv(spark, path, schema)
 
 
-@query("sink_metrics_json")
+@query("sink_metrics_json", "SELECT accuracy AS test_accuracy, macro_f1 AS test_macro_f1, weighted_f1 AS test_weighted_f1 FROM compared WHERE model = 'first'")
 def _(spark, sf_dir):
-    return sinks.sink_metrics_json(nested_report(scored_reviews(spark, sf_dir)), scratch_path(spark, "metrics"))
+    lines = sinks.sink_metrics_json(nested_report(scored_reviews(spark, sf_dir)), scratch_path(spark, "metrics"))
+    summary = ["test_accuracy", "test_macro_f1", "test_weighted_f1"]
+    values = [F.round(F.get_json_object("value", f"$.{name}").cast("double"), 6).alias(name) for name in summary]
+    return lines.select(*values)
 
 
-@query("model_store")
+@query("model_store", r"SELECT review_id, CAST(len(string_split_regex(rtrim(lower(coalesce(text, '')), E' \t\n\r'), '\s')) AS INT) AS words FROM reviews")
 def _(spark, sf_dir):
     texts = reviews(spark, sf_dir).select("review_id", F.coalesce("text", F.lit("")).alias("text"))
     path = scratch_path(spark, "model")

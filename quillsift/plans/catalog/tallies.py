@@ -279,23 +279,6 @@ def _(spark, sf_dir):
     return rounded(E.classification_report(_judged(spark, sf_dir)), "precision", "recall", "f1")
 
 
-view(
-    "stacked",
-    """SELECT 'first' AS model, review_id, true_label, predicted_label FROM scored
-    UNION ALL SELECT 'second', review_id, true_label, other_label FROM scored""",
-)
-view(
-    "compared",
-    """SELECT model, round(avg(hit), 6) AS accuracy, round(any_value(macro), 6) AS macro_f1, round(any_value(weighted), 6) AS weighted_f1
-    FROM (SELECT model, CASE WHEN true_label = predicted_label THEN 1.0::DOUBLE ELSE 0 END AS hit FROM stacked) JOIN (
-      SELECT model, avg(f1) AS macro, sum(f1 * sup) / sum(sup) AS weighted FROM (
-        SELECT model, l.class, count(*) FILTER (true_label = l.class) AS sup,
-          coalesce(2.0::DOUBLE * count(*) FILTER (true_label = l.class AND predicted_label = l.class)
-            / nullif(count(*) FILTER (true_label = l.class) + count(*) FILTER (predicted_label = l.class), 0), 0) AS f1
-        FROM stacked, (VALUES ('negative'), ('neutral'), ('positive')) l(class) GROUP BY 1, 2) GROUP BY 1) USING (model) GROUP BY 1""",
-)
-
-
 def _stacked(spark, sf_dir):
     scored = scored_reviews(spark, sf_dir)
     first = scored.select(F.lit("first").alias("model"), "review_id", "true_label", "predicted_label")

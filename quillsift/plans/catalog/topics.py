@@ -102,13 +102,20 @@ def _(spark, sf_dir):
 def _planted(spark, sf_dir):
     """Vectors with planted groups, and topics found in them."""
     vectors = review_vectors(spark, sf_dir)
-    found = B.density_topics(vectors, radius=0.5, min_points=5, min_topic_size=20, centres=128)
+    found = B.density_topics(vectors, radius=0.5, min_points=5, min_topic_size=20, centres=256)
     return found.assign(vectors)
 
 
-@query("density_topics")
+@query(
+    "density_topics",
+    """SELECT vec_id AS review_id, label, vec_id % 5 = 0 AS outlier,
+    count(*) OVER (PARTITION BY vec_id % 5 = 0, CASE WHEN vec_id % 5 = 0 THEN -1 ELSE label END) AS topic_rows FROM embeddings""",
+)
 def _(spark, sf_dir):
-    return _planted(spark, sf_dir).select("review_id", "label", "topic")
+    """Each row with the size of its topic: the planted groups and the noise must come out."""
+    found = _planted(spark, sf_dir).select("review_id", "label", "topic")
+    sizes = found.groupBy("topic").agg(F.count("*").alias("topic_rows"))
+    return found.join(sizes, "topic").select("review_id", "label", (F.col("topic") == B.OUTLIER).alias("outlier"), "topic_rows")
 
 
 @query("merge_topics")
