@@ -255,18 +255,24 @@ def train_boosted_trees(
     return PipelineModel([chosen, *models, ArgmaxScores(inputCols=raw), DropColumns(inputCols=extra)])
 
 
-def end_to_end_model(df: DataFrame, train, text: str = "full_text", **feature_options) -> PipelineModel:
-    """Raw text to class as one model that can be stored: clean, terms, tf-idf, classifier.
+def end_to_end_model(
+    df: DataFrame, train, text: str = "full_text", cleaned: bool = False, **feature_options
+) -> PipelineModel:
+    """Text to class as one model that can be stored: clean, terms, tf-idf, classifier.
 
-    ``train`` takes a frame with ``label`` and ``features`` and returns the fitted classifier.
+    ``train`` takes a frame with ``label`` and ``features`` and returns the fitted classifier. Where
+    the job has the text ``cleaned`` in a column already, the model starts from that.
     """
-    clean = CleanText(inputCol=text, outputCol="_clean")
-    terms = Terms(inputCol="_clean", outputCol="terms")
-    prepared = terms.transform(clean.transform(df)).select("review_id", "label", "terms").persist()
+    clean = [] if cleaned else [CleanText(inputCol=text, outputCol="_clean")]
+    terms = Terms(inputCol=text if cleaned else "_clean", outputCol="terms")
+    first = PipelineModel([*clean, terms])
+    prepared = first.transform(df).select("review_id", "label", "terms").persist()
     tfidf = tfidf_features(prepared, **feature_options)
-    classifier = train(tfidf.transform(prepared).select("review_id", "label", "features"))
+    features = tfidf.transform(prepared).select("review_id", "label", "features").persist()
+    classifier = train(features)
+    features.unpersist()
     prepared.unpersist()
-    return PipelineModel([clean, terms, *tfidf.stages, *classifier.stages])
+    return PipelineModel([*first.stages, *tfidf.stages, *classifier.stages])
 
 
 def score_table(model: PipelineModel, df: DataFrame, true: str = "sentiment_label") -> DataFrame:

@@ -102,7 +102,7 @@ def _dataset(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     """Training and test rows as tf-idf vectors, the weights learnt on the training rows alone."""
-    data = V.Terms(inputCol="clean_text", outputCol="terms").transform(_dataset(spark, sf_dir))
+    data = V.Terms(inputCol="clean_text", outputCol="terms").transform(_dataset(spark, sf_dir)).persist()
     train = data.filter("split = 'train'")
     tfidf = V.tfidf_features(train.select("terms"), min_df=MIN_DF)
     columns = ["review_id", "text", "sentiment_label", "label", "features"]
@@ -156,7 +156,7 @@ def _search(spark, sf_dir, draws=15):
     data = _dataset(spark, sf_dir)
     train = data.filter("split = 'train'")
     folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id")
-    return M.random_search(folded, draws, max_iter=3), data
+    return M.random_search(folded, draws, max_iter=3, parallelism=8), data
 
 
 @query("random_search")
@@ -204,7 +204,9 @@ def _(spark, sf_dir):
 def _fitted(spark, sf_dir):
     """A scorer and a topic model fitted on the clean reviews."""
     ready = spread(cut_lineage(M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))), "review_id")
-    classifier = M.end_to_end_model(ready, lambda d: M.train_logreg(d, max_iter=ITERATIONS), min_df=MIN_DF)
+    classifier = M.end_to_end_model(
+        ready, lambda d: M.train_logreg(d, max_iter=ITERATIONS), "clean_text", cleaned=True, min_df=MIN_DF
+    )
     topics = fit_topics(ready, iterations=10)
 
     def score(df):
