@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import packing, quality, topk, urls
+from quillsift.llm import fingerprints, lines, packing, quality, topk, urls
 from quillsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,37 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     scores = quality.quality_scores(table(spark, sf_dir, "documents"), labels)
     return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op3_line_dedup", """
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM docs),
+w AS (
+  SELECT *, line || chr(10) || lead(line, 1) OVER along || chr(10) || lead(line, 2) OVER along AS run
+  FROM l WINDOW along AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (
+  SELECT *, CASE
+      WHEN run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 THEN 3
+      WHEN length(line) >= 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 THEN 1
+      ELSE 0 END AS covers
+  FROM w),
+m AS (
+  SELECT doc_id, pos, line,
+    max(pos + covers) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) > pos AS goes
+  FROM c),
+s AS (SELECT *, goes AND NOT coalesce(lag(goes) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM m)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(CASE WHEN goes THEN 1 END) AS INTEGER) AS n_removed,
+  count(CASE WHEN starts THEN 1 END) AS n_runs,
+  sha256(coalesce(string_agg(CASE WHEN NOT goes THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+FROM s GROUP BY doc_id
+""")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of line runs taken out of every document."""
+    kept = lines.without_copies(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_with_next(table(spark, sf_dir, "documents"))
