@@ -148,8 +148,9 @@ def build(model: Model):
 class PieceEncoder:
     """Ids of texts, with whether each is the same in ``sentencepiece`` and comes back when decoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, threads: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["RAYON_NUM_THREADS"] = str(threads)  # read when the library starts its threads
         import sentencepiece
 
         self.model = read_model(path)
