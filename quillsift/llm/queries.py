@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import fingerprints, jaccard, lines, packing, pieces, quality, topk, urls
+from quillsift.llm import fingerprints, jaccard, lines, packing, pieces, quality, substrings, topk, urls
 from quillsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +210,10 @@ FROM s LEFT JOIN least l ON l.a = s.doc_id
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by four-word shingles at 0.85."""
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), 4, jaccard.Threshold(85, 100))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings that a smaller one has."""
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
