@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import fingerprints, jaccard, lines, packing, pieces, quality, substrings, topk, urls
+from quillsift.llm import fingerprints, jaccard, katz, lines, packing, pieces, quality, substrings, topk, urls
 from quillsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without byte strings that a smaller one has."""
     left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+@query("op8_katz_lm")
+def op8_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a bigram model learnt from six sevenths of them."""
+    outside = quality.held_out(F.col("doc_id"), 7, 2)
+    return katz.katz_scores(table(spark, sf_dir, "documents"), outside)
