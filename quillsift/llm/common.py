@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillsift.session import cut_lineage, scratch_path
 from quillsift.sources.tables import table
 
-__all__ = ["batch_texts", "cut_lineage", "own_columns", "scratch_path", "slices", "table", "tag"]
-
-
-def tag(name: str) -> str:
-    """A column name that no input column has."""
-    return f"_{name}_{uuid.uuid4().hex[:8]}"
+__all__ = [
+    "PACKED",
+    "batch_texts",
+    "cut_lineage",
+    "differences",
+    "from_differences",
+    "own_columns",
+    "pack_slices",
+    "scratch_path",
+    "slices",
+    "table",
+    "unpack_slices",
+]
 
 
 def own_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,3 +49,45 @@ def slices(sizes, limit: int):
         yield start, end
 
 
+#: Rows of ``pack_slices``: the number of a slice and some of its rows as one compressed table.
+PACKED = "slice int, blob binary"
+
+
+def pack_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each slice in a batch as one compressed table."""
+    for batch in batches:
+        number = batch.column(0).to_numpy()
+        order = np.argsort(number, kind="stable")
+        cuts = np.flatnonzero(np.diff(number[order])) + 1
+        slices, blobs = [], []
+        for rows in np.split(order, cuts) if len(order) else []:
+            out = pa.BufferOutputStream()
+            part = batch.take(pa.array(rows)).drop_columns(["slice"])
+            with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            slices.append(number[rows[0]])
+            blobs.append(out.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "blob"])
+
+
+def unpack_slices(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in table.column("blob").to_pylist()])
+
+
+def differences(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as 48-bit differences; the first and any that does not fit are kept beside them."""
+    gaps = np.diff(values, prepend=np.uint64(0))
+    large = np.flatnonzero(gaps >> np.uint64(48))
+    heads = np.concatenate([[len(large)], large, gaps[large].view(np.int64)]).astype("<i8")
+    return heads.tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_differences(raw: bytes) -> np.ndarray:
+    count = int(np.frombuffer(raw[:8], "<i8")[0])
+    heads = np.frombuffer(raw[8 : 8 + 16 * count], "<i8")
+    six = np.frombuffer(raw[8 + 16 * count :], np.uint8).reshape(-1, 6)
+    gaps = np.zeros((len(six), 8), dtype=np.uint8)
+    gaps[:, :6] = six
+    gaps = gaps.view("<u8").ravel()
+    gaps[heads[:count]] = heads[count:].view(np.uint64)
+    return np.cumsum(gaps, dtype=np.uint64)

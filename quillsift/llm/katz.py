@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.llm.common import PACKED, differences, from_differences, pack_slices, slices, unpack_slices
 from quillsift.llm.shingles import words
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -29,7 +30,7 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
 
-MESSAGE = "slice long, range long, kind int, a binary, b binary, c binary, d binary"
+MESSAGE = "slice int, range long, kind int, a binary, b binary, c binary, d binary"
 WORDS, BIGRAMS, UNIGRAM_STATS, BIGRAM_STATS = 0, 1, 2, 3
 _COLUMNS = ("slice", "range", "kind", "a", "b", "c", "d")
 
@@ -43,8 +44,18 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def _with_counts(names: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted digests, and a number for each."""
+    return np.int64(len(names)).tobytes() + _planes(counts) + differences(names)
+
+
+def _from_with_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    count = int(np.frombuffer(raw[:8], "<i8")[0])
+    return from_differences(raw[8 + 8 * count :]), _from_planes(raw[8 : 8 + 8 * count]).astype(np.int64)
+
+
 def _messages(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
     columns = list(zip(*rows)) or [()] * len(kinds)
     return pa.table({n: pa.array(list(c), t) for n, c, t in zip(_COLUMNS, columns, kinds)})
 
@@ -116,15 +127,17 @@ class Slice:
     """Tokens of the documents of a slice as numbers of its distinct words."""
 
     def __init__(self, table: pa.Table):
+        table = unpack_slices(table)
         self.ids = table.column("doc_id").to_pylist()
         self.held_out = np.array(table.column("held_out").to_pylist(), dtype=bool)
-        texts = table.column("text")
+        texts = table.column("text").to_pylist()
         digests, sizes = [], []
-        for at in range(0, len(self.ids), 256):
-            part, ends = words(texts.slice(at, 256).to_pylist())
+        for at, to in slices(map(len, texts), 500_000):
+            part, ends = words(texts[at:to])
             digests.append(part)
             sizes.append(np.diff(np.concatenate([[0], ends])))
         word, self.sizes = np.concatenate(digests), np.concatenate(sizes) + 1
+        del table, texts, digests
         ends = np.cumsum(self.sizes) - 1
         tokens = np.empty(len(word) + len(self.ids), dtype=np.uint64)
         inner = np.ones(len(tokens), dtype=bool)
@@ -153,7 +166,7 @@ def _word_messages(ranges: int):
         cuts = _runs(number)
         return _messages(
             [
-                (key[0].as_py(), int(number[a]), WORDS, own.vocabulary[a:b].tobytes(), _planes(counts[a:b]), b"", b"")
+                (key[0].as_py(), int(number[a]), WORDS, _with_counts(own.vocabulary[a:b], counts[a:b]), b"", b"", b"")
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())
                 if b > a
             ]
@@ -162,12 +175,13 @@ def _word_messages(ranges: int):
     return run
 
 
-def _add_up(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a range, which each entry is, and their counts over the corpus."""
-    word = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()])
-    count = np.concatenate([_from_planes(x) for x in table.column("b").to_pylist()])
-    distinct, which = np.unique(word, return_inverse=True)
-    return distinct, which, np.bincount(which, weights=count, minlength=len(distinct)).astype(np.int64)
+def _add_up(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The counts over the corpus of the distinct words of a range, and of the words of each message."""
+    parts = [_from_with_counts(x) for x in table.column("a").to_pylist()]
+    distinct, which = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(distinct), dtype=np.int64)
+    np.add.at(counts, which, np.concatenate([c for _, c in parts]))
+    return counts, np.split(counts[which], np.cumsum([len(w) for w, _ in parts])[:-1])
 
 
 def _stats(counts: np.ndarray) -> bytes:
@@ -176,13 +190,11 @@ def _stats(counts: np.ndarray) -> bytes:
 
 
 def _word_stats(key: tuple, table: pa.Table) -> pa.Table:
-    return _messages([(0, key[0].as_py(), UNIGRAM_STATS, _stats(_add_up(table)[2]), b"", b"", b"")])
+    return _messages([(0, key[0].as_py(), UNIGRAM_STATS, _stats(_add_up(table)[0]), b"", b"", b"")])
 
 
 def _word_counts(key: tuple, table: pa.Table) -> pa.Table:
-    _, which, counts = _add_up(table)
-    sizes = [len(x) // 8 for x in table.column("a").to_pylist()]
-    back = np.split(counts[which], np.cumsum(sizes)[:-1])
+    _, back = _add_up(table)
     return _messages(
         [(s, key[0].as_py(), WORDS, _planes(c), b"", b"", b"") for s, c in zip(table.column("slice").to_pylist(), back)]
     )
@@ -216,15 +228,12 @@ def _bigram_messages(ranges: int):
         rows = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             starts = _runs(context[a:b])
-            heads = np.concatenate(
-                [digest[a:b][starts[:-1]].view(np.uint8), np.frombuffer(_planes(np.diff(starts)), np.uint8)]
-            )
             rows.append(
                 (
                     key[0].as_py(),
                     int(number[a]),
                     BIGRAMS,
-                    heads.tobytes(),
+                    _with_counts(digest[a:b][starts[:-1]], np.diff(starts)),
                     own.vocabulary[word[a:b]].tobytes(),
                     _planes(corpus[word[a:b]]),
                     _planes(counts[a:b]),
@@ -239,11 +248,10 @@ class Range:
     """All bigrams of the contexts of a range, in the order of context and word."""
 
     def __init__(self, table: pa.Table):
-        heads = [np.frombuffer(x, np.uint8) for x in table.column("a").to_pylist()]
-        self.heads = [h[: len(h) // 2].view(np.uint64) for h in heads]
-        lengths = [_from_planes(h[len(h) // 2 :].tobytes()).astype(np.int64) for h in heads]
-        self.sizes = [int(x.sum()) for x in lengths]
-        context = np.concatenate([np.repeat(h, n) for h, n in zip(self.heads, lengths)])
+        #: Per message: its contexts, and how many of its bigrams each has.
+        self.heads = [_from_with_counts(x) for x in table.column("a").to_pylist()]
+        self.sizes = [int(n.sum()) for _, n in self.heads]
+        context = np.concatenate([np.repeat(h, n) for h, n in self.heads])
         word = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("b").to_pylist()])
         order = np.lexsort((word, context))
         c, w = context[order], word[order]
@@ -272,9 +280,12 @@ def _bigram_answers(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     denominator, weight = contexts(own.starts, own.counts, unigrams.probability(own.unigram), d)
     counts = np.split(own.counts[own.which], np.cumsum(own.sizes)[:-1])
     rows = []
-    for slice_id, c, heads in zip(left.column("slice").to_pylist(), counts, own.heads):
+    for slice_id, c, (heads, lengths) in zip(left.column("slice").to_pylist(), counts, own.heads):
         at = np.searchsorted(own.context, heads)
-        rows.append((slice_id, key[0].as_py(), BIGRAMS, _planes(c), _planes(denominator[at]), weight[at].tobytes(), b""))
+        backs_off = np.minimum.reduceat(c, np.cumsum(lengths) - lengths) == 0  # else no weight is asked for
+        rows.append(
+            (slice_id, key[0].as_py(), BIGRAMS, _planes(c), _planes(denominator[at]), weight[at[backs_off]].tobytes(), b"")
+        )
     return _messages(rows)
 
 
@@ -292,8 +303,12 @@ def _scores(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     answers = _answers(right, BIGRAMS)
     counts = np.concatenate([_from_planes(r["a"]) for r in answers]).astype(np.int64)
     denominator = np.concatenate([_from_planes(r["b"]) for r in answers]).astype(float)
-    weight = np.concatenate([np.frombuffer(r["c"], "<f8") for r in answers])
-    head = np.cumsum(np.concatenate([[False], context[1:] != context[:-1]]))  # which context of the slice
+    new = np.concatenate([[True], context[1:] != context[:-1]])
+    head = np.cumsum(new) - 1  # which context of the slice
+    weight = np.ones(len(denominator))
+    weight[np.minimum.reduceat(counts, np.flatnonzero(new)) == 0] = np.concatenate(
+        [np.frombuffer(r["c"], "<f8") for r in answers]
+    )
     seen = np.divide(_discounted(counts, d), denominator[head], out=np.zeros(len(counts)), where=counts > 0)
     probability = np.where(counts > 0, seen, weight[head] * unigrams.probability(corpus[word]))
     starts = np.cumsum(own.sizes) - own.sizes
@@ -325,12 +340,13 @@ def _total(stats: DataFrame, width: int) -> DataFrame:
             yield _messages([(0, 0, number, total.tobytes(), b"", b"", b"")]).to_batches()[0]
 
     # Two levels: per task first, then one row per task is left for one task.
-    return stats.mapInArrow(run, MESSAGE).coalesce(1).mapInArrow(run, MESSAGE)
+    return stats.mapInArrow(run, MESSAGE).repartition(1).mapInArrow(run, MESSAGE)
 
 
 def _to_each(message: DataFrame, column: str, count: int) -> DataFrame:
     """One message repeated for every slice or range."""
-    return message.withColumn(column, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).select(
+    kind = dict(message.dtypes)[column]
+    return message.withColumn(column, F.explode(F.sequence(F.lit(0).cast(kind), F.lit(count - 1).cast(kind)))).select(
         *_COLUMNS
     )
 
@@ -338,8 +354,8 @@ def _to_each(message: DataFrame, column: str, count: int) -> DataFrame:
 def katz_scores(
     docs: DataFrame,
     held_out: Column,
-    slice_bytes: int = 12_000_000,
-    range_tokens: int = 1_500_000,
+    slice_bytes: int = 8_000_000,
+    range_tokens: int = 750_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -356,10 +372,10 @@ def katz_scores(
         docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")
     )
     size = read.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, -(-size // slice_bytes))
+    count = max(1, -(-size // slice_bytes))
     ranges = max(1, size // 6 // range_tokens)  # a word takes some six bytes
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("long")
-    texts = read.withColumn("slice", place).repartition("slice")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")
+    texts = read.select(place.alias("slice"), *read.columns).mapInArrow(pack_slices, PACKED).repartition("slice")
     by_slice = texts.groupBy("slice")
     width = MOST_DISCOUNTED + 3
     word_messages = by_slice.applyInArrow(_word_messages(ranges), MESSAGE)
@@ -371,7 +387,7 @@ def katz_scores(
     answers = bigram_messages.groupBy("range").cogroup(_to_each(stats, "range", ranges).groupBy("range")).applyInArrow(
         _bigram_answers, MESSAGE
     )
-    replies = word_counts.union(answers).union(_to_each(stats, "slice", slices))
+    replies = word_counts.union(answers).union(_to_each(stats, "slice", count))
     return by_slice.cogroup(replies.groupBy("slice")).applyInArrow(
         _scores,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

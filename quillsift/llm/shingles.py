@@ -39,6 +39,12 @@ def powers(base: int, count: int) -> np.ndarray:
     return known[:count]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def running(raw: np.ndarray) -> np.ndarray:
     """Sums whose differences give digests of stretches; one longer than the bytes."""
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
@@ -72,7 +78,7 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     out, start = [], 0
     for end in ends.tolist():
         if end - start >= n:
-            out.append(np.unique(grams[start : end - n + 1]))
+            out.append(distinct(grams[start : end - n + 1]))
         elif end > start:
             own = digests[start:end] * (2 * np.arange(end - start, dtype=np.uint64) + np.uint64(3)) * np.uint64(_R)
             out.append(mixed(own.sum(keepdims=True, dtype=np.uint64), end - start))
