@@ -107,7 +107,8 @@ def without_copies(
         rows.select("row_id", rows[id_col].cast("long").alias("doc_id"), F.coalesce(rows[text_col], F.lit("")).alias("text"))
     )
     flags = cut_lineage(_flags(lines, cut_lineage(copied_lines(lines, min_lines, min_chars))))
-    joined = rows.join(flags, "row_id", "left")
+    # One kind of join at every size: a broadcast while the flags are few would move no texts, a merge moves all.
+    joined = rows.join(flags.hint("merge"), "row_id", "left")
     text = F.coalesce(rows[text_col], F.lit(""))
     parts = F.split(text, "\n")
 
