@@ -36,22 +36,26 @@ _COLUMNS = ("slice", "range", "kind", "a", "b", "c", "d")
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Whole numbers by byte position: the bytes that are zero in all of them take no room once compressed."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers by byte position, compressed: bytes that are zero in all of them take no room."""
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return np.int64(len(raw)).tobytes() + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
+def _from_planes(coded: bytes) -> np.ndarray:
+    size = int(np.frombuffer(coded[:8], "<i8")[0])
+    raw = pa.decompress(coded[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def _with_counts(names: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted digests, and a number for each."""
-    return np.int64(len(names)).tobytes() + _planes(counts) + differences(names)
+    planes = _planes(counts)
+    return np.int64(len(planes)).tobytes() + planes + differences(names)
 
 
 def _from_with_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    count = int(np.frombuffer(raw[:8], "<i8")[0])
-    return from_differences(raw[8 + 8 * count :]), _from_planes(raw[8 : 8 + 8 * count]).astype(np.int64)
+    end = 8 + int(np.frombuffer(raw[:8], "<i8")[0])
+    return from_differences(raw[end:]), _from_planes(raw[8:end]).astype(np.int64)
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
@@ -354,8 +358,8 @@ def _to_each(message: DataFrame, column: str, count: int) -> DataFrame:
 def katz_scores(
     docs: DataFrame,
     held_out: Column,
-    slice_bytes: int = 8_000_000,
-    range_tokens: int = 750_000,
+    slice_bytes: int = 5_000_000,
+    range_tokens: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
