@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.session import cut_lineage, scratch_path
+from quillsift.session import scratch_path
 from quillsift.sources.tables import table
 
 __all__ = [
@@ -19,6 +20,8 @@ __all__ = [
     "from_differences",
     "own_columns",
     "pack_slices",
+    "recorded",
+    "release",
     "scratch_path",
     "slices",
     "table",
@@ -26,6 +29,36 @@ __all__ = [
 ]
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Note the tables that ``cut_lineage`` writes meanwhile, for ``release``."""
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a table in the shared folder and read it back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "llm")
+    df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove recorded tables; results that read them must be written by then."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def own_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names; other columns cannot clash with its own."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
