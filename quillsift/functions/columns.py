@@ -97,18 +97,22 @@ def min_length_filter(df: DataFrame, column: str = "text", minimum: int = MIN_TE
     return df.filter(F.char_length(column) >= minimum)
 
 
+def _start_of(day: datetime.date) -> Column:
+    """The first moment of a day in the session's time zone, whatever the zone of the driver."""
+    return F.lit(day.isoformat()).cast("timestamp")
+
+
 def filter_min_year(df: DataFrame, year: int = 2019, ts: str = "timestamp") -> DataFrame:
     """Keep rows from ``year`` on, as a range on the stored column so that it reaches the scan."""
-    return df.filter(F.col(ts) >= F.lit(datetime.datetime(year, 1, 1)))
+    return df.filter(F.col(ts) >= _start_of(datetime.date(year, 1, 1)))
 
 
 def filter_date_range(
     df: DataFrame, first: datetime.date, last: datetime.date, ts: str = "timestamp"
 ) -> DataFrame:
     """Keep rows dated from ``first`` to ``last``, both days included."""
-    start = datetime.datetime.combine(first, datetime.time())
-    end = datetime.datetime.combine(last + datetime.timedelta(days=1), datetime.time())
-    return df.filter((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
+    after = last + datetime.timedelta(days=1)
+    return df.filter((F.col(ts) >= _start_of(first)) & (F.col(ts) < _start_of(after)))
 
 
 def filter_in_list(df: DataFrame, column: str, values: list) -> DataFrame:

@@ -106,7 +106,8 @@ def topic_frequency(df: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def monthly_volume(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    return df.groupBy(F.date_trunc("month", ts).alias("date")).agg(F.count("*").alias("count"))
+    """Rows per month; rows without a time are left out."""
+    return df.where(F.col(ts).isNotNull()).groupBy(F.date_trunc("month", ts).alias("date")).agg(F.count("*").alias("count"))
 
 
 def monthly_sentiment(df: DataFrame, month: str = "year_month") -> DataFrame:

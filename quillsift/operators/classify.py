@@ -390,12 +390,12 @@ def batch_model_scoring(
     labels: list[str] = LABELS,
     text: str = "full_text",
     batch_size: int = 64,
-    max_tokens: int | None = 128,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """Score texts with a pretrained model, in batches.
 
     ``make_model`` runs once per Python worker and returns a function from an array of texts to an
-    array of class probabilities, in the order of ``labels``. The call is marked as not
+    array of class probabilities, in the order of ``labels``. It gets whole texts, or their first ``max_tokens`` words. The call is marked as not
     deterministic, so that Spark does not repeat it for each use of the probabilities.
     """
     score = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)

@@ -45,9 +45,17 @@ def _class_scores(i: int) -> tuple[Column, Column, Column, Column]:
 def confusion_matrix(
     df: DataFrame, true: str = "true_label", predicted: str = "predicted_label", labels: list[str] = LABELS
 ) -> DataFrame:
-    """Counts of predicted labels (columns) for each true label; absent pairs are 0."""
-    cells = [F.count_if(F.col(predicted) == c).alias(c) for c in labels]
-    return df.filter(F.col(true).isin(*labels)).groupBy(true).agg(*cells)
+    """Counts of predicted labels (columns) for each of ``labels`` as true label, in their order; absent ones are 0."""
+    cells = [
+        F.count_if((F.col(true) == t) & (F.col(predicted) == c)).alias(f"cell_{i}_{j}")
+        for i, t in enumerate(labels)
+        for j, c in enumerate(labels)
+    ]
+    rows = [
+        F.struct(F.lit(t).alias(true), *(F.col(f"cell_{i}_{j}").alias(c) for j, c in enumerate(labels)))
+        for i, t in enumerate(labels)
+    ]
+    return df.agg(*cells).select(F.inline(F.array(*rows)))
 
 
 def classification_report(

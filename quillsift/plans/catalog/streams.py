@@ -38,7 +38,7 @@ def _(spark, sf_dir):
     """SELECT review_id, CASE WHEN a >= b AND a >= c THEN 'negative' WHEN b >= c THEN 'neutral' ELSE 'positive' END AS predicted_label
     FROM (SELECT review_id, 1 + (length(t) - length(replace(t, 'e', ''))) % 7 AS a, 1 + (length(t) - length(replace(t, ' ', ''))) % 5 AS b,
       1 + length(t) % 11 AS c FROM (SELECT review_id,
-        array_to_string(string_split_regex(trim(full_text, E' \\t\\n\\r'), '[ \\t\\n\\x0b\\f\\r]+')[1:128], ' ') AS t FROM joined))""",
+        full_text AS t FROM joined))""",
 )
 def _(spark, sf_dir):
     def score(df):

@@ -42,10 +42,10 @@ def _(spark, sf_dir):
 @query(
     "sentiment_counts_fixed",
     """SELECT o.position, o.sentiment_label, c.count FROM (VALUES (1, 'negative'), (2, 'neutral'), (3, 'positive')) o(position, sentiment_label)
-    LEFT JOIN (SELECT sentiment_label, count(*) AS count FROM facts WHERE rating <> 3 GROUP BY 1) c ON o.sentiment_label = c.sentiment_label""",
+    LEFT JOIN (SELECT sentiment_label, count(*) AS count FROM facts GROUP BY 1) c ON o.sentiment_label = c.sentiment_label""",
 )
 def _(spark, sf_dir):
-    return A.counts_fixed_order(facts(spark, sf_dir).filter("rating <> 3"))
+    return A.counts_fixed_order(facts(spark, sf_dir))
 
 
 @query("verified_counts", "SELECT verified_purchase, count(*) AS count FROM facts GROUP BY 1")
@@ -93,12 +93,12 @@ def _(spark, sf_dir):
     return rounded(A.verified_by_topic(facts(spark, sf_dir)), "not_verified", "verified")
 
 
-@query("topic_frequency", "SELECT topic_label, count(*) AS count FROM facts GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+@query("topic_frequency", "SELECT topic_label, count(*) AS count FROM facts GROUP BY 1")
 def _(spark, sf_dir):
-    return A.topic_frequency(facts(spark, sf_dir), 5)
+    return A.topic_frequency(facts(spark, sf_dir))
 
 
-@query("monthly_volume", "SELECT date, count(*) AS count FROM dated GROUP BY 1")
+@query("monthly_volume", "SELECT date, count(*) AS count FROM dated WHERE date IS NOT NULL GROUP BY 1")
 def _(spark, sf_dir):
     return A.monthly_volume(facts(spark, sf_dir))
 

@@ -35,6 +35,8 @@ def stream_reservoir(stream: DataFrame, path: str, n: int, seed: int = 42) -> St
         rows = batch
         if is_finished(spark, before):
             rows = spark.read.schema(batch.schema).parquet(before).unionByName(batch)
+        elif batch_id > 0:
+            raise FileNotFoundError(f"the sample before batch {batch_id} is gone: {before}")
         reservoir_sample(rows, n, seed).write.mode("overwrite").parquet(f"{path}/sample/version={batch_id}")
 
     return (

@@ -144,3 +144,20 @@ def test_dashboard_tables(spark, sf_dir):
     assert sum(r["count"] for r in tables["monthly_volume"]) == n
     for r in tables["topic_sentiment"]:
         assert r["negative"] + r["neutral"] + r["positive"] == pytest.approx(100)
+
+
+def test_date_filters_do_not_depend_on_the_zone_of_the_driver(spark, monkeypatch):
+    import datetime
+    import time
+
+    from quillsift.functions.columns import filter_date_range, filter_min_year
+
+    rows = spark.sql("SELECT timestamp '2018-12-31 23:30:00' AS timestamp UNION ALL SELECT timestamp '2019-01-01 00:30:00'")
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        assert filter_min_year(rows, 2019).count() == 1
+        assert filter_date_range(rows, datetime.date(2018, 12, 31), datetime.date(2018, 12, 31)).count() == 1
+    finally:
+        monkeypatch.undo()
+        time.tzset()
