@@ -119,12 +119,19 @@ def _test_quotas(sizes: DataFrame, test_size: float) -> DataFrame:
 def stratified_split(
     df: DataFrame, label: str = "sentiment_label", test_size: float = 0.2, seed: int | str = 42, row_id: str = "review_id"
 ) -> DataFrame:
-    """All rows with a ``split`` column, ``train`` or ``test``, the classes in proportion in both."""
+    """All rows with a ``split`` column, ``train`` or ``test``, the classes in proportion in both.
+
+    Only the slice that holds the last test row of a class is ranked, by key and id alone. Every other
+    row is compared with that one and stays where it is. Rows of one id go to the same side.
+    """
     keyed, sizes = _slices(df, [label], seed, row_id, 12)
-    # The quotas join the slice counts and not the rows: a class that holds most rows would be one task.
-    ranked = _ranked(keyed, sizes.join(_test_quotas(sizes, test_size), "_group"), row_id, "_rank")
-    side = F.when(F.col("_rank") <= F.col("_quota"), "test").otherwise("train")
-    return ranked.select(*df.columns, side.alias("split"))
+    edges = sizes.join(_test_quotas(sizes, test_size), "_group").filter("_before < _quota AND _quota <= _before + _rows")
+    last = _ranked(keyed.select("_group", "_slice", "_key", row_id), edges, row_id, "_rank").filter("_rank = _quota")
+    place = F.struct("_key", row_id)
+    # One row per class, written so that Spark knows its size.
+    cuts = cut_lineage(last.select("_group", place.alias("_cut")))
+    side = F.when(place <= F.col("_cut"), "test").otherwise("train")
+    return keyed.join(cuts, "_group", "left").select(*df.columns, side.alias("split"))
 
 
 def persist_split(

@@ -66,6 +66,21 @@ def test_split_quotas(rows):
     assert len(kept) == 5003 - math.ceil(0.2 * 5003)
 
 
+def test_split_takes_the_smallest_keys_of_each_class(rows):
+    split = S.stratified_split(rows).withColumn("k", S.sample_key(42)).collect()
+    for label in ("negative", "neutral", "positive"):
+        mine = sorted((r for r in split if r["sentiment_label"] == label), key=lambda r: (r["k"], r["review_id"]))
+        sides = [r["split"] for r in mine]
+        assert sides == sorted(sides) and set(sides) == {"test", "train"}
+
+
+def test_split_leaves_wide_rows_in_place(spark, rows):
+    """No text passes a shuffle; the written cuts are the only other table of the plan."""
+    wide = S.stratified_split(rows.withColumn("text", F.repeat(F.lit("x"), 50)))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_rows_without_a_class_are_kept(spark):
     rows = spark.createDataFrame([(i, None if i % 4 == 0 else "a") for i in range(40)], "review_id long, sentiment_label string")
     split = S.stratified_split(rows).collect()
