@@ -15,20 +15,16 @@ from pyspark.sql import types as T
 
 from quillsift.functions import text as X
 
-_ENTRIES = "v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 _VECTOR = T.StructType([T.StructField("v", VectorUDT())])
 
 
 def vector_entries(vector: Column) -> Column:
-    """Size, indices and values of a sparse vector.
-
-    Spark writes a vector to JSON by its parts, and that is the way to them without making it dense.
-    """
-    return F.from_json(F.to_json(F.struct(vector.alias("v"))), _ENTRIES)["v"]
+    """Type, size, indices and values of a sparse vector, as Spark stores it."""
+    return F.unwrap_udt(vector)
 
 
 def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
-    """The way back: a sparse vector from its parts."""
+    """The way back: a sparse vector from its parts, through JSON, since Spark has no cast to a vector."""
     parts = F.struct(
         F.lit(0).alias("type"), size.alias("size"), indices.alias("indices"), values.alias("values")
     )
