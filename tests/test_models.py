@@ -149,12 +149,14 @@ def test_random_draws_are_seeded():
     assert all(0.01 <= dict(d)["inversePenalty"] <= 10 for d in first)
 
 
-def test_batch_scoring_sees_the_first_words_and_uses_batches(spark, sf_dir):
+@pytest.mark.parametrize("limit", [None, 128])
+def test_batch_scoring_sees_whole_texts_or_the_first_words(spark, sf_dir, limit):
     rows = reviews(spark, sf_dir).withColumn("full_text", full_text())
-    scored = M.batch_model_scoring(rows, keyword_model, batch_size=7).collect()
+    scored = M.batch_model_scoring(rows, keyword_model, batch_size=7, max_tokens=limit).collect()
     predict = keyword_model()
     for r in scored[:50]:
-        p = predict(np.array([" ".join(r["full_text"].split()[:128])]))[0]
+        seen = " ".join(r["full_text"].split()[:limit]) if limit else r["full_text"]
+        p = predict(np.array([seen]))[0]
         assert r["predicted_label"] == LABELS[int(np.argmax(p))]
         assert r["confidence"] == pytest.approx(float(p.max()))
 
