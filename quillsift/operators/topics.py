@@ -14,12 +14,19 @@ from quillsift.operators.features import vocabulary
 
 
 def lda_fit(df: DataFrame, topics: int = 12, iterations: int = 30, counts: str = "counts", seed: int = 42) -> LDAModel:
-    """Variational topic model; every iteration uses all rows."""
+    """Variational topic model with a fixed prior; every iteration draws a batch as large as the table.
+
+    Spark draws the batch with replacement, so an iteration sees about two thirds of the rows. A decay
+    near zero gives every batch the full weight, so the topics follow the last batch and not the start.
+    """
     lda = LDA(
         k=topics,
         maxIter=iterations,
         optimizer="online",
         subsamplingRate=1.0,
+        optimizeDocConcentration=False,
+        learningOffset=1.0,
+        learningDecay=1e-6,
         docConcentration=[1.0 / topics] * topics,
         topicConcentration=1.0 / topics,
         featuresCol=counts,

@@ -18,9 +18,7 @@ from quillsift.plans.registry import query, rounded, view
 from quillsift.session import cut_lineage, spread
 from quillsift.sources.tables import reviews, timed_reviews
 
-# Settings of these runs, for which the tables here are small; the defaults are in the operators.
 MIN_DF = 5
-ITERATIONS = 10
 
 
 def _terms(spark, sf_dir):
@@ -97,7 +95,7 @@ def _dataset(spark, sf_dir):
     """Clean labelled texts with their side of the split, written once for the many passes of a fit."""
     rows = M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))
     rows = rows.select("review_id", "text", "full_text", "clean_text", "sentiment_label", "label")
-    return spread(cut_lineage(stratified_split(rows)), "review_id")
+    return spread(cut_lineage(stratified_split(cut_lineage(rows))), "review_id")
 
 
 def _vectors(spark, sf_dir):
@@ -112,20 +110,20 @@ def _vectors(spark, sf_dir):
 @query("train_logreg")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
-    return M.score_table(M.train_logreg(train, max_iter=ITERATIONS), test)
+    return M.score_table(M.train_logreg(train), test)
 
 
 @query("train_linear_svc")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
-    return M.score_table(M.train_linear_svc(train, max_iter=ITERATIONS), test)
+    return M.score_table(M.train_linear_svc(train), test)
 
 
 @query("calibrate_sigmoid")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
     folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id").persist()
-    return M.score_table(M.calibrate_sigmoid(folded, max_iter=ITERATIONS), test)
+    return M.score_table(M.calibrate_sigmoid(folded), test)
 
 
 @query("train_boosted_trees")
@@ -137,16 +135,14 @@ def _(spark, sf_dir):
 @query("end_to_end_model")
 def _(spark, sf_dir):
     data = _dataset(spark, sf_dir)
-    model = M.end_to_end_model(
-        data.filter("split = 'train'"), lambda d: M.train_logreg(d, max_iter=ITERATIONS), min_df=MIN_DF
-    )
+    model = M.end_to_end_model(data.filter("split = 'train'"), M.train_logreg, min_df=MIN_DF)
     return M.score_table(model, data.filter("split = 'test'"))
 
 
 @query("score_table")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
-    scored = M.score_table(M.train_logreg(train, max_iter=ITERATIONS), test)
+    scored = M.score_table(M.train_logreg(train), test)
     return scored.groupBy("true_label", "predicted_label").agg(
         F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence")
     )
@@ -204,10 +200,8 @@ def _(spark, sf_dir):
 def _fitted(spark, sf_dir):
     """A scorer and a topic model fitted on the clean reviews."""
     ready = spread(cut_lineage(M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))), "review_id")
-    classifier = M.end_to_end_model(
-        ready, lambda d: M.train_logreg(d, max_iter=ITERATIONS), "clean_text", cleaned=True, min_df=MIN_DF
-    )
-    topics = fit_topics(ready, iterations=10)
+    classifier = M.end_to_end_model(ready, M.train_logreg, "clean_text", cleaned=True, min_df=MIN_DF)
+    topics = fit_topics(ready)
 
     def score(df):
         scored = classifier.transform(df)
