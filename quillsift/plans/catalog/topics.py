@@ -17,6 +17,9 @@ from quillsift.plans.registry import query, rounded, view
 from quillsift.session import cut_lineage, spread
 from quillsift.sources.tables import review_vectors, reviews
 
+# The run over these small tables; the default is in the operator.
+LDA_ITERATIONS = 10
+
 
 def _counts(spark, sf_dir):
     """Term counts of the stop-word-free texts, and the fitted counter."""
@@ -28,7 +31,7 @@ def _counts(spark, sf_dir):
 
 def _topic_model(spark, sf_dir):
     counts, counter = _counts(spark, sf_dir)
-    return L.lda_fit(counts), counts, counter
+    return L.lda_fit(counts, iterations=LDA_ITERATIONS), counts, counter
 
 
 @query("lda_fit")
