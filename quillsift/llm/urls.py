@@ -79,32 +79,54 @@ def _with_posterior(groups: DataFrame, floor: float) -> DataFrame:
     )
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, key: str, members: str, salt: Sequence[str], parts: int) -> DataFrame:
+    """Each row with the columns of its group; ``members`` of a group is the number of its rows.
+
+    A group of more than one ``parts``-th of all rows is repeated and its rows are dealt by ``salt``, so that no key
+    of the join has a larger share. Such groups are fewer than ``parts``, which bounds what is broadcast.
+    """
+    total = groups.agg(F.coalesce(F.sum(members), F.lit(0)).alias("n")).first()["n"]
+    share = max(1, -(-total // parts))
+    groups = groups.withColumn("split", F.ceil(F.col(members) / share).cast("int")).drop(members)
+    several = F.broadcast(groups.where("split > 1").select(key, "split"))
+    part = F.coalesce(F.pmod(F.xxhash64(*salt), F.col("split")).cast("int"), F.lit(0))
+    dealt = rows.join(several, key, "left").withColumn("part", part).drop("split")
+    repeated = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("split") - 1))).drop("split")
+    return dealt.join(repeated, [key, "part"], "left").drop("part")
+
+
 def host_reputation(
-    pages: DataFrame, bad: Column, long_suffixes: Sequence[str] = (), z: float = 1.645, floor: float = 1e-4
+    pages: DataFrame,
+    bad: Column,
+    long_suffixes: Sequence[str] = (),
+    z: float = 1.645,
+    floor: float = 1e-4,
+    parts: int = 4096,
 ) -> DataFrame:
-    """Per host of ``pages``: labelled pages ``n``, ``bad`` ones, posterior ``rate`` and its ``lower`` bound.
+    """Per host: labelled pages ``n``, ``bad`` ones, all ``pages``, posterior ``rate`` and its ``lower`` bound.
 
     ``pages`` has a url column; ``bad`` says whether a page is bad, null where it has no label. Hosts
     without labelled pages get the prior of their domain.
     """
     counts = pages.select(host_of(F.col("url")).alias("host"), bad.cast("boolean").alias("outcome")).groupBy("host").agg(
-        F.count("outcome").alias("n"), F.count(F.when(F.col("outcome"), 1)).alias("bad")
+        F.count("outcome").alias("n"), F.count(F.when(F.col("outcome"), 1)).alias("bad"), F.count(F.lit(1)).alias("pages")
     )
     domain, suffix = _domain(F.col("host"), long_suffixes)
-    hosts = cut_lineage(counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"))
-    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    root = (total["bad"] + 0.5) / (total["n"] + 1)
+    hosts = cut_lineage(counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad", "pages"))
     rate = F.col("a") / (F.col("a") + F.col("b"))
-    sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = _with_posterior(hosts.groupBy("suffix").agg(*sums).withColumn("above", F.lit(root)), floor)
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    domains = cut_lineage(domains.join(suffixes.select("suffix", rate.alias("above")), "suffix"))
-    domains = _with_posterior(domains, floor).select("domain", rate.alias("above"))
-    hosts = cut_lineage(hosts.join(domains, "domain"))
+    sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("members"))
+    domains = cut_lineage(hosts.groupBy("domain", "suffix").agg(*sums))
+    suffixes = cut_lineage(domains.groupBy("suffix").agg(*sums))
+    total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    root = (total["bad"] + 0.5) / (total["n"] + 1)
+    suffixes = _with_posterior(suffixes.withColumn("above", F.lit(root)), floor).select("suffix", "members", rate.alias("above"))
+    domains = cut_lineage(_with_group(domains, suffixes, "suffix", "members", ["domain"], parts))
+    domains = _with_posterior(domains, floor).select("domain", "members", rate.alias("above"))
+    hosts = cut_lineage(_with_group(hosts, domains, "domain", "members", ["host"], parts))
     a, b = F.col("a"), F.col("b")
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return _with_posterior(hosts, floor).select(
-        "host", "n", "bad", rate.alias("rate"), F.greatest(rate - z * sd, F.lit(0.0)).alias("lower")
+        "host", "n", "bad", "pages", rate.alias("rate"), F.greatest(rate - z * sd, F.lit(0.0)).alias("lower")
     )
 
 
@@ -130,15 +152,17 @@ def judge_urls(
     limit: float = 0.5,
     long_suffixes: Sequence[str] = ("co.uk", "org.uk", "com.au", "co.jp", "com.br"),
     z: float = 1.645,
+    parts: int = 4096,
 ) -> DataFrame:
     """Per page: ``page_id, host, path, rule, verdict, host_pages, host_bad, rate, lower``.
 
     ``pages`` has page_id and url; ``bad`` is a column over ``pages``. The longest fitting rule decides,
     else the page is blocked if ``lower > limit``. A null url, or one without "://", has an empty host and
     path and is judged by the reputation of the empty host. Repeated rows are judged each, other columns
-    are not returned, an empty table gives no rows. A rule list is the caller's own and small.
+    are not returned, an empty table gives no rows. A rule list is the caller's own and small. The pages of a
+    host that has more than one ``parts``-th of them are joined in several parts.
     """
-    reputation = cut_lineage(host_reputation(pages, bad, long_suffixes, z))
+    reputation = cut_lineage(host_reputation(pages, bad, long_suffixes, z, parts=parts))
     if rules:
         reputation = reputation.join(_rules_of_hosts(reputation.select("host"), rules), "host", "left")
     else:
@@ -147,7 +171,7 @@ def judge_urls(
         )
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # Every host of the pages is in the table, so the outer join finds a row for each and keeps every page.
-    judged = urls.join(reputation, "host", "left")
+    judged = _with_group(urls, reputation, "host", "pages", ["page_id", "path"], parts)
     first = F.try_element_at(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(1))
     own = F.when(F.col("lower") > limit, "block").otherwise("allow")
     return judged.withColumn("first", first).select(
