@@ -10,6 +10,8 @@ Documents are dealt to slices. A slice sends its distinct words with their train
 the word digest, which add up the counts of the corpus and send them back; then its distinct bigrams, with
 the unigram count of the second word, to ranges of the context digest. A range holds all bigrams of its
 contexts: it is a partition of the model's table, adds up counts, finds the back-off weights and answers.
+A context with more than a range's tokens is split by its second words over several ranges; what its weight
+needs are plain sums, which travel with the statistics. At most ``hot`` contexts are split.
 A message is a sorted array, so what moves is a few bytes per distinct bigram of a slice, and a very
 frequent word is one entry per slice. Digests are 64 bits.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import PACKED, differences, from_differences, pack_slices, slices, unpack_slices
-from quillsift.llm.shingles import words
+from quillsift.llm.shingles import mixed, words
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
@@ -118,15 +120,36 @@ def contexts(
     ``lower`` the unigram probabilities of their second words. A context that was never seen has weight 1
     and denominator 0; one whose discounts leave nothing counts one token more.
     """
-    seen = counts > 0
     total = np.add.reduceat(counts, starts).astype(float)
     mass = np.add.reduceat(_discounted(counts, d), starts)
-    covered = np.add.reduceat(np.where(seen, lower, 0.0), starts)
+    covered = np.add.reduceat(np.where(counts > 0, lower, 0.0), starts)
+    return weights(total, mass, covered)
+
+
+def weights(total: np.ndarray, mass: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Denominator and back-off weight from the sums of contexts: counts, discounted counts, covered unigram mass."""
     denominator = np.where((total > 0) & (total - mass < 1e-9), total + 1, total)
     rest = np.divide(denominator - mass, denominator, out=np.ones_like(total), where=total > 0)
     return denominator, rest / np.maximum(1 - covered, 1e-300)
 
 
+def hot_sums(starts: np.ndarray, counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+    """Per context the sums from which ``hot_weights`` follows: they add up over the parts of a context.
+
+    All counts; bigrams seen 1..k times; those whose second word was seen 1..k times; counts of the other words.
+    """
+    seen, r = counts > 0, np.arange(1, MOST_DISCOUNTED + 1)[:, None]
+    rows = [counts, *(counts == r), *(seen & (unigram == r)), np.where(seen & (unigram > MOST_DISCOUNTED), unigram, 0)]
+    return np.stack([np.add.reduceat(x.astype(float), starts) for x in rows], axis=1)
+
+
+def hot_weights(sums: np.ndarray, d: np.ndarray, unigrams: Unigrams) -> tuple[np.ndarray, np.ndarray]:
+    r, k = np.arange(1, MOST_DISCOUNTED + 1), MOST_DISCOUNTED
+    mass = sums[:, 0] - sums[:, 1 : k + 1] @ (r * (1 - d[1:]))
+    covered = (sums[:, k + 1 : 2 * k + 1] @ (r * unigrams.d[1:]) + sums[:, -1]) / unigrams.total
+    return weights(sums[:, 0], mass, covered)
+
+
 class Slice:
     """Tokens of the documents of a slice as numbers of its distinct words."""
 
@@ -149,6 +172,7 @@ class Slice:
         tokens[inner], tokens[ends] = word, END
         self.vocabulary, number = np.unique(np.append(tokens, START), return_inverse=True)
         self.token, start = number[:-1], number[-1]
+        self.start, self.end = start, number[ends[0]]
         self.context = np.concatenate([[start], self.token[:-1]])
         self.context[ends[:-1] + 1] = start
         self.learnt = np.repeat(~self.held_out, self.sizes)
@@ -162,6 +186,22 @@ class Slice:
         distinct, which = np.unique(code, return_inverse=True)
         return distinct, which, np.bincount(which[self.learnt], minlength=len(distinct))
 
+    def places(
+        self, context: np.ndarray, word: np.ndarray, corpus: np.ndarray, limit: int, ranges: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the bigrams by range, and in that order the ranges and whether a context is split.
+
+        The counts of the corpus say which contexts are split, so every slice decides alike.
+        """
+        times = corpus.copy()
+        times[self.start] = corpus[self.end]  # as many starts as ends
+        parts = -(-times // limit)[context]
+        digest = self.vocabulary[context]
+        part = mixed(self.vocabulary[word], 7) % np.maximum(parts, 1).astype(np.uint64)
+        number = _range_of(np.where(parts > 1, mixed(digest + part, 8), digest), ranges)
+        order = np.argsort(number, kind="stable")
+        return order, number[order], parts[order] > 1
+
 
 def _word_messages(ranges: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -214,11 +254,21 @@ def _read_stats(replies: pa.Table, kind: int) -> np.ndarray:
     return np.frombuffer(_answers(replies, kind)[0]["a"], "<f8")
 
 
+def _read_sums(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Split contexts and their sums."""
+    return np.frombuffer(row["b"], np.uint64), np.frombuffer(row["c"], "<f8").reshape(-1, 2 * MOST_DISCOUNTED + 2)
+
+
 def _corpus_counts(replies: pa.Table) -> np.ndarray:
     return np.concatenate([_from_planes(r["a"]) for r in _answers(replies, WORDS)]).astype(np.int64)
 
 
-def _bigram_messages(ranges: int):
+def _limit(unigrams: Unigrams, range_tokens: int, hot: int) -> int:
+    """The most tokens of a context that stay together."""
+    return max(range_tokens, unigrams.tokens // hot)
+
+
+def _bigram_messages(ranges: int, range_tokens: int, hot: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _messages([])
@@ -226,8 +276,10 @@ def _bigram_messages(ranges: int):
         corpus = _corpus_counts(right)
         distinct, _, counts = own.bigrams()
         context, word = np.divmod(distinct, len(own.vocabulary))
+        limit = _limit(Unigrams(_read_stats(right, UNIGRAM_STATS)), range_tokens, hot)
+        order, number, split = own.places(context, word, corpus, limit, ranges)
+        context, word, counts = context[order], word[order], counts[order]
         digest = own.vocabulary[context]
-        number = _range_of(digest, ranges)
         cuts = _runs(number)
         rows = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -237,7 +289,7 @@ def _bigram_messages(ranges: int):
                     key[0].as_py(),
                     int(number[a]),
                     BIGRAMS,
-                    _with_counts(digest[a:b][starts[:-1]], np.diff(starts)),
+                    _with_counts(digest[a:b][starts[:-1]], 2 * np.diff(starts) + split[a:b][starts[:-1]]),
                     own.vocabulary[word[a:b]].tobytes(),
                     _planes(corpus[word[a:b]]),
                     _planes(counts[a:b]),
@@ -249,11 +301,12 @@ def _bigram_messages(ranges: int):
 
 
 class Range:
-    """All bigrams of the contexts of a range, in the order of context and word."""
+    """All bigrams of the contexts of a range (of a split context: its part), in the order of context and word."""
 
     def __init__(self, table: pa.Table):
         #: Per message: its contexts, and how many of its bigrams each has.
-        self.heads = [_from_with_counts(x) for x in table.column("a").to_pylist()]
+        heads = [_from_with_counts(x) for x in table.column("a").to_pylist()]
+        self.heads = [(h, n >> 1) for h, n in heads]
         self.sizes = [int(n.sum()) for _, n in self.heads]
         context = np.concatenate([np.repeat(h, n) for h, n in self.heads])
         word = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("b").to_pylist()])
@@ -269,10 +322,14 @@ class Range:
         self.unigram = unigram[order][first]
         self.starts = _runs(c[first])[:-1]
         self.context = c[first][self.starts]
+        #: Which contexts are split.
+        self.split = np.isin(self.context, np.concatenate([h[n & 1 == 1] for h, n in heads]))
 
 
 def _bigram_stats(key: tuple, table: pa.Table) -> pa.Table:
-    return _messages([(0, key[0].as_py(), BIGRAM_STATS, _stats(Range(table).counts), b"", b"", b"")])
+    own = Range(table)
+    names, sums = own.context[own.split], hot_sums(own.starts, own.counts, own.unigram)[own.split]
+    return _messages([(0, key[0].as_py(), BIGRAM_STATS, _stats(own.counts), names.tobytes(), sums.tobytes(), b"")])
 
 
 def _bigram_answers(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -282,6 +339,9 @@ def _bigram_answers(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     unigrams = Unigrams(_read_stats(right, UNIGRAM_STATS))
     d = discounts(_read_stats(right, BIGRAM_STATS)[2:])
     denominator, weight = contexts(own.starts, own.counts, unigrams.probability(own.unigram), d)
+    names, sums = _read_sums(_answers(right, BIGRAM_STATS)[0])
+    at = np.searchsorted(names, own.context[own.split])
+    denominator[own.split], weight[own.split] = hot_weights(sums[at], d, unigrams)
     counts = np.split(own.counts[own.which], np.cumsum(own.sizes)[:-1])
     rows = []
     for slice_id, c, (heads, lengths) in zip(left.column("slice").to_pylist(), counts, own.heads):
@@ -293,7 +353,11 @@ def _bigram_answers(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return _messages(rows)
 
 
-def _scores(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+def _scores(ranges: int, range_tokens: int, hot: int):
+    return lambda key, left, right: _scored(left, right, ranges, range_tokens, hot)
+
+
+def _scored(left: pa.Table, right: pa.Table, ranges: int, range_tokens: int, hot: int) -> pa.Table:
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     if not left.num_rows:
@@ -304,17 +368,20 @@ def _scores(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     corpus = _corpus_counts(right)
     distinct, which, _ = own.bigrams()
     context, word = np.divmod(distinct, len(own.vocabulary))
+    order, number, _ = own.places(context, word, corpus, _limit(unigrams, range_tokens, hot), ranges)
+    context, word = context[order], word[order]
     answers = _answers(right, BIGRAMS)
     counts = np.concatenate([_from_planes(r["a"]) for r in answers]).astype(np.int64)
     denominator = np.concatenate([_from_planes(r["b"]) for r in answers]).astype(float)
-    new = np.concatenate([[True], context[1:] != context[:-1]])
-    head = np.cumsum(new) - 1  # which context of the slice
+    new = np.concatenate([[True], (context[1:] != context[:-1]) | (number[1:] != number[:-1])])
+    head = np.cumsum(new) - 1  # which context of the slice, or part of one
     weight = np.ones(len(denominator))
     weight[np.minimum.reduceat(counts, np.flatnonzero(new)) == 0] = np.concatenate(
         [np.frombuffer(r["c"], "<f8") for r in answers]
     )
     seen = np.divide(_discounted(counts, d), denominator[head], out=np.zeros(len(counts)), where=counts > 0)
-    probability = np.where(counts > 0, seen, weight[head] * unigrams.probability(corpus[word]))
+    probability = np.empty(len(counts))
+    probability[order] = np.where(counts > 0, seen, weight[head] * unigrams.probability(corpus[word]))
     starts = np.cumsum(own.sizes) - own.sizes
     token_counts = corpus[own.token]
     base = np.log10((token_counts + 1) / (unigrams.tokens + unigrams.types + 1))
@@ -331,17 +398,20 @@ def _scores(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _total(stats: DataFrame, width: int) -> DataFrame:
-    """The sums of statistics over all ranges, as one message."""
+    """The sums of statistics over all ranges, and of each split context over its parts, as one message."""
 
     def run(batches):
-        total, last = np.zeros(width), None
+        total, names, sums, kind = np.zeros(width), [], [], None
         for batch in batches:
-            for raw in batch.column(batch.schema.get_field_index("a")).to_pylist():
-                total = total + np.frombuffer(raw, "<f8")
-                last = batch
-        if last is not None:
-            number = last.column(last.schema.get_field_index("kind"))[0].as_py()
-            yield _messages([(0, 0, number, total.tobytes(), b"", b"", b"")]).to_batches()[0]
+            for row in batch.to_pylist():
+                total, kind = total + np.frombuffer(row["a"], "<f8"), row["kind"]
+                for found, part in zip((names, sums), _read_sums(row)):
+                    found.append(part)
+        if kind is not None:
+            distinct, which = np.unique(np.concatenate(names), return_inverse=True)
+            added = np.zeros((len(distinct), 2 * MOST_DISCOUNTED + 2))
+            np.add.at(added, which, np.concatenate(sums))
+            yield _messages([(0, 0, kind, total.tobytes(), distinct.tobytes(), added.tobytes(), b"")]).to_batches()[0]
 
     # Two levels: per task first, then one row per task is left for one task.
     return stats.mapInArrow(run, MESSAGE).repartition(1).mapInArrow(run, MESSAGE)
@@ -360,6 +430,7 @@ def katz_scores(
     held_out: Column,
     slice_bytes: int = 5_000_000,
     range_tokens: int = 500_000,
+    hot: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -369,7 +440,8 @@ def katz_scores(
     is its log10 probability, ``base_score`` that of unigrams with one added to every count. A null or
     empty text is its end alone. Repeated rows and null ids are scored, and learnt from, like any other; a
     null ``held_out`` is false; other columns are not read; an empty table gives no rows. Without training
-    rows every word is unknown.
+    rows every word is unknown. ``range_tokens`` or one ``hot``-th of all tokens, whichever is more, is what a
+    context may have before it is split.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     read = docs.select(
@@ -385,7 +457,10 @@ def katz_scores(
     word_messages = by_slice.applyInArrow(_word_messages(ranges), MESSAGE)
     word_stats = _total(word_messages.groupBy("range").applyInArrow(_word_stats, MESSAGE), width)
     word_counts = word_messages.groupBy("range").applyInArrow(_word_counts, MESSAGE)
-    bigram_messages = by_slice.cogroup(word_counts.groupBy("slice")).applyInArrow(_bigram_messages(ranges), MESSAGE)
+    counted = word_counts.union(_to_each(word_stats, "slice", count))
+    bigram_messages = by_slice.cogroup(counted.groupBy("slice")).applyInArrow(
+        _bigram_messages(ranges, range_tokens, hot), MESSAGE
+    )
     bigram_stats = _total(bigram_messages.groupBy("range").applyInArrow(_bigram_stats, MESSAGE), width)
     stats = word_stats.union(bigram_stats)
     answers = bigram_messages.groupBy("range").cogroup(_to_each(stats, "range", ranges).groupBy("range")).applyInArrow(
@@ -393,6 +468,6 @@ def katz_scores(
     )
     replies = word_counts.union(answers).union(_to_each(stats, "slice", count))
     return by_slice.cogroup(replies.groupBy("slice")).applyInArrow(
-        _scores,
+        _scores(ranges, range_tokens, hot),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -98,6 +98,12 @@ def test_repeated_strings(docs, limits):
     assert got[4].n_spans == 1 and got[4].n_removed == len(BASE)
 
 
+def test_a_copy_beside_another_text_of_its_id(spark):
+    rows = spark.createDataFrame([(1, BASE), (2, BASE), (2, "quite another text " * 5)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in substrings.remove_repeats(rows).collect())
+    assert got == [(1, len(BASE), 0), (2, len(BASE), len(BASE)), (2, 95, 0)]
+
+
 def test_difference_cover_reaches_every_distance():
     differences = {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER}
     assert differences == set(range(substrings.PERIOD))
@@ -166,6 +172,15 @@ def test_rules_and_odd_urls(spark):
     assert (got[4].host, got[5].path) == ("", "") and len(got) == 6
 
 
+def test_hosts_in_parts_change_nothing(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    bad = F.col("html").rlike("#{3}")
+    a = sorted(map(tuple, urls.judge_urls(pages, bad, parts=1).collect()))
+    b = sorted(map(tuple, urls.judge_urls(pages, bad, parts=4096).collect()))
+    assert len(a) == pages.count() and [x[:7] for x in a] == [x[:7] for x in b]
+    assert all(math.isclose(x[7], y[7]) for x, y in zip(a, b))
+
+
 def test_top_k_with_ties_and_bad_vectors(spark):
     rows = [(i, [1.0, 0.5]) for i in range(50)] + [(50, None), (51, [float("nan"), 1.0]), (52, [None, 1.0]), (53, [2.0, 2.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -209,6 +224,26 @@ def test_katz_is_the_same_in_any_slices(docs):
     assert all(math.isclose(x.score, y.score) and x.n_known == y.n_known for x, y in zip(a, b))
 
 
+def test_katz_split_contexts_change_nothing(spark, sf_dir):
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = quality.held_out(F.col("doc_id"), 7, 2)
+    whole = {r.doc_id: r.score for r in katz.katz_scores(texts, held).collect()}
+    small = katz.katz_scores(texts, held, slice_bytes=100_000, range_tokens=400)
+    split = {r.doc_id: r.score for r in small.collect()}
+    assert whole.keys() == split.keys()
+    assert all(math.isclose(x, split[d], rel_tol=1e-9) for d, x in whole.items())
+
+
+def test_katz_sums_of_parts_give_the_weights_of_the_whole():
+    rng = np.random.default_rng(5)
+    counts, unigram = rng.integers(0, 12, 300), rng.zipf(1.5, 300).clip(1, 90)
+    stats = np.concatenate([[unigram.sum(), 300], [(unigram == r).sum() for r in range(1, 7)]]).astype(float)
+    unigrams, d = katz.Unigrams(stats), katz.discounts(np.array([30, 12, 6, 4, 3, 2]))
+    whole = katz.contexts(np.array([0]), counts, unigrams.probability(unigram), d)
+    parts = katz.hot_sums(np.array([0, 70, 110]), counts, unigram).sum(axis=0, keepdims=True)
+    assert np.allclose(whole, katz.hot_weights(parts, d, unigrams))
+
+
 def test_pieces_match_and_come_back(docs):
     path = P.path("piece_bpe_32k.model")
     encoded = pieces.encode_table(docs, path)
