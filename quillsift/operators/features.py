@@ -9,11 +9,12 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillsift.functions import text as X
+from quillsift.session import cut_lineage
 
 _VECTOR = T.StructType([T.StructField("v", VectorUDT())])
 
@@ -136,6 +137,40 @@ def long_form(df: DataFrame, vector: str, model: CountVectorizerModel, value: st
     return named.select(row_id, "term", F.col("_entry.values").alias(value))
 
 
+def term_counts(
+    df: DataFrame, terms: str = "terms", min_df: float = 10, max_df: float = 0.5, row_id: str = "review_id"
+) -> DataFrame:
+    """Rows of key, term, count ``n`` and document frequency ``df``, over all terms within the limits.
+
+    The relational form of ``count_features``: no vocabulary comes to the driver, so its size has no limit.
+    ``min_df`` is a number of rows, ``max_df`` a share of them.
+    """
+    counted = df.select(row_id, F.explode(terms).alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("n"))
+    counted = cut_lineage(counted.withColumn("n", F.col("n").cast("double")))
+    rows = df.agg(F.count("*")).scalar()
+    used = counted.groupBy("term").agg(F.count("*").alias("df"))
+    used = used.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * rows))
+    return counted.join(used, "term").select(row_id, "term", "n", "df")
+
+
+def tfidf_weights(
+    df: DataFrame,
+    terms: str = "terms",
+    min_df: float = 5,
+    max_df: float = 0.9,
+    sublinear: bool = False,
+    row_id: str = "review_id",
+) -> DataFrame:
+    """The weights of ``tfidf_features`` as rows of key, term and ``weight``, over all terms within the limits."""
+    counted = term_counts(df, terms, min_df, max_df, row_id)
+    tf = F.log("n") + 1.0 if sublinear else F.col("n")
+    rows = df.agg(F.count("*")).scalar()
+    raw = counted.select(row_id, "term", (tf * (F.log((rows + 1.0) / (F.col("df") + 1)) + 1)).alias("raw"))
+    # The window of a key holds the distinct terms of one text.
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(row_id)))
+    return raw.select(row_id, "term", (F.col("raw") / norm).alias("weight"))
+
+
 def document_frequency(df: DataFrame, terms: str = "terms") -> DataFrame:
     """Rows in which each term occurs."""
     distinct = df.select(F.explode(F.array_distinct(terms)).alias("term"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillsift.functions.columns import LABELS, full_text, sentiment_label
+from quillsift.functions.columns import LABELS, full_text
 from quillsift.operators import classify as M
 from quillsift.operators import features as V
 from quillsift.operators.evaluate import classification_report
-from quillsift.operators.quality import clean_dataset
 from quillsift.operators.sampling import stratified_kfold, stratified_split
 from quillsift.plans.catalog.tables import labelled
 from quillsift.plans.catalog.text import cleaned
@@ -37,23 +36,17 @@ view("tallied", "SELECT review_id, term, count(*) AS tf FROM termed GROUP BY 1,
 
 
 def _chosen(min_df, max_df):
-    """Terms within the limits of document frequency; the tables hold fewer than the vocabulary limit."""
+    """Terms within the limits of document frequency."""
     return f"""SELECT term, count(*) AS df FROM tallied GROUP BY 1
     HAVING count(*) >= {min_df} AND count(*) <= {max_df}::DOUBLE * (SELECT count(*) FROM cleaned)"""
 
 
-# More terms than any vocabulary of these tables has, so that no tie decides which terms stay.
-ALL_TERMS = 1 << 20
-
-
 @query(
     "count_features",
     f"WITH chosen AS ({_chosen(10, 0.5)}) SELECT review_id, term, CAST(tf AS DOUBLE) AS n FROM tallied JOIN chosen USING (term)",
 )
 def _(spark, sf_dir):
-    terms = _terms(spark, sf_dir).persist()
-    counter = V.count_features(terms, max_features=ALL_TERMS)
-    return V.long_form(counter.transform(terms), "counts", counter, "n")
+    return V.term_counts(_terms(spark, sf_dir)).select("review_id", "term", "n")
 
 
 @query("document_frequency", "SELECT term, count(*) AS df FROM tallied GROUP BY 1")
@@ -69,9 +62,7 @@ def _weighted(tf):
 
 
 def _tfidf(spark, sf_dir, sublinear):
-    terms = _terms(spark, sf_dir).persist()
-    model = V.tfidf_features(terms, min_df=MIN_DF, max_features=ALL_TERMS, sublinear=sublinear)
-    return rounded(V.long_form(model.transform(terms), "features", model.stages[0], "weight"), "weight")
+    return rounded(V.tfidf_weights(_terms(spark, sf_dir), min_df=MIN_DF, sublinear=sublinear), "weight")
 
 
 @query("tfidf_features", _weighted("tf"))
@@ -249,9 +240,10 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """The columns of the enriched table that follow from the review alone."""
-    kept = clean_dataset(timed_reviews(spark, sf_dir)).withColumns(
-        {"sentiment_label": sentiment_label(), "year_month": F.date_format("timestamp", "yyyy-MM")}
+    score, topics = _fitted(spark, sf_dir)
+    enriched = enrich_reviews(timed_reviews(spark, sf_dir, heavy=True), score, topics)
+    return enriched.select(
+        "review_id", "rating", "title", "text", "timestamp", "year_month", "helpful_vote", "verified_purchase", "sentiment_label"
     )
-    return kept.drop("asin", "user_id")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from quillsift.functions import columns as C
 from quillsift.operators import aggregates as A
 from quillsift.operators.evaluate import nested_report
+from quillsift.operators.features import vector_entries
 from quillsift.plans.registry import query, view
 from quillsift.session import scratch_path
 from quillsift.sources import readers, sinks
@@ -139,7 +140,9 @@ def _(spark, sf_dir):
 
     sinks.model_store(spark, path, fit)
     stored = sinks.model_store(spark, path, fit)
-    return stored.transform(texts).select("review_id", F.size("words").alias("words"))
+    # The counts come from the vocabulary that was fitted and read back.
+    counts = F.transform(vector_entries(F.col("counts"))["values"], lambda c: c.cast("int"))
+    return stored.transform(texts).select("review_id", F.aggregate(counts, F.lit(0), lambda a, c: a + c).alias("words"))
 
 
 @query("filter_min_year", "SELECT review_id, timestamp FROM timed WHERE year(timestamp) >= 2019")

@@ -225,3 +225,16 @@ def test_metrics_json(spark, sf_dir):
     report = json.loads(line)
     assert set(report["report"]) == {"negative", "neutral", "positive", "accuracy", "macro avg", "weighted avg"}
     assert report["test_macro_f1"] == pytest.approx(np.mean([report["report"][c]["f1-score"] for c in LABELS]))
+
+
+@pytest.mark.parametrize("sublinear", [False, True])
+def test_relational_weights_equal_those_of_the_vectors(spark, sublinear):
+    texts = [(i, f"good soap {'bad ' * (i % 4)} smell w{i % 7}") for i in range(60)] + [(60, ""), (61, None)]
+    terms = V.Terms().transform(spark.createDataFrame(texts, "review_id long, clean_text string")).where("terms is not null")
+    model = V.tfidf_features(terms, min_df=3, sublinear=sublinear)
+    wide = V.long_form(model.transform(terms), "features", model.stages[0], "weight")
+    narrow = V.tfidf_weights(terms, min_df=3, sublinear=sublinear)
+    expected = {(r.review_id, r.term): r.weight for r in wide.collect()}
+    got = {(r.review_id, r.term): r.weight for r in narrow.collect()}
+    assert expected.keys() == got.keys() and len(got) > 100
+    assert all(abs(w - got[key]) < 1e-9 for key, w in expected.items())
