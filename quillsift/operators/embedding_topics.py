@@ -1,9 +1,9 @@
 """Topics from text embeddings: embed, reduce, group by density, name, merge.
 
-Density is found through micro-clusters. K-means places a bounded number of centres; a centre with
-enough rows close to it is dense, and dense centres close to each other form a topic. Rows are only
-ever compared with centres and summed per centre within each task, so neither the number of rows nor
-a heap of equal ones makes pairs of rows, and no row is shuffled to find a topic.
+Density is that of the rows themselves: equal vectors are counted once with their number, the distinct
+ones are packed into blocks of bounded size, and a task compares one block with another by a matrix
+product. Pairs of blocks that lie too far apart are left out. Dense vectors are linked within each block
+first, so a heap of near ones yields one edge per pair of groups and not one per pair of rows.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.stat import Summarizer
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from quillsift.functions.arrays import fenced
 from quillsift.functions.text import ENGLISH_STOP_WORDS, terms, tokenize_words, without
+from quillsift.operators.components import components
 from quillsift.session import cut_lineage
 
 # Smallest topic, and the number of topics after merging.
@@ -30,6 +31,10 @@ MERGED_TOPICS = 25
 
 OUTLIER = -1
 
+# Vectors of a block, and how many of them a task compares at a time.
+BLOCK_ROWS = 2048
+STRIP = 256
+
 
 def embed_texts(df: DataFrame, make_encoder, text: str = "light_text", output: str = "vec", batch_size: int = 256) -> DataFrame:
     """Embed texts with a pretrained encoder, in batches.
@@ -57,18 +62,122 @@ def reduce_dims(df: DataFrame, k: int, vector: str = "features", output: str = "
 
 @dataclass
 class DensityTopics:
-    """Fitted topics: micro-cluster centres and the topic of each (-1 where not dense)."""
+    """Fitted topics: the dense vectors (written, in blocks) with the topic of each, -1 where it was too small."""
 
-    centres: KMeansModel
-    topic_of_centre: list[int]
+    blocks: DataFrame
     radius: float
+    centres: int
+    seed: int
 
     def assign(self, df: DataFrame, vector: str = "vec", output: str = "topic") -> DataFrame:
-        """Topic of each row: that of its nearest centre, or -1 if that centre is out of reach."""
-        placed = _nearest(self.centres, df, vector)
-        topics = F.array(*[F.lit(t) for t in self.topic_of_centre])
-        topic = F.when(F.col("_distance") <= self.radius, topics[F.col("_centre")]).otherwise(OUTLIER)
-        return placed.withColumn(output, topic.cast("int")).drop("_centre", "_distance")
+        """Topic of each row: that of the nearest dense vector, or -1 if none is in reach."""
+        rows = cut_lineage(df.withColumn("_point", _doubles(F.col(vector))))
+        points = _points(rows.select("_point"))
+        found = _nearest(_blocks(points, self.centres, self.seed), self.blocks, self.radius)
+        topics = points.select("_id", "_point").join(found, "_id").select("_point", F.col("_value").cast("int").alias("_topic"))
+        topic = F.coalesce("_topic", F.lit(OUTLIER))
+        return rows.join(topics, "_point", "left").withColumn(output, topic).drop("_point", "_topic")
+
+
+def _doubles(vector: Column) -> Column:
+    """The vector as doubles; null if a component is missing or not finite, which is in reach of nothing."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    whole = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.when(F.coalesce(whole, F.lit(False)), wide)
+
+
+def _points(vectors: DataFrame) -> DataFrame:
+    """Distinct vectors with an id and, as _value, their number of rows."""
+    counted = vectors.where(F.col("_point").isNotNull()).groupBy("_point").agg(F.count("*").alias("_value"))
+    return cut_lineage(counted.withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of two matrices, taken about the mean of the first."""
+    middle = a.mean(axis=0)
+    a, b = a - middle, b - middle
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2.0 * (a @ b.T), 0.0)
+
+
+def _limit(radius: float) -> float:
+    """Squared radius, with room for the rounding of distances."""
+    return (radius * (1.0 + 1e-9)) ** 2
+
+
+def _cells(pivots: np.ndarray):
+    """Marks each vector with its nearest pivot."""
+
+    def run(batches):
+        for batch in batches:
+            points = _matrix(pa.chunked_array([batch.column("_point")]))
+            cells = [_squares(points[i : i + 2048], pivots).argmin(axis=1) for i in range(0, len(points), 2048)]
+            flat = np.concatenate(cells) if cells else np.empty(0, np.int64)
+            yield batch.append_column("_cell", pa.array(flat, pa.int64()))
+
+    return run
+
+
+def _groups(points: np.ndarray, radius: float) -> np.ndarray:
+    """For each row, the first row it is connected to by steps within the radius."""
+    group = np.full(len(points), -1)
+    for start in range(len(points)):
+        if group[start] >= 0:
+            continue
+        group[start], frontier = start, np.array([start])
+        while len(frontier):
+            left = np.flatnonzero(group < 0)
+            reached = np.zeros(len(left), dtype=bool)
+            for i in range(0, len(frontier), STRIP):
+                reached |= (_squares(points[frontier[i : i + STRIP]], points[left]) <= _limit(radius)).any(axis=0)
+            frontier = left[reached]
+            group[frontier] = start
+    return group
+
+
+def _pack(radius: float | None):
+    """One row for the vectors of a block; with a radius, _value becomes the id that names the group within it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, values = (table.column(c).to_numpy() for c in ("_id", "_value"))
+        points = _matrix(table.column("_point"))
+        if radius is not None:
+            values = ids[_groups(points, radius)]
+        centre = points.mean(axis=0)
+        reach = float(np.linalg.norm(points - centre, axis=1).max())
+        kinds = [("_block", pa.int64()), ("_centre", pa.list_(pa.float64())), ("_reach", pa.float64())]
+        kinds += [("_ids", pa.list_(pa.int64())), ("_values", pa.list_(pa.int64())), ("_points", pa.binary())]
+        row = [table.column("_block")[0].as_py(), centre, reach, ids, values, points.astype(np.float64).tobytes()]
+        return pa.table({name: pa.array([x], kind) for (name, kind), x in zip(kinds, row)})
+
+    return run
+
+
+_BLOCK = "_block long, _centre array<double>, _reach double, _ids array<long>, _values array<long>, _points binary"
+
+
+def _blocks(points: DataFrame, centres: int, seed: int, radius: float | None = None) -> DataFrame:
+    """Vectors in blocks of about BLOCK_ROWS, written; near ones share a block where that is possible.
+
+    The cells are those of some of the vectors. Their number decides how many pairs of blocks are out of
+    reach of each other, and never what is found; cells with many rows are cut into several blocks.
+    """
+    n = max(1, min(centres, points.count() // BLOCK_ROWS))
+    picked = points.orderBy(F.xxhash64(F.lit(seed), "_point"), "_point").limit(n).collect()
+    if not picked:
+        return points.sparkSession.createDataFrame([], _BLOCK)
+    pivots = np.array([row["_point"] for row in picked], dtype=np.float64)
+    placed = points.select("_id", "_value", "_point")
+    placed = cut_lineage(placed.mapInArrow(_cells(pivots), "_id long, _value long, _point array<double>, _cell long"))
+    # One row per cell, and their number is a parameter.
+    sizes = F.broadcast(placed.groupBy("_cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_parts")))
+    block = F.col("_cell") * 2**32 + F.pmod(F.xxhash64("_id"), F.col("_parts"))
+    dealt = placed.join(sizes, "_cell").select(block.alias("_block"), "_id", "_value", "_point")
+    return cut_lineage(dealt.groupBy("_block").applyInArrow(_pack(radius), _BLOCK))
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -76,38 +185,79 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s))
 
 
-def _nearest(centres: KMeansModel, df: DataFrame, vector: str) -> DataFrame:
-    """Nearest centre of each row and the distance to it."""
-    spark = df.sparkSession
-    points = [(i, [float(x) for x in c]) for i, c in enumerate(centres.clusterCenters())]
-    table = spark.createDataFrame(points, "_centre int, _point array<double>")
-    placed = centres.transform(df.withColumn("_vector", array_to_vector(F.col(vector))))
-    # One row per centre, and their number is a parameter.
-    near = placed.join(F.broadcast(table), "_centre")
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    return near.withColumn("_distance", _distance(doubles, F.col("_point"))).drop("_point", "_vector")
+def _compared(left: DataFrame, right: DataFrame, radius: float, run, schema: str, once: bool = False) -> DataFrame:
+    """``run`` on each pair of blocks that may have vectors in reach of each other; ``once`` without the reverse."""
+    a, b = (df.select(*[F.col(c).alias(side + c) for c in df.columns]) for side, df in (("a", left), ("b", right)))
+    ends = [a.select("a_block", "a_centre", "a_reach"), b.select("b_block", "b_centre", "b_reach")]
+    gap = _distance(F.col("a_centre"), F.col("b_centre"))
+    near = gap <= (F.col("a_reach") + F.col("b_reach") + radius) * (1.0 + 1e-6)
+    pairs = ends[0].join(ends[1], near & (F.col("a_block") < F.col("b_block")) if once else near).select("a_block", "b_block")
+    work = pairs.join(a.drop("a_centre", "a_reach"), "a_block").join(b.drop("b_centre", "b_reach"), "b_block")
+    return work.groupBy("a_block", "b_block").applyInArrow(run, schema)
 
 
-def _linked(points: np.ndarray, rows: np.ndarray, min_points: int, radius: float) -> np.ndarray:
-    """Number of the group of each dense centre, -1 for the others; neighbours in reach are linked."""
+def _sides(table: pa.Table) -> list[np.ndarray]:
+    """Ids, values and vectors of the two blocks of a pair."""
+    out = []
+    for side in "ab":
+        ids, values = (np.array(table.column(f"{side}{c}")[0].as_py(), dtype=np.int64) for c in ("_ids", "_values"))
+        flat = np.frombuffer(table.column(f"{side}_points")[0].as_py(), dtype=np.float64)
+        out += [ids, values, flat.reshape(len(ids), -1)]
+    return out
 
-    def reach(i: int) -> np.ndarray:
-        return np.linalg.norm(points - points[i], axis=1) <= radius
 
-    dense = np.array([rows[reach(i)].sum() >= min_points for i in range(len(points))]) & (rows > 0)
-    group = np.full(len(points), OUTLIER)
-    current = 0
-    for start in np.flatnonzero(dense):
-        if group[start] != OUTLIER:
-            continue
-        frontier = [start]
-        group[start] = current
-        while frontier:
-            reached = np.flatnonzero(dense & (group == OUTLIER) & reach(frontier.pop()))
-            group[reached] = current
-            frontier.extend(reached)
-        current += 1
-    return group
+def _weigh(radius: float):
+    """Rows in reach of each vector of the first block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, _, a, _, values, b = _sides(table)
+        n = [(_squares(a[i : i + STRIP], b) <= _limit(radius)) @ values for i in range(0, len(a), STRIP)]
+        rows = np.concatenate(n)
+        return pa.table({"_id": pa.array(ids[rows > 0]), "n": pa.array(rows[rows > 0], pa.int64())})
+
+    return run
+
+
+def _link(radius: float):
+    """Pairs of groups of two blocks that have vectors in reach of each other."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, own, a, _, other, b = _sides(table)
+        order = np.argsort(other, kind="stable")
+        b, (names, starts) = b[order], np.unique(other[order], return_index=True)
+        found = []
+        for i in range(0, len(a), STRIP):
+            met = np.logical_or.reduceat(_squares(a[i : i + STRIP], b) <= _limit(radius), starts, axis=1)
+            at, group = np.nonzero(met)
+            found.append(np.stack([own[i + at], names[group]], axis=1))
+        links = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+
+    return run
+
+
+def _closest(radius: float):
+    """The nearest vector of the second block in reach of each of the first, by its value."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, _, a, _, values, b = _sides(table)
+        out = []
+        for i in range(0, len(a), STRIP):
+            squares = _squares(a[i : i + STRIP], b)
+            best = squares.argmin(axis=1)
+            least = squares[np.arange(len(best)), best]
+            near = least <= _limit(radius)
+            out.append((ids[i : i + STRIP][near], least[near], values[best[near]]))
+        flat = [np.concatenate(x) for x in zip(*out)]
+        return pa.table({"_id": pa.array(flat[0]), "_square": pa.array(flat[1]), "_value": pa.array(flat[2])})
+
+    return run
+
+
+def _nearest(blocks: DataFrame, dense: DataFrame, radius: float) -> DataFrame:
+    """(_id, _value): the value of the nearest dense vector, for vectors that have one in reach."""
+    near = _compared(blocks, dense, radius, _closest(radius), "_id long, _square double, _value long")
+    return near.groupBy("_id").agg(F.min(F.struct("_square", "_value"))["_value"].alias("_value"))
 
 
 def density_topics(
@@ -121,23 +271,30 @@ def density_topics(
 ) -> DensityTopics:
     """Find topics whose number follows from the data; the largest is topic 0.
 
-    A centre is dense if the centres within the radius of it, itself included, have at least
-    ``min_points`` rows close to them. Topics with fewer than ``min_topic_size`` rows dissolve into
-    the outliers.
+    A vector is dense if at least ``min_points`` rows, its own included, lie within the radius of it.
+    Dense vectors within the radius of each other are of one topic, and a row belongs to its nearest
+    dense vector in reach. Topics with fewer than ``min_topic_size`` rows dissolve into the outliers.
+    ``centres`` is the largest number of cells that the vectors are dealt to; it decides the speed alone.
     """
-    points = df.select(array_to_vector(F.col(vector)).alias("_vector")).persist()
-    fitted = KMeans(k=centres, seed=seed, featuresCol="_vector", predictionCol="_centre").fit(points)
-    points.unpersist()
-    placed = _nearest(fitted, df.select(vector), vector)
-    close = placed.filter(F.col("_distance") <= radius).groupBy("_centre").agg(F.count("*").alias("n"))
-    rows = np.zeros(len(fitted.clusterCenters()), dtype=np.int64)
-    for row in close.collect():
-        rows[row["_centre"]] = row["n"]
-    group = _linked(np.array(fitted.clusterCenters()), rows, min_points, radius)
-    sizes = {g: int(rows[group == g].sum()) for g in set(group.tolist()) if g != OUTLIER}
-    kept = sorted((g for g in sizes if sizes[g] >= min_topic_size), key=lambda g: (-sizes[g], g))
-    number = {g: i for i, g in enumerate(kept)}
-    return DensityTopics(fitted, [number.get(g, OUTLIER) for g in group.tolist()], radius)
+    points = _points(df.select(_doubles(F.col(vector)).alias("_point")))
+    blocks = _blocks(points, centres, seed)
+    reached = _compared(blocks, blocks, radius, _weigh(radius), "_id long, n long")
+    dense = reached.groupBy("_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("_id")
+    grouped = _blocks(cut_lineage(points.join(dense, "_id")), centres, seed, radius)
+    edges = _compared(grouped, grouped, radius, _link(radius), "a long, b long", once=True)
+    joined = components(edges)
+    members = grouped.select(F.explode(F.arrays_zip("_ids", "_values")).alias("m")).select("m._ids", "m._values")
+    group = members.join(joined, F.col("_values") == F.col("node"), "left")
+    group = group.select(F.col("_ids").alias("_id"), F.coalesce("component", "_values").alias("_group"))
+    named = cut_lineage(points.join(group, "_id").select("_id", F.col("_group").alias("_value"), "_point"))
+    found = _nearest(blocks, _blocks(named, centres, seed), radius)
+    sizes = points.select("_id", "_point", F.col("_value").alias("n")).join(found, "_id").groupBy("_value")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.min("_point").alias("_first")).where(F.col("n") >= min_topic_size)
+    # One row per topic; equal sizes in an order that does not depend on the ids.
+    numbers = sizes.select("_value", (F.row_number().over(Window.orderBy(F.desc("n"), "_first")) - 1).alias("_topic"))
+    topic = F.coalesce("_topic", F.lit(OUTLIER)).cast("long").alias("_value")
+    kept = cut_lineage(named.join(numbers, "_value", "left").select("_id", topic, "_point"))
+    return DensityTopics(_blocks(kept, centres, seed), radius, centres, seed)
 
 
 def topic_terms(
@@ -180,8 +337,8 @@ def ctfidf_words(
 def merge_topics(df: DataFrame, n: int = MERGED_TOPICS, topic: str = "topic", vector: str = "vec") -> DataFrame:
     """Merge the most similar topics until ``n`` remain; outliers stay apart.
 
-    Each topic is its mean vector and its size, taken per task and then summed. These few rows (at
-    most one per centre of the fit) are merged by average cosine distance; rows are then relabelled
+    Each topic is its mean vector and its size, taken per task and then summed. These rows (one
+    per topic) are merged by average cosine distance; rows are then relabelled
     by a lookup in the row. The largest merged topic gets number 0.
     """
     grouped = df.filter(F.col(topic) != OUTLIER).groupBy(topic)

@@ -50,6 +50,29 @@ def test_a_third_of_the_rows_may_be_equal(spark):
     assert Counter(r["topic"] for r in topics) == {0: 800, 1: 400}
 
 
+def test_more_groups_than_centres(spark):
+    rng = np.random.default_rng(7)
+    places = rng.normal(size=(60, 8)) * 10
+    rows = [(i, (places[i % 60] + 0.05 * rng.normal(size=8)).tolist()) for i in range(2400)]
+    points = spark.createDataFrame(rows, "review_id long, vec array<double>").repartition(3)
+    found = B.density_topics(points, radius=1.0, min_points=5, min_topic_size=20, centres=32).assign(points).collect()
+    topics = defaultdict(set)
+    for r in found:
+        topics[r["review_id"] % 60].add(r["topic"])
+    assert len(found) == 2400 and {t for s in topics.values() for t in s} == set(range(60))
+    assert all(len(s) == 1 for s in topics.values())
+
+
+def test_a_chain_over_many_blocks_is_one_topic(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    rows = [(i, [0.9 * i, 0.0]) for i in range(200)] + [(1000, [0.0, 50.0]), (1001, None), (1002, [180.0, 0.0])]
+    points = spark.createDataFrame(rows, "review_id long, vec array<double>")
+    found = B.density_topics(points, radius=1.0, min_points=3, min_topic_size=20, centres=6).assign(points).collect()
+    topics = {r["review_id"]: r["topic"] for r in found}
+    assert len(topics) == 203 and {i for i, t in topics.items() if t == -1} == {1000, 1001}
+    assert {t for i, t in topics.items() if i not in (1000, 1001)} == {0}
+
+
 def test_merging_keeps_groups_whole(planted):
     merged = B.merge_topics(planted, n=4).collect()
     assert {r["topic"] for r in merged} == {-1, 0, 1, 2, 3}
