@@ -29,6 +29,9 @@ from quillsift.operators.features import CleanText, Terms, add_class_weights, cl
 
 CLASSES = len(LABELS)
 
+# Largest p value of a feature that the trees use.
+SEPARATES = 0.05
+
 
 def add_label(df: DataFrame, label: str = "sentiment_label") -> DataFrame:
     """Class id as the double that Spark ML expects."""
@@ -221,17 +224,27 @@ def train_boosted_trees(
     df: DataFrame,
     trees: int = 300,
     depth: int = 6,
-    top_features: int = 500,
+    top_features: int | None = None,
     features: str = "features",
     seed: int = 42,
     parallelism: int = CLASSES,
 ) -> PipelineModel:
-    """Boosted trees, one against the rest, on the features that separate the classes best."""
-    selector = UnivariateFeatureSelector(
-        featuresCol=features, outputCol="_selected", labelCol="label", selectionMode="numTopFeatures"
-    )
-    selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(top_features)
-    chosen = selector.fit(df)
+    """Boosted trees, one against the rest, on the features that separate the classes.
+
+    These are all that pass an F test over all rows, or the best ``top_features`` of them. Spark's trees
+    hold a row as one number per feature, so the whole vocabulary does not fit.
+    """
+
+    def select(mode: str, threshold: float):
+        selector = UnivariateFeatureSelector(
+            featuresCol=features, outputCol="_selected", labelCol="label", selectionMode=mode
+        )
+        selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(threshold)
+        return selector.fit(df)
+
+    chosen = select("fpr", SEPARATES) if top_features is None else select("numTopFeatures", top_features)
+    if not chosen.selectedFeatures:
+        chosen = select("numTopFeatures", 1)
     weights = _weights(df)
     selected = chosen.transform(df).select("label", "_selected").persist()
 

@@ -17,9 +17,8 @@ from quillsift.plans.registry import query, rounded, view
 from quillsift.session import cut_lineage, spread
 from quillsift.sources.tables import reviews, timed_reviews
 
-# Settings of these runs, for which the tables here are small; the defaults are in the operators.
+# A setting of these runs, for which the tables here are small; the fits run by the operators' defaults.
 MIN_DF = 5
-ITERATIONS = 10
 
 
 def _terms(spark, sf_dir):
@@ -103,51 +102,49 @@ def _vectors(spark, sf_dir):
 @query("train_logreg")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
-    return M.score_table(M.train_logreg(train, max_iter=ITERATIONS), test)
+    return M.score_table(M.train_logreg(train), test)
 
 
 @query("train_linear_svc")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
-    return M.score_table(M.train_linear_svc(train, max_iter=ITERATIONS), test)
+    return M.score_table(M.train_linear_svc(train), test)
 
 
 @query("calibrate_sigmoid")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
     folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id").persist()
-    return M.score_table(M.calibrate_sigmoid(folded, max_iter=ITERATIONS), test)
+    return M.score_table(M.calibrate_sigmoid(folded), test)
 
 
 @query("train_boosted_trees")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
-    return M.score_table(M.train_boosted_trees(train, trees=5, depth=4, top_features=100), test)
+    return M.score_table(M.train_boosted_trees(train), test)
 
 
 @query("end_to_end_model")
 def _(spark, sf_dir):
     data = _dataset(spark, sf_dir)
-    model = M.end_to_end_model(
-        data.filter("split = 'train'"), lambda d: M.train_logreg(d, max_iter=ITERATIONS), min_df=MIN_DF
-    )
+    model = M.end_to_end_model(data.filter("split = 'train'"), M.train_logreg, min_df=MIN_DF)
     return M.score_table(model, data.filter("split = 'test'"))
 
 
 @query("score_table")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
-    scored = M.score_table(M.train_logreg(train, max_iter=ITERATIONS), test)
+    scored = M.score_table(M.train_logreg(train), test)
     return scored.groupBy("true_label", "predicted_label").agg(
         F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence")
     )
 
 
-def _search(spark, sf_dir, draws=15):
+def _search(spark, sf_dir):
     data = _dataset(spark, sf_dir)
     train = data.filter("split = 'train'")
     folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id")
-    return M.random_search(folded, draws, max_iter=3, parallelism=8), data
+    return M.random_search(folded, parallelism=8), data
 
 
 @query("random_search")
@@ -158,7 +155,7 @@ def _(spark, sf_dir):
 
 @query("refit_best")
 def _(spark, sf_dir):
-    model, data = _search(spark, sf_dir, draws=3)
+    model, data = _search(spark, sf_dir)
     tested = model.bestModel.transform(data.filter("split = 'test'"))
     named = tested.select(
         F.col("sentiment_label").alias("true_label"), M.label_name(F.col("prediction")).alias("predicted_label")
@@ -195,9 +192,7 @@ def _(spark, sf_dir):
 def _fitted(spark, sf_dir):
     """A scorer and a topic model fitted on the clean reviews."""
     ready = spread(cut_lineage(M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))), "review_id")
-    classifier = M.end_to_end_model(
-        ready, lambda d: M.train_logreg(d, max_iter=ITERATIONS), "clean_text", cleaned=True, min_df=MIN_DF
-    )
+    classifier = M.end_to_end_model(ready, M.train_logreg, "clean_text", cleaned=True, min_df=MIN_DF)
     topics = fit_topics(ready, iterations=10)
 
     def score(df):

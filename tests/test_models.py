@@ -1,10 +1,13 @@
 """Features, classifiers, calibration, metrics and scoring."""
 
+import inspect
 import json
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from quillsift.functions.arrays import softmax
@@ -13,8 +16,10 @@ from quillsift.operators import classify as M
 from quillsift.operators import evaluate as E
 from quillsift.operators import features as V
 from quillsift.operators.sampling import stratified_kfold
+from quillsift.plans.catalog import models as catalog
 from quillsift.plans.catalog.models import _dataset, keyword_model
 from quillsift.plans.enrich import fit_topics, score_and_topic
+from quillsift.plans.registry import QUERIES
 from quillsift.session import scratch_path
 from quillsift.sources.sinks import sink_metrics_json
 from quillsift.sources.tables import reviews, scored_reviews
@@ -238,3 +243,59 @@ def test_relational_weights_equal_those_of_the_vectors(spark, sublinear):
     got = {(r.review_id, r.term): r.weight for r in narrow.collect()}
     assert expected.keys() == got.keys() and len(got) > 100
     assert all(abs(w - got[key]) < 1e-9 for key, w in expected.items())
+
+
+@pytest.mark.parametrize(
+    "name, fits",
+    [
+        ("train_logreg", ["train_logreg"]),
+        ("score_table", ["train_logreg"]),
+        ("train_linear_svc", ["train_linear_svc"]),
+        ("calibrate_sigmoid", ["calibrate_sigmoid"]),
+        ("train_boosted_trees", ["train_boosted_trees"]),
+        ("random_search", ["random_search"]),
+        ("refit_best", ["random_search"]),
+        ("end_to_end_model", ["train_logreg"]),
+        ("score_and_topic", ["train_logreg"]),
+        ("enrich_reviews", ["train_logreg"]),
+    ],
+)
+def test_queries_fit_in_full(spark, monkeypatch, name, fits):
+    """No query limits the iterations, trees, draws or features of a fit below the operator's defaults."""
+    limits, seen = {"max_iter", "trees", "depth", "top_features", "draws"}, []
+
+    def recorded(fit):
+        real = inspect.signature(getattr(M, fit))
+
+        def run(*args, **options):
+            call = real.bind(*args, **options)
+            call.apply_defaults()
+            seen.append(fit)
+            assert all(call.arguments[p] == real.parameters[p].default for p in limits & set(real.parameters))
+            return MagicMock()
+
+        return run
+
+    for fit in fits:
+        monkeypatch.setattr(M, fit, recorded(fit))
+    monkeypatch.setattr(M, "end_to_end_model", lambda df, train, *args, **options: train(df))
+    for part in ("score_table", "search_results", "label_name", "add_label"):
+        monkeypatch.setattr(M, part, MagicMock())
+    for part in ("_dataset", "stratified_kfold", "classification_report", "fit_topics", "spread", "cut_lineage", "prepare"):
+        monkeypatch.setattr(catalog, part, MagicMock())
+    for part in ("timed_reviews", "reviews", "score_and_topic", "enrich_reviews"):
+        monkeypatch.setattr(catalog, part, MagicMock())
+    monkeypatch.setattr(catalog, "_vectors", lambda spark, sf_dir: (MagicMock(), MagicMock()))
+    QUERIES[name](spark, "")
+    assert seen == fits
+
+
+def test_trees_use_every_feature_that_separates(spark):
+    """More features than any fixed number would keep, and none that says nothing."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(90):
+        useful = [float(i % 3 + rng.normal() * 0.1) for _ in range(520)]
+        rows.append((float(i % 3), Vectors.dense(useful + [1.0] * 10)))
+    chosen = M.train_boosted_trees(spark.createDataFrame(rows, ["label", "features"]).coalesce(2), trees=1, depth=1).stages[0]
+    assert sorted(chosen.selectedFeatures) == list(range(520))
