@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, LDAModel
+import uuid
+
+from pyspark.ml.clustering import LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -14,25 +16,23 @@ from quillsift.operators.features import vocabulary
 
 
 def lda_fit(df: DataFrame, topics: int = 12, iterations: int = 30, counts: str = "counts", seed: int = 42) -> LDAModel:
-    """Variational topic model with a fixed prior; every iteration draws a batch as large as the table.
+    """Variational topic model with a fixed prior; every iteration takes every row once.
 
-    Spark draws the batch with replacement, so an iteration sees about two thirds of the rows. A decay
-    near zero gives every batch the full weight, so the topics follow the last batch and not the start.
+    The E-step runs per task against the topic-term matrix, whose size the vocabulary bounds; the statistics
+    are summed over all rows and replace the matrix. This is Spark's online optimizer with the whole table as
+    its batch, without replacement and with a weight of 1, which only its own classes can set.
     """
-    lda = LDA(
-        k=topics,
-        maxIter=iterations,
-        optimizer="online",
-        subsamplingRate=1.0,
-        optimizeDocConcentration=False,
-        learningOffset=1.0,
-        learningDecay=1e-6,
-        docConcentration=[1.0 / topics] * topics,
-        topicConcentration=1.0 / topics,
-        featuresCol=counts,
-        seed=seed,
-    )
-    return lda.fit(df)
+    spark = df.sparkSession
+    ml, mllib = spark._jvm.org.apache.spark.ml.clustering, spark._jvm.org.apache.spark.mllib.clustering
+    batch = mllib.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False)
+    batch = batch.setKappa(0.0).setTau0(1.0).setOptimizeDocConcentration(False)
+    lda = mllib.LDA().setK(topics).setMaxIterations(iterations).setSeed(seed).setOptimizer(batch)
+    lda = lda.setDocConcentration(1.0 / topics).setTopicConcentration(1.0 / topics)
+    rows = getattr(getattr(ml, "LDA$"), "MODULE$").getOldDataset(df._jdf, counts)
+    fitted = lda.run(rows)
+    model = LocalLDAModel(ml.LocalLDAModel(f"LDA_{uuid.uuid4().hex[:12]}", fitted.vocabSize(), fitted, spark._jsparkSession))
+    model._java_obj.setSeed(seed)
+    return model.setFeaturesCol(counts)
 
 
 def lda_topic_mix(model: LDAModel, df: DataFrame, output: str = "mixture") -> DataFrame:

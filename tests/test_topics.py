@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillsift.operators import embedding_topics as B
 from quillsift.operators import features as V
 from quillsift.operators import topics as L
+from quillsift.plans.catalog import topics as catalog
 from quillsift.plans.catalog.topics import letter_encoder
 from quillsift.sources.tables import review_vectors
 
@@ -130,3 +131,22 @@ def test_lda_row_without_known_terms_has_no_topic(spark):
     assert {r["topic_label"] for i, r in mixed.items() if i != 99} <= {"Zero", "Topic 1"}
     words = {r["topic"]: r["words"] for r in L.topic_top_words(model, counter, 2).collect()}
     assert set(words) == {0, 1} and all(len(w.split(", ")) == 2 for w in words.values())
+
+
+def test_every_row_counts_in_the_topics(spark):
+    """The topic-term matrix without its prior adds up to the counts of each term over all rows."""
+    rows = [(i, ["mug"] * (1 + i % 4) + ["cup"] * (i % 3) + ["lamp", "desk"] * (i % 2) + [f"rare{i}"]) for i in range(60)]
+    terms = spark.createDataFrame(rows, "review_id long, terms array<string>")
+    counts = V.count_features(terms, min_df=1, max_df=1.0).transform(terms).persist()
+    totals = np.sum([r["counts"].toArray() for r in counts.collect()], axis=0)
+    for parts in (1, 5):
+        matrix = L.lda_fit(counts.repartition(parts), topics=3, iterations=5).topicsMatrix().toArray()
+        assert (matrix - 1 / 3).sum(axis=1) == pytest.approx(totals, rel=1e-6)
+
+
+def test_topic_queries_fit_in_full(monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog, "_counts", lambda spark, sf_dir: (None, None))
+    monkeypatch.setattr(L, "lda_fit", lambda counts, topics=12, iterations=30: seen.append(iterations))
+    catalog._topic_model(None, "")
+    assert seen == [30]
