@@ -145,6 +145,22 @@ def test_jaccard_groups(docs, few):
     assert sorted(map(tuple, rows), key=key) == sorted(expected, key=key)
 
 
+@pytest.mark.parametrize("few", [1, 64])
+def test_jaccard_takes_sets_by_their_text(spark, few):
+    """Rows of one id with other texts keep their own links, and a text without an id bridges two groups."""
+
+    def text(name, *changed):
+        return " ".join(f"{name}{i}" + ("x" if i in changed else "") for i in range(100))
+
+    rows = [(1, text("a")), (None, text("a", 30)), (3, text("a", 30, 60))]
+    rows += [(5, text("p")), (5, text("q")), (6, text("p", 40)), (7, text("q", 40)), (9, text("z"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = jaccard.similar_groups(frame, 4, jaccard.Threshold(85, 100), few=few, block=2).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in found) == [
+        (0, 1), (1, 1), (3, 1), (5, 5), (5, 5), (6, 5), (7, 5), (9, 9)
+    ]
+
+
 def test_jaccard_finds_links_in_a_large_near_group(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
