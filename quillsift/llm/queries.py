@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import fingerprints, jaccard, katz, lines, packing, pieces, quality, substrings, topk, urls
+from quillsift.llm import audit, fingerprints, jaccard, katz, language, lines, packing, periods, pieces, quality, substrings, topk, urls
 from quillsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +226,89 @@ def op8_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a bigram model learnt from six sevenths of them."""
     outside = quality.held_out(F.col("doc_id"), 7, 2)
     return katz.katz_scores(table(spark, sf_dir, "documents"), outside)
+
+
+@query("op11_filter_audit", r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
+f AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM w),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN marks USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step FROM orders, range(1, 6) AS s(step)),
+judged AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS own, n, good, toxic, length(fails) AS failing,
+    contains(fails, substr(filter_order, step, 1)) AS fails_here,
+    length(translate(substr(filter_order, 1, step - 1), fails, '')) = step - 1 AS reached
+  FROM cells, steps),
+audit AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN reached AND NOT fails_here THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN reached AND fails_here THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN NOT reached AND fails_here THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails_here AND failing = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN reached AND fails_here THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN reached AND fails_here THEN toxic ELSE 0 END) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM audit
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders, per language."""
+    labels = table(spark, sf_dir, "labels")
+    marks = labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return audit.audit_filters(table(spark, sf_dir, "documents"), marks)
+
+
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """In one document of ten: from a word on, a stretch of words again and again."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    at = g % n
+    period = 1 + (n - at) // (3 + g % 8)
+    words = np.arange(n)
+    words[at:] = at + (words[at:] - at) % period
+    return words
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which is given one first."""
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), order=repeated_tail)
+    spelt = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.*",
+        F.floor(F.try_divide(1000 * F.col("strongest.length"), F.col("strongest.period"))).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(spelt, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    outside = quality.held_out(F.col("doc_id"), 4, 2)
+    model = language.fit_languages(docs.where(~outside))
+    return language.identify(docs, model, reject=False).withColumn("held_out", outside)
