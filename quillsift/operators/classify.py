@@ -1,192 +1,100 @@
-"""Sentiment classifiers on Spark ML, their calibration, search and scoring."""
+"""Sentiment classifiers, their calibration and scoring."""
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import partial
 
-from pyspark import inheritable_thread_target, keyword_only
-from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillsift.functions.arrays import fenced, row_argmax, row_max
 from quillsift.functions.columns import LABELS, label_id, label_name
 from quillsift.functions.text import truncate_tokens
-from quillsift.operators.evaluate import MacroF1
-from quillsift.operators.features import CleanText, Terms, add_class_weights, class_weights, tfidf_features
+from quillsift.operators import linear as L
+from quillsift.operators.boosting import NODE, TreeScores, fit_trees
+from quillsift.operators.features import CleanText, Terms, tfidf_features
+from quillsift.session import cut_lineage
 
 CLASSES = len(LABELS)
 
-# Largest p value of a feature that the trees use.
-SEPARATES = 0.05
-
 
 def add_label(df: DataFrame, label: str = "sentiment_label") -> DataFrame:
     """Class id as the double that Spark ML expects."""
     return df.withColumn("label", label_id(label).cast("double"))
 
 
-def _one(raw: str) -> Column:
-    """Score of the positive class of a two-class model."""
-    return vector_to_array(F.col(raw))[1]
-
+def _features(df: DataFrame, features: str, *more: str) -> DataFrame:
+    """The labelled rows of a fit: label, the parts of the vector, and further columns."""
+    return df.where(F.col("label").isNotNull()).select("label", *L.entries(features), *more)
 
-class ArgmaxScores(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """Scores of one model per class, stacked: the largest gives the class."""
 
-    @keyword_only
-    def __init__(self, *, inputCols: list[str] | None = None):
-        super().__init__()
-        self._set(**self._input_kwargs)
+def _bounded(df: DataFrame, features: str, max_rows: int, *more: str) -> DataFrame:
+    return L.at_most(_features(df, features, *more), F.size("values"), max_rows)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        names = self.getInputCols()
-        scored = dataset.withColumn("scores", F.array(*[_one(c) for c in names]))
-        return scored.withColumn("prediction", row_argmax(F.col("scores")).cast("double")).drop(*names)
 
+def _width(df: DataFrame, features: str) -> int:
+    """Length of the vectors."""
+    parts = F.unwrap_udt(F.col(features))
+    found = df.select(F.coalesce(parts["size"], F.size(parts["values"])).alias("n")).head()
+    return found["n"] if found else 0
 
-class MeanSigmoid(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """Probabilities from class margins of several folds: a fitted sigmoid per fold and class, scaled
-    to sum 1 within each fold, then averaged over the folds."""
 
-    slopes = Param(Params._dummy(), "slopes", "by fold, then class", TypeConverters.toListFloat)
-    offsets = Param(Params._dummy(), "offsets", "by fold, then class", TypeConverters.toListFloat)
+_WEIGHTS = "number int, weights array<double>"
 
-    @keyword_only
-    def __init__(self, *, inputCols: list[str] | None = None, slopes: list[float] | None = None, offsets: list[float] | None = None):
-        super().__init__()
-        self._set(**self._input_kwargs)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        names = self.getInputCols()
-        slopes, offsets = self.getOrDefault(self.slopes), self.getOrDefault(self.offsets)
-        folds = len(names) // CLASSES
-        step = dataset
-        for f in range(folds):
-            at = range(f * CLASSES, (f + 1) * CLASSES)
-            sigmoids = [F.lit(1.0) / (F.exp(-(_one(names[i]) * slopes[i] + offsets[i])) + 1.0) for i in at]
-            step = step.withColumn(f"_fold{f}", F.array(*sigmoids))
-        shares = []
-        for f in range(folds):
-            total = sum((F.col(f"_fold{f}")[c] for c in range(1, CLASSES)), F.col(f"_fold{f}")[0])
-            shares.append([F.coalesce(F.try_divide(F.col(f"_fold{f}")[c], total), F.lit(1.0 / CLASSES)) for c in range(CLASSES)])
-        means = [sum((shares[f][c] for f in range(1, folds)), shares[0][c]) / float(folds) for c in range(CLASSES)]
-        scored = step.withColumn("scores", F.array(*means)).drop(*names, *[f"_fold{f}" for f in range(folds)])
-        return scored.withColumn("prediction", row_argmax(F.col("scores")).cast("double"))
+def _as_table(weights: np.ndarray) -> pa.Table:
+    return pa.table({"number": pa.array(range(len(weights)), pa.int32()), "weights": pa.array(list(weights), pa.list_(pa.float64()))})
 
 
-def _weight_total(df: DataFrame, weight: str) -> float:
-    return df.agg(F.sum(weight)).head()[0]
+def _fit_linear(df: DataFrame, features: str, fit: Callable, max_rows: int) -> np.ndarray:
+    """Weights of one fit over all (or ``max_rows``) rows, made in one task: (classes, width + 1)."""
+    width = _width(df, features)
 
+    def run(table: pa.Table) -> pa.Table:
+        labels, rows = L.packed(table)
+        return _as_table(fit(replace(rows, shape=(len(labels), width)), labels))
 
-def _in_parallel(spark: SparkSession, tasks: list[Callable], parallelism: int) -> list:
-    """Results of independent fits, several of which may run at once."""
-    if parallelism <= 1:
-        return [task() for task in tasks]
-    inherit = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(parallelism) as pool:
-        return [f.result() for f in [pool.submit(inherit(task)) for task in tasks]]
+    fitted = L.in_one_task(_bounded(df, features, max_rows), run, _WEIGHTS).orderBy("number").collect()
+    return np.array([r["weights"] for r in fitted]) if fitted else np.zeros((CLASSES, width + 1))
 
 
-def train_logreg(df: DataFrame, c: float = 1.0, max_iter: int = 1000, features: str = "features") -> PipelineModel:
-    """Multinomial logistic regression with balanced classes.
+def train_logreg(
+    df: DataFrame,
+    c: float = 1.0,
+    max_iter: int = 1000,
+    features: str = "features",
+    tolerance: float = 1e-5,
+    max_rows: int = L.MAX_ROWS,
+) -> PipelineModel:
+    """Multinomial logistic regression with balanced classes; ``c`` is the inverse penalty per row.
 
-    ``c`` is the inverse penalty per row; Spark averages the loss, hence the division by the weights.
+    ``max_iter`` limits the Newton steps, of which a fit takes some ten until the gradient has fallen to
+    ``tolerance`` of the first one.
     """
-    weighted = add_class_weights(df)
-    model = LogisticRegression(
-        featuresCol=features,
-        family="multinomial",
-        weightCol="weight",
-        standardization=False,
-        maxIter=max_iter,
-        regParam=1.0 / (c * _weight_total(weighted, "weight")),
-    ).fit(weighted)
-    return PipelineModel([model])
-
-
-def _one_against_rest(df: DataFrame, weights: dict[float, float], k: int) -> DataFrame:
-    """Class ``k`` as 1 with the weight of the class, all others as 0 with weight 1."""
-    mine = F.col("label") == k
-    return df.withColumn("_is", mine.cast("double")).withColumn(
-        "_w", F.when(mine, weights.get(float(k), 1.0)).otherwise(1.0)
-    )
-
-
-def _weights(df: DataFrame) -> dict[float, float]:
-    """Weight of each class: as many numbers as there are classes."""
-    return {row["label"]: row["weight"] for row in class_weights(df, "label").collect()}
-
-
-def _fit_margins(df: DataFrame, c: float, max_iter: int, features: str, prefix: str, parallelism: int) -> list:
-    """One linear SVM per class against the rest; rows of the class carry the class weight."""
-    weights = _weights(df)
-
-    def fit(k: int):
-        binary = _one_against_rest(df.select("label", features), weights, k)
-        svm = LinearSVC(
-            featuresCol=features,
-            labelCol="_is",
-            weightCol="_w",
-            standardization=False,
-            maxIter=max_iter,
-            regParam=1.0 / (c * _weight_total(binary, "_w")),
-            rawPredictionCol=f"{prefix}{k}",
-            predictionCol=f"{prefix}{k}_p",
-        )
-        return svm.fit(binary)
-
-    return _in_parallel(df.sparkSession, [partial(fit, k) for k in range(CLASSES)], parallelism)
-
-
-class DropColumns(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    @keyword_only
-    def __init__(self, *, inputCols: list[str] | None = None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.drop(*self.getInputCols())
+    fit = partial(L.fit_softmax, classes=CLASSES, c=c, tolerance=tolerance, max_iter=max_iter)
+    weights = _fit_linear(df, features, fit, max_rows)
+    return PipelineModel([L.LinearScores(inputCol=features, link="softmax", classes=CLASSES).of(weights)])
 
 
 def train_linear_svc(
-    df: DataFrame, c: float = 1.0, max_iter: int = 100, features: str = "features", parallelism: int = CLASSES
+    df: DataFrame,
+    c: float = 1.0,
+    max_iter: int = 100,
+    features: str = "features",
+    tolerance: float = 1e-5,
+    max_rows: int = L.MAX_ROWS,
 ) -> PipelineModel:
-    """Linear SVM, one against the rest; the largest margin gives the class."""
-    models = _fit_margins(df, c, max_iter, features, "_margin", parallelism)
-    raw = [f"_margin{k}" for k in range(CLASSES)]
-    return PipelineModel([*models, ArgmaxScores(inputCols=raw), DropColumns(inputCols=[f"{r}_p" for r in raw])])
-
-
-def _fit_sigmoid(df: DataFrame, margin: str, is_class: Column) -> tuple[float, float]:
-    """Slope and offset of the sigmoid that best maps margins to the class.
-
-    The targets are pulled in from 0 and 1 by the usual smoothing for few rows: a target t is one
-    row of class 1 with weight t and one of class 0 with weight 1 - t.
-    """
-    flagged = df.select(_one(margin).alias("margin"), is_class.alias("hit"))
-    yes, no = flagged.agg(F.count_if("hit"), F.count_if(~F.col("hit"))).head()
-    target = F.when(F.col("hit"), (yes + 1.0) / (yes + 2.0)).otherwise(1.0 / (no + 2.0))
-    sides = F.array(
-        F.struct(F.lit(1.0).alias("label"), target.alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - target).alias("w")),
-    )
-    rows = flagged.select("margin", F.inline(sides))
-    vectors = VectorAssembler(inputCols=["margin"], outputCol="features").transform(rows)
-    fitted = LogisticRegression(family="binomial", weightCol="w", standardization=False, maxIter=100).fit(vectors)
-    return float(fitted.coefficients[0]), float(fitted.intercept)
+    """Linear SVM with squared hinge loss, one against the rest; the largest margin gives the class."""
+    fit = partial(L.fit_hinge, classes=CLASSES, c=c, tolerance=tolerance, max_iter=max_iter)
+    weights = _fit_linear(df, features, fit, max_rows)
+    return PipelineModel([L.LinearScores(inputCol=features, link="margin", classes=CLASSES).of(weights)])
 
 
 def calibrate_sigmoid(
@@ -196,76 +104,67 @@ def calibrate_sigmoid(
     c: float = 1.0,
     max_iter: int = 100,
     features: str = "features",
-    parallelism: int = 3,
+    tolerance: float = 1e-5,
+    max_rows: int = L.MAX_ROWS,
 ) -> PipelineModel:
     """Linear SVMs fitted without each fold and calibrated on it; scores average over the folds.
 
-    The class is the largest mean probability, which need not be the largest margin.
+    A fold is one task: the SVMs of all classes on the rows outside, then a sigmoid per class from the margins
+    of the rows inside. The class is the largest mean probability, which need not be the largest margin.
     """
-
-    def fit(f: int) -> tuple[list, list[tuple[float, float]]]:
-        fitted = _fit_margins(df.filter(F.col(fold) != f), c, max_iter, features, f"_margin{f}_", parallelism)
-        raw = [f"_margin{f}_{k}" for k in range(CLASSES)]
-        held = PipelineModel(fitted).transform(df.filter(F.col(fold) == f)).select("label", *raw).persist()
-        tasks = [partial(_fit_sigmoid, held, raw[k], F.col("label") == k) for k in range(CLASSES)]
-        sigmoids = _in_parallel(df.sparkSession, tasks, parallelism)
-        held.unpersist()
-        return fitted, sigmoids
-
-    by_fold = _in_parallel(df.sparkSession, [partial(fit, f) for f in range(folds)], parallelism)
-    models = [model for fitted, _ in by_fold for model in fitted]
-    sigmoids = [pair for _, pairs in by_fold for pair in pairs]
-    raw = [f"_margin{f}_{k}" for f in range(folds) for k in range(CLASSES)]
-    join = MeanSigmoid(inputCols=raw, slopes=[s for s, _ in sigmoids], offsets=[o for _, o in sigmoids])
-    return PipelineModel([*models, join, DropColumns(inputCols=[f"{r}_p" for r in raw])])
+    width = _width(df, features)
+    rows = _bounded(df.withColumn("_fold", F.col(fold).cast("int")), features, max_rows, "_fold")
+    # Every fold reads all rows, so a row goes to each of them.
+    tasks = rows.withColumn("held", F.explode(F.array(*map(F.lit, range(folds))))).repartition(8 * folds, "held")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        labels, packed = L.packed(table)
+        packed = replace(packed, shape=(len(labels), width))
+        inside = table.column("_fold").to_numpy(zero_copy_only=False) == key[0].as_py()
+        weights = L.fit_hinge(packed.where(~inside), labels[~inside], CLASSES, c, tolerance, max_iter)
+        margin = packed.where(inside).times(np.ascontiguousarray(weights[:, :-1].T)) + weights[:, -1]
+        pairs = [L.fit_sigmoid(margin[:, k], labels[inside] == k) for k in range(CLASSES)]
+        number = pa.array([key[0].as_py() * CLASSES + k for k in range(CLASSES)], pa.int32())
+        return _as_table(weights).set_column(0, "number", number).append_column("pair", pa.array(pairs, pa.list_(pa.float64())))
+
+    fitted = tasks.groupBy("held").applyInArrow(run, f"{_WEIGHTS}, pair array<double>").orderBy("number").collect()
+    if not fitted:
+        return PipelineModel([L.LinearScores(inputCol=features, link="softmax").of(np.zeros((CLASSES, width + 1)))])
+    scores = L.LinearScores(
+        inputCol=features,
+        link="sigmoids",
+        classes=CLASSES,
+        slopes=[r["pair"][0] for r in fitted],
+        offsets=[r["pair"][1] for r in fitted],
+    )
+    return PipelineModel([scores.of(np.array([r["weights"] for r in fitted]).reshape(len(fitted), width + 1))])
 
 
 def train_boosted_trees(
     df: DataFrame,
     trees: int = 300,
-    depth: int = 6,
-    top_features: int | None = None,
+    leaves: int = 63,
+    rate: float = 0.1,
+    bins: int = 32,
+    least_rows: int = 20,
     features: str = "features",
-    seed: int = 42,
-    parallelism: int = CLASSES,
+    max_rows: int = L.MAX_ROWS,
 ) -> PipelineModel:
-    """Boosted trees, one against the rest, on the features that separate the classes.
+    """Boosted trees on all features: a tree per class and round on the softmax margins, balanced classes.
 
-    These are all that pass an F test over all rows, or the best ``top_features`` of them. Spark's trees
-    hold a row as one number per feature, so the whole vocabulary does not fit.
+    Trees grow leaf by leaf up to ``leaves``; a leaf has ``least_rows`` rows or more. One task fits them, see
+    ``boosting``.
     """
 
-    def select(mode: str, threshold: float):
-        selector = UnivariateFeatureSelector(
-            featuresCol=features, outputCol="_selected", labelCol="label", selectionMode=mode
-        )
-        selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(threshold)
-        return selector.fit(df)
-
-    chosen = select("fpr", SEPARATES) if top_features is None else select("numTopFeatures", top_features)
-    if not chosen.selectedFeatures:
-        chosen = select("numTopFeatures", 1)
-    weights = _weights(df)
-    selected = chosen.transform(df).select("label", "_selected").persist()
-
-    def fit(k: int):
-        trees_k = GBTClassifier(
-            featuresCol="_selected",
-            labelCol="_is",
-            weightCol="_w",
-            maxIter=trees,
-            maxDepth=depth,
-            seed=seed,
-            predictionCol=f"_trees{k}_p",
-        )
-        trees_k.setRawPredictionCol(f"_trees{k}_raw").setProbabilityCol(f"_trees{k}")
-        return trees_k.fit(_one_against_rest(selected, weights, k))
-
-    models = _in_parallel(df.sparkSession, [partial(fit, k) for k in range(CLASSES)], parallelism)
-    selected.unpersist()
-    raw = [f"_trees{k}" for k in range(CLASSES)]
-    extra = [f"{r}_p" for r in raw] + [f"{r}_raw" for r in raw] + ["_selected"]
-    return PipelineModel([chosen, *models, ArgmaxScores(inputCols=raw), DropColumns(inputCols=extra)])
+    def run(table: pa.Table) -> pa.Table:
+        labels, rows = L.packed(table)
+        nodes = fit_trees(rows, labels, CLASSES, trees, leaves, rate, bins, least_rows)
+        kinds = [pa.int32()] * 4 + [pa.float64()] + [pa.int32()] * 2 + [pa.float64()]
+        names = [part.split()[0] for part in NODE.split(", ")]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*nodes), kinds)})
+
+    nodes = L.in_one_task(_bounded(df, features, max_rows), run, NODE).collect()
+    return PipelineModel([TreeScores(inputCol=features, classes=CLASSES).of([tuple(r) for r in nodes])])
 
 
 def end_to_end_model(
@@ -279,12 +178,9 @@ def end_to_end_model(
     clean = [] if cleaned else [CleanText(inputCol=text, outputCol="_clean")]
     terms = Terms(inputCol=text if cleaned else "_clean", outputCol="terms")
     first = PipelineModel([*clean, terms])
-    prepared = first.transform(df).select("review_id", "label", "terms").persist()
+    prepared = cut_lineage(first.transform(df).select("label", "terms"))
     tfidf = tfidf_features(prepared, **feature_options)
-    features = tfidf.transform(prepared).select("review_id", "label", "features").persist()
-    classifier = train(features)
-    features.unpersist()
-    prepared.unpersist()
+    classifier = train(cut_lineage(tfidf.transform(prepared).select("label", "features")))
     return PipelineModel([*first.stages, *tfidf.stages, *classifier.stages])
 
 
@@ -293,103 +189,13 @@ def score_table(model: PipelineModel, df: DataFrame, true: str = "sentiment_labe
 
     For models that give margins and no probabilities the confidence is the largest margin.
     """
-    scored = model.transform(df)
-    scores = vector_to_array(F.col("probability")) if "probability" in scored.columns else F.col("scores")
-    best = scored.withColumn("_scores", scores)
-    return best.select(
+    return model.transform(df).select(
         "review_id",
         "text",
         F.col(true).alias("true_label"),
-        label_name(row_argmax(F.col("_scores"))).alias("predicted_label"),
-        row_max(F.col("_scores")).alias("confidence"),
-    )
-
-
-class TfidfSvc(Estimator, Params):
-    """Tf-idf and a linear SVM as one estimator, so that both are searched together."""
-
-    maxFeatures = Param(Params._dummy(), "maxFeatures", "vocabulary limit", TypeConverters.toInt)
-    minDF = Param(Params._dummy(), "minDF", "least document frequency", TypeConverters.toInt)
-    ngrams = Param(Params._dummy(), "ngrams", "longest n-gram", TypeConverters.toInt)
-    sublinear = Param(Params._dummy(), "sublinear", "1 + ln tf", TypeConverters.toBoolean)
-    inversePenalty = Param(Params._dummy(), "inversePenalty", "C", TypeConverters.toFloat)
-    maxIter = Param(Params._dummy(), "maxIter", "iterations of the SVM", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, maxIter: int = 100):
-        super().__init__()
-        self._setDefault(maxFeatures=50_000, minDF=5, ngrams=2, sublinear=False, inversePenalty=1.0, maxIter=100)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
-        terms = Terms(inputCol="clean_text", outputCol="terms", ngrams=self.getOrDefault(self.ngrams))
-        prepared = terms.transform(dataset).select("label", "terms").persist()
-        tfidf = tfidf_features(
-            prepared,
-            min_df=self.getOrDefault(self.minDF),
-            max_df=1.0,
-            max_features=self.getOrDefault(self.maxFeatures),
-            sublinear=self.getOrDefault(self.sublinear),
-        )
-        features = tfidf.transform(prepared).select("label", "features").persist()
-        features.count()
-        prepared.unpersist()
-        svm = train_linear_svc(
-            features, self.getOrDefault(self.inversePenalty), self.getOrDefault(self.maxIter)
-        )
-        features.unpersist()
-        return PipelineModel([terms, *tfidf.stages, *svm.stages])
-
-
-# The settings that are searched; the inverse penalty is log-uniform in its range.
-SEARCH_SPACE = {
-    "maxFeatures": [20_000, 50_000, 100_000],
-    "minDF": [2, 5, 10],
-    "ngrams": [1, 2],
-    "sublinear": [True, False],
-}
-PENALTY_RANGE = (1e-2, 1e1)
-
-
-def random_draws(estimator: TfidfSvc, n: int = 15, seed: int = 42) -> list[dict]:
-    """Seeded random settings."""
-    rng = random.Random(seed)
-    low, high = (math.log(x) for x in PENALTY_RANGE)
-    draws = []
-    for _ in range(n):
-        draw = {estimator.getParam(name): rng.choice(choices) for name, choices in SEARCH_SPACE.items()}
-        draw[estimator.inversePenalty] = math.exp(rng.uniform(low, high))
-        draws.append(draw)
-    return draws
-
-
-def random_search(
-    df: DataFrame, draws: int = 15, folds: int = 3, max_iter: int = 100, parallelism: int = 4, seed: int = 42
-) -> CrossValidatorModel:
-    """Random search by macro F1 over stored folds; the best setting is refitted on all rows.
-
-    ``df`` has ``clean_text``, ``label`` and ``fold``.
-    """
-    estimator = TfidfSvc(maxIter=max_iter)
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=random_draws(estimator, draws, seed),
-        evaluator=MacroF1(),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
+        label_name(row_argmax(F.col("scores"))).alias("predicted_label"),
+        row_max(F.col("scores")).alias("confidence"),
     )
-    return search.fit(df.select("clean_text", "label", "fold"))
-
-
-def search_results(model: CrossValidatorModel, spark) -> DataFrame:
-    """One row per draw with its settings and mean macro F1, best first."""
-    rows = [
-        (i, *[draw[p] for p in sorted(draw, key=lambda p: p.name)], float(score))
-        for i, (draw, score) in enumerate(zip(model.getEstimatorParamMaps(), model.avgMetrics))
-    ]
-    schema = "draw int, c double, max_features int, min_df int, ngrams int, sublinear boolean, cv_macro_f1 double"
-    return spark.createDataFrame(rows, schema).orderBy(F.desc("cv_macro_f1"), "draw")
 
 
 def first_words(text: Column, limit: int = 128) -> Column:

@@ -46,7 +46,7 @@ class CleanText(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
 
 
 class Terms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Words of a cleaned text, with bigrams if ``ngrams`` is 2."""
+    """Words of a cleaned text, with bigrams if ``ngrams`` is 2; a null text has none."""
 
     ngrams = Param(Params._dummy(), "ngrams", "longest n-gram, 1 or 2", TypeConverters.toInt)
 
@@ -57,7 +57,7 @@ class Terms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defau
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        words = X.tokenize_words(F.col(self.getInputCol()))
+        words = X.tokenize_words(F.coalesce(F.col(self.getInputCol()), F.lit("")))
         both = self.getOrDefault(self.ngrams) == 2
         return dataset.withColumn(self.getOutputCol(), X.terms(words) if both else words)
 

@@ -106,54 +106,80 @@ def exact_percentiles(
     return percentiles_of_counts(value_counts(df, value, by or []), shares, names, by or [])
 
 
-def percentiles_of_counts(
-    counts: DataFrame, shares: list[float], names: list[str], by: list[str], slices: int = 128
-) -> DataFrame:
+#: Distinct values among which one task finds a rank, and the parts into which a round cuts those that are left.
+RANGE_VALUES, PARTS = 50_000, 256
+
+
+def percentiles_of_counts(counts: DataFrame, shares: list[float], names: list[str], by: list[str]) -> DataFrame:
     """The same from distinct values and their counts, see ``value_counts``.
 
-    The distinct values of a group are cut into ``slices`` ranges (an approximate sketch suffices for
-    the cuts), so that the running count that locates each percentile is made by many tasks also
-    when one group holds most rows.
+    A percentile lies between two ranks. Each rank has a range of values that holds it, at first all
+    values of its group. A round cuts the range into parts of about equal size (a sketch suffices for the
+    cuts), counts the rows of each part, and goes on with the part that holds the rank. There are as
+    many rounds as it takes until a range has few values, whatever their distribution.
     """
-    grid = [i / slices for i in range(1, slices)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", grid, 1000).alias("cuts"))
-    # Without groups the cuts are one value, which Spark works out once and inlines.
-    cut = _join_groups(counts, cuts, by) if by else counts.withColumn("cuts", cuts.scalar())
-    sliced = cut.withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    group = [F.col(c) for c in by] or [F.lit(1)]
-    earlier = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*group)
-    offsets = (
-        sliced.groupBy(*by, "slice")
-        .agg(F.sum("n").alias("rows"))
-        .withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-        .withColumn("total", F.sum("rows").over(everything))
-        .drop("rows")
-    )
-    running = Window.partitionBy(*[F.col(c) for c in by], "slice").orderBy("value")
-    placed = _join_groups(sliced.withColumn("within", F.sum("n").over(running)), offsets, [*by, "slice"]).select(
+    distinct = counts.count()
+    rounds = 0
+    # The sketch is off by up to a part, so a round leaves at most three parts of the range.
+    while distinct > RANGE_VALUES:
+        distinct, rounds = distinct * 3 // PARTS, rounds + 1
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
+    places = [F.lit(share) * (F.col("_total") - 1) for share in shares]
+    ranks = F.array_sort(F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)])))
+    wanted = totals.where("_total > 0").select(
         *by,
-        "value",
-        "total",
-        (F.col("before") + F.col("within") - F.col("n")).alias("first"),
-        (F.col("before") + F.col("within") - 1).alias("last"),
+        "_total",
+        F.explode(ranks).alias("_rank"),
+        F.lit(None).cast("double").alias("_above"),
+        F.lit(None).cast("double").alias("_upto"),
+        F.lit(0).cast("long").alias("_before"),
     )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("value")))
-
-    found = []
-    for i, share in enumerate(shares):
-        place = F.lit(share) * (F.col("total") - 1)
-        found += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}")]
-    ends = placed.groupBy(*by).agg(F.max("total").alias("_total"), *found)
+    for _ in range(rounds):
+        wanted = _narrowed(counts, wanted, by)
+    # A rank per share and end, each with few values.
+    running = Window.partitionBy(*by, "_rank").orderBy("value")
+    through = F.col("_before") + F.sum("n").over(running)
+    found = _inside(counts, wanted, by).withColumn("_through", through).where(F.col("_through") > F.col("_rank"))
+    value = found.groupBy(*by, "_rank").agg(F.min("value").alias("_value"), F.first("_total").alias("_total"))
+    by_rank = value.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"), F.first("_total").alias("_total"))
     results = []
-    for i, (share, name) in enumerate(zip(shares, names)):
-        place = F.lit(share) * (F.col("_total") - 1)
-        results.append(
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place - F.floor(place))).alias(name)
-        )
-    return ends.select(*by, *results)
+    for place, name in zip(places, names):
+        low, high = (F.try_element_at("_at", f(place).cast("long")) for f in (F.floor, F.ceil))
+        results.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    return by_rank.select(*by, *results)
+
+
+def _inside(counts: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """Values in the range of each rank; the ranks are a few rows per group."""
+    if by:
+        joined = _join_groups(counts, wanted, by)
+    else:  # the ranks are one value then, which Spark works out once and inlines
+        joined = counts.withColumn("_ranks", wanted.agg(F.collect_list(F.struct(*wanted.columns))).scalar())
+        joined = joined.select(*counts.columns, F.inline("_ranks"))
+    above = F.col("_above").isNull() | (F.col("value") > F.col("_above"))
+    return joined.where(above & (F.col("_upto").isNull() | (F.col("value") <= F.col("_upto"))))
+
+
+def _narrowed(counts: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """Each rank with the part of its range that holds it."""
+    grid = [i / PARTS for i in range(1, PARTS)]
+    rank = [*by, "_rank"]
+    inside = _inside(counts, wanted, by)
+    cuts = inside.groupBy(*rank).agg(F.percentile_approx("value", grid, 10 * PARTS).alias("_cuts"))
+    cut = _join_groups(inside, cuts, rank)
+    upper = F.array_min(F.filter("_cuts", lambda c: c >= F.col("value")))
+    # Behind the last cut the range itself is the end.
+    parts = cut.withColumn("_part", upper).groupBy(*rank, "_part").agg(
+        F.sum("n").alias("_rows"), *[F.first(c).alias(c) for c in ("_total", "_above", "_upto", "_before")]
+    )
+    order = F.col("_part").asc_nulls_last()
+    along = Window.partitionBy(*rank).orderBy(order)
+    start = F.col("_before") + F.sum("_rows").over(along) - F.col("_rows")
+    parts = parts.withColumns({"_start": start, "_below": F.lag("_part").over(along)})
+    holds = (F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_start") + F.col("_rows"))
+    return parts.where(holds).select(
+        *by, "_total", "_rank", F.coalesce("_below", "_above").alias("_above"), F.coalesce("_part", "_upto").alias("_upto"), F.col("_start").alias("_before")
+    )
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:

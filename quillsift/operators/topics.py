@@ -1,44 +1,231 @@
-"""Topics by latent Dirichlet allocation over term counts."""
+"""Topics by latent Dirichlet allocation over term counts: batch variational inference.
+
+Every iteration takes all rows once. A task infers the topic shares of its rows against the topic-term
+matrix, whose size the vocabulary bounds, and adds up one matrix of statistics; the matrices of the tasks are
+added up in two steps, a batch at a time, and replace the topic-term matrix. Rows start from equal shares, so
+the partitioning of the table changes the result by rounding only.
+"""
 
 from __future__ import annotations
 
-import uuid
+import math
+from collections.abc import Iterator
 
-from pyspark.ml.clustering import LDAModel, LocalLDAModel
+import numpy as np
+import pyarrow as pa
+from pyspark import keyword_only
+from pyspark.ml import Transformer
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.functions.arrays import dominant_topic
 from quillsift.functions.columns import TOPIC_LABELS, topic_label
 from quillsift.operators.features import vocabulary
+from quillsift.operators.linear import SparseRows, entries
+from quillsift.session import cut_lineage
+
+#: Entries that one step of the inference takes; steps and change of a row's shares at which it ends.
+TOGETHER, STEPS, CHANGE = 200_000, 100, 1e-3
+
+#: Statistics of so many tasks are added up by one task.
+FAN = 64
+
+_MATRIX = "topic int, weights array<double>"
+
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The logarithmic derivative of the gamma function, for x > 0."""
+    out = np.zeros_like(x)
+    x = x.copy()
+    while (small := x < 6).any():
+        out[small] -= 1 / x[small]
+        x[small] += 1
+    r = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
 
-def lda_fit(df: DataFrame, topics: int = 12, iterations: int = 30, counts: str = "counts", seed: int = 42) -> LDAModel:
-    """Variational topic model with a fixed prior; every iteration takes every row once.
 
-    The E-step runs per task against the topic-term matrix, whose size the vocabulary bounds; the statistics
-    are summed over all rows and replace the matrix. This is Spark's online optimizer with the whole table as
-    its batch, without replacement and with a weight of 1, which only its own classes can set.
+def _expected(weights: np.ndarray) -> np.ndarray:
+    """exp(E[log p]) of Dirichlet weights, by row."""
+    return np.exp(digamma(weights) - digamma(weights.sum(axis=1, keepdims=True)))
+
+
+def infer(rows: SparseRows, terms: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dirichlet weights of the topics of each row; with them the share that every entry gives each topic.
+
+    ``terms`` is exp(E[log p]) by topic and term. Returns the weights (rows, topics), and for all entries the
+    count over its norm, and the topic factors of its row.
     """
-    spark = df.sparkSession
-    ml, mllib = spark._jvm.org.apache.spark.ml.clustering, spark._jvm.org.apache.spark.mllib.clustering
-    batch = mllib.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False)
-    batch = batch.setKappa(0.0).setTau0(1.0).setOptimizeDocConcentration(False)
-    lda = mllib.LDA().setK(topics).setMaxIterations(iterations).setSeed(seed).setOptimizer(batch)
-    lda = lda.setDocConcentration(1.0 / topics).setTopicConcentration(1.0 / topics)
-    rows = getattr(getattr(ml, "LDA$"), "MODULE$").getOldDataset(df._jdf, counts)
-    fitted = lda.run(rows)
-    model = LocalLDAModel(ml.LocalLDAModel(f"LDA_{uuid.uuid4().hex[:12]}", fitted.vocabSize(), fitted, spark._jsparkSession))
-    model._java_obj.setSeed(seed)
-    return model.setFeaturesCol(counts)
-
-
-def lda_topic_mix(model: LDAModel, df: DataFrame, output: str = "mixture") -> DataFrame:
+    n, topics = rows.shape[0], len(terms)
+    gamma = np.full((n, topics), prior)
+    sizes = np.bincount(rows.rows, minlength=n)
+    gamma[sizes > 0] = 1.0
+    per_entry = np.ascontiguousarray(terms.T)[rows.columns]
+    open_ = sizes > 0
+    own = np.arange(len(rows.rows))
+    for _ in range(STEPS):
+        if not len(own):
+            break
+        r, factor, values = rows.rows[own], per_entry[own], rows.values[own]
+        live = np.flatnonzero(open_)
+        starts = np.searchsorted(r, live)
+        theta = _expected(gamma[live])
+        norm = np.einsum("ek,ek->e", np.repeat(theta, sizes[live], axis=0), factor) + 1e-100
+        new = prior + theta * np.add.reduceat((values / norm)[:, None] * factor, starts, axis=0)
+        moved = np.abs(new - gamma[live]).mean(axis=1) >= CHANGE
+        gamma[live] = new
+        if not moved.all():
+            open_[live[~moved]] = False
+            own = own[open_[r]]
+    theta = _expected(gamma)
+    norm = np.einsum("ek,ek->e", theta[rows.rows], per_entry) + 1e-100
+    return gamma, rows.values / norm, theta
+
+
+def _blocks(indices: pa.Array, values: pa.Array, width: int) -> Iterator[SparseRows]:
+    """Rows of a batch in steps of about ``TOGETHER`` entries."""
+    at, ends = 0, np.cumsum(np.diff(values.offsets.to_numpy()))
+    while at < len(values):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
+        yield SparseRows.from_lists(indices.slice(at, to - at), values.slice(at, to - at), width)
+        at = to
+
+
+def _matrix_batch(matrix: np.ndarray) -> pa.RecordBatch:
+    number = pa.array(range(len(matrix)), pa.int32())
+    return pa.RecordBatch.from_arrays([number, pa.array(list(matrix), pa.list_(pa.float64()))], names=["topic", "weights"])
+
+
+def _added(parts: DataFrame, topics: int, width: int) -> np.ndarray:
+    """The sum of the matrices of all tasks; a task holds one matrix, however many it adds."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((topics, width))
+        for batch in batches:
+            weights = batch.column(1).flatten().to_numpy().reshape(-1, width)
+            np.add.at(total, batch.column(0).to_numpy(), weights)
+        yield _matrix_batch(total)
+
+    tasks = parts.rdd.getNumPartitions()
+    if tasks > FAN:
+        parts = parts.repartition(math.ceil(tasks / FAN)).mapInArrow(add, _MATRIX)
+    total = np.zeros((topics, width))
+    for row in parts.repartition(1).mapInArrow(add, _MATRIX).collect():
+        total[row["topic"]] = row["weights"]
+    return total
+
+
+class _Writer(MLWriter):
+    def __init__(self, instance: TopicShares):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        rows = [(i, row.tolist()) for i, row in enumerate(self.instance.matrix)]
+        self.sparkSession.createDataFrame(rows, _MATRIX).coalesce(1).write.parquet(f"{path}/topics")
+
+
+class _Reader(MLReader):
+    def load(self, path: str) -> TopicShares:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        instance = TopicShares()
+        instance._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(instance, metadata)
+        rows = self.sparkSession.read.parquet(f"{path}/topics").orderBy("topic").collect()
+        instance.matrix = np.array([r["weights"] for r in rows])
+        return instance
+
+
+class TopicShares(Transformer, HasInputCol, HasOutputCol, MLReadable, MLWritable):
+    """A fitted topic model: adds the topic shares of each row, all zero for a row without a known term."""
+
+    prior = Param(Params._dummy(), "prior", "Dirichlet prior of a topic in a row", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str = "counts", outputCol: str = "mixture", prior: float = 1.0):
+        super().__init__()
+        self._setDefault(inputCol="counts", outputCol="mixture", prior=1.0)
+        self._set(**self._input_kwargs)
+        self.matrix = np.ones((1, 0))
+
+    def of(self, matrix: np.ndarray) -> TopicShares:
+        """With Dirichlet weights by topic and term."""
+        self.matrix = matrix
+        return self
+
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader()
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        prior, topics, width = self.getOrDefault(self.prior), *self.matrix.shape
+        # The vocabulary limit times the number of topics.
+        shared = dataset.sparkSession.sparkContext.broadcast(_expected(self.matrix))
+
+        @F.arrow_udf("array<double>")
+        def shares(indices: pa.Array, values: pa.Array) -> pa.Array:
+            out = np.zeros((len(values), topics))
+            at = 0
+            for rows in _blocks(indices, values, width):
+                gamma, _, _ = infer(rows, shared.value, prior)
+                known = np.bincount(rows.rows, minlength=rows.shape[0]) > 0
+                out[at : at + len(gamma)][known] = (gamma / gamma.sum(axis=1, keepdims=True))[known]
+                at += len(gamma)
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, topics, dtype=np.int32)), pa.array(out.ravel()))
+
+        _, indices, values = entries(self.getInputCol())
+        # Not deterministic for Spark, so that it is not repeated for each use of the shares.
+        return dataset.withColumn(self.getOutputCol(), shares.asNondeterministic()(indices, values))
+
+    def describe_topics(self, n: int = 10) -> DataFrame:
+        """The ``n`` heaviest terms of each topic as (topic, termIndices, termWeights); ties by the index."""
+        shares = self.matrix / self.matrix.sum(axis=1, keepdims=True)
+        rows = []
+        for topic, weights in enumerate(shares):
+            best = np.argsort(-weights, kind="stable")[:n]
+            rows.append((topic, best.tolist(), weights[best].tolist()))
+        schema = "topic int, termIndices array<int>, termWeights array<double>"
+        return SparkSession.active().createDataFrame(rows, schema)
+
+
+def lda_fit(df: DataFrame, topics: int = 12, iterations: int = 30, counts: str = "counts", seed: int = 42) -> TopicShares:
+    """Variational topic model with fixed priors of one over the number of topics, by full iterations over all rows."""
+    parts = F.unwrap_udt(F.col(counts))
+    found = df.select(F.coalesce(parts["size"], F.size(parts["values"])).alias("n")).head()
+    width = found["n"] if found else 0
+    prior = 1.0 / topics
+    matrix = np.random.default_rng(seed).gamma(100.0, 0.01, (topics, width))
+    rows = cut_lineage(df.select(*entries(counts)[1:]))
+    context = df.sparkSession.sparkContext
+    for _ in range(iterations if width else 0):
+        factors = _expected(matrix)
+        shared = context.broadcast(factors)
+
+        def statistics(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((topics, width))
+            for batch in batches:
+                for block in _blocks(batch.column(0), batch.column(1), width):
+                    _, share, theta = infer(block, shared.value, prior)
+                    for k in range(topics):
+                        total[k] += np.bincount(block.columns, share * theta[block.rows, k], minlength=width)
+            yield _matrix_batch(total)
+
+        matrix = prior + factors * _added(rows.mapInArrow(statistics, _MATRIX), topics, width)
+        shared.destroy()
+    return TopicShares(inputCol=counts, prior=prior).of(matrix)
+
+
+def lda_topic_mix(model: TopicShares, df: DataFrame, output: str = "mixture") -> DataFrame:
     """Topic shares of each row; all zero for a row without a known term."""
-    mixed = model.setTopicDistributionCol("_mixture").transform(df)
-    return mixed.withColumn(output, vector_to_array("_mixture")).drop("_mixture")
+    return model.copy({model.outputCol: output}).transform(df)
 
 
 def add_dominant_topic(df: DataFrame, mixture: str = "mixture", names: dict[int, str] = TOPIC_LABELS) -> DataFrame:
@@ -47,9 +234,9 @@ def add_dominant_topic(df: DataFrame, mixture: str = "mixture", names: dict[int,
     return found.withColumn("topic_label", topic_label("dominant_topic", names))
 
 
-def topic_top_words(model: LDAModel, counter: CountVectorizerModel, n: int = 15) -> DataFrame:
+def topic_top_words(model: TopicShares, counter: CountVectorizerModel, n: int = 15) -> DataFrame:
     """The heaviest terms of each topic in order, one row per topic."""
-    described = model.describeTopics(n)
+    described = model.describe_topics(n)
     places = described.select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "entry")
     )
@@ -59,5 +246,3 @@ def topic_top_words(model: LDAModel, counter: CountVectorizerModel, n: int = 15)
     # At most n rows per topic.
     ordered = F.sort_array(F.collect_list(F.struct("rank", "term")))
     return named.groupBy("topic").agg(F.array_join(F.transform(ordered, lambda e: e["term"]), ", ").alias("words"))
-
-

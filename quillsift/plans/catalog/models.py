@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillsift.functions.columns import LABELS, full_text
 from quillsift.operators import classify as M
 from quillsift.operators import features as V
+from quillsift.operators import search as S
 from quillsift.operators.evaluate import classification_report
 from quillsift.operators.sampling import stratified_kfold, stratified_split
 from quillsift.plans.catalog.tables import labelled
 from quillsift.plans.catalog.text import cleaned
-from quillsift.plans.enrich import enrich_reviews, fit_topics, prepare, score_and_topic
+from quillsift.plans.enrich import TopicModel, enrich_reviews, fit_topics, prepare, score_and_topic
 from quillsift.plans.registry import query, rounded, view
-from quillsift.session import cut_lineage, spread
+from quillsift.session import cut_lineage, spread, stored_path
+from quillsift.sources.sinks import materialize, model_store
 from quillsift.sources.tables import reviews, timed_reviews
 
 # A setting of these runs, for which the tables here are small; the fits run by the operators' defaults.
@@ -92,11 +96,12 @@ def _dataset(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     """Training and test rows as tf-idf vectors, the weights learnt on the training rows alone."""
-    data = V.Terms(inputCol="clean_text", outputCol="terms").transform(_dataset(spark, sf_dir)).persist()
-    train = data.filter("split = 'train'")
-    tfidf = V.tfidf_features(train.select("terms"), min_df=MIN_DF)
+    terms = V.Terms(inputCol="clean_text", outputCol="terms").transform(_dataset(spark, sf_dir))
+    data = cut_lineage(terms.select("review_id", "text", "sentiment_label", "label", "terms", "split"))
+    tfidf = V.tfidf_features(data.filter("split = 'train'").select("terms"), min_df=MIN_DF)
     columns = ["review_id", "text", "sentiment_label", "label", "features"]
-    return [tfidf.transform(data.filter(F.col("split") == side)).select(*columns).persist() for side in ("train", "test")]
+    train = cut_lineage(tfidf.transform(data.filter("split = 'train'")).select(*columns))
+    return train, tfidf.transform(data.filter("split = 'test'")).select(*columns)
 
 
 @query("train_logreg")
@@ -114,8 +119,8 @@ def _(spark, sf_dir):
 @query("calibrate_sigmoid")
 def _(spark, sf_dir):
     train, test = _vectors(spark, sf_dir)
-    folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id").persist()
-    return M.score_table(M.calibrate_sigmoid(folded), test)
+    folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id")
+    return M.score_table(M.calibrate_sigmoid(cut_lineage(folded)), test)
 
 
 @query("train_boosted_trees")
@@ -141,26 +146,35 @@ def _(spark, sf_dir):
 
 
 def _search(spark, sf_dir):
+    """The data set, and the table of the search over its training rows: made once, then read."""
     data = _dataset(spark, sf_dir)
-    train = data.filter("split = 'train'")
-    folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id")
-    return M.random_search(folded, parallelism=8), data
+
+    def search():
+        train = data.filter("split = 'train'")
+        folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id")
+        return S.random_search(folded)
+
+    return data, materialize(spark, stored_path(spark, "search", sf_dir), search)
 
 
 @query("random_search")
 def _(spark, sf_dir):
-    model, _ = _search(spark, sf_dir)
-    return M.search_results(model, spark)
+    _, results = _search(spark, sf_dir)
+    return results.orderBy(F.desc("cv_macro_f1"), "draw")
 
 
 @query("refit_best")
 def _(spark, sf_dir):
-    model, data = _search(spark, sf_dir)
-    tested = model.bestModel.transform(data.filter("split = 'test'"))
+    """The report of the best setting, with the setting and its score in the search."""
+    data, results = _search(spark, sf_dir)
+    model = S.refit_best(data.filter("split = 'train'"), results)
+    tested = model.transform(data.filter("split = 'test'"))
     named = tested.select(
         F.col("sentiment_label").alias("true_label"), M.label_name(F.col("prediction")).alias("predicted_label")
     )
-    return classification_report(named)
+    setting, score = S.best_setting(results)
+    report = classification_report(named)
+    return report.withColumns({"best_params": F.lit(setting), "cv_macro_f1": F.lit(score)})
 
 
 def keyword_model():
@@ -190,24 +204,30 @@ def _(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    """A scorer and a topic model fitted on the clean reviews."""
-    ready = spread(cut_lineage(M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))), "review_id")
-    classifier = M.end_to_end_model(ready, M.train_logreg, "clean_text", cleaned=True, min_df=MIN_DF)
-    topics = fit_topics(ready)
+    """A scorer and a topic model fitted on the clean reviews: made once, then loaded."""
+
+    @cache
+    def ready():
+        return spread(cut_lineage(M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))), "review_id")
+
+    def fit():
+        return M.end_to_end_model(ready(), M.train_logreg, "clean_text", cleaned=True, min_df=MIN_DF)
+
+    classifier = model_store(spark, stored_path(spark, "classifier", sf_dir), fit)
+    topics = TopicModel.of(model_store(spark, stored_path(spark, "topics", sf_dir), lambda: fit_topics(ready()).pipeline()))
 
     def score(df):
         scored = classifier.transform(df)
-        best = M.vector_to_array(F.col("probability"))
-        extra = [c for c in scored.columns if c not in df.columns and c != "probabilities"]
+        extra = [c for c in scored.columns if c not in df.columns and c != "scores"]
         return (
-            scored.withColumn("probabilities", best)
-            .withColumns(
+            scored.withColumns(
                 {
-                    "predicted_label": M.label_name(M.row_argmax(F.col("probabilities"))),
-                    "confidence": M.row_max(F.col("probabilities")),
+                    "predicted_label": M.label_name(M.row_argmax(F.col("scores"))),
+                    "confidence": M.row_max(F.col("scores")),
                 }
             )
             .drop(*extra)
+            .withColumnRenamed("scores", "probabilities")
         )
 
     return score, topics

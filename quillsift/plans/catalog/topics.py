@@ -23,7 +23,7 @@ def _counts(spark, sf_dir):
     terms = V.Terms(inputCol="clean_text_no_stopwords", outputCol="terms").transform(cleaned(spark, sf_dir))
     ready = spread(cut_lineage(terms.select("review_id", "terms")), "review_id")
     counter = V.count_features(ready)
-    return counter.transform(ready).select("review_id", "counts").persist(), counter
+    return cut_lineage(counter.transform(ready).select("review_id", "counts")), counter
 
 
 def _topic_model(spark, sf_dir):
@@ -34,7 +34,7 @@ def _topic_model(spark, sf_dir):
 @query("lda_fit")
 def _(spark, sf_dir):
     model, _, _ = _topic_model(spark, sf_dir)
-    return model.describeTopics(10)
+    return model.describe_topics(10)
 
 
 @query("lda_topic_mix")

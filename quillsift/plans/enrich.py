@@ -16,7 +16,8 @@ from quillsift.operators import aggregates as A
 from quillsift.operators import mismatch as M
 from quillsift.operators.features import Terms, count_features
 from quillsift.operators.quality import clean_dataset
-from quillsift.operators.topics import add_dominant_topic, lda_fit, lda_topic_mix
+from quillsift.operators.topics import TopicShares, add_dominant_topic, lda_fit, lda_topic_mix
+from quillsift.session import cut_lineage
 from quillsift.sources.schemas import ENRICHED_COLUMNS
 
 
@@ -34,12 +35,21 @@ def prepare(raw: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
 
 @dataclass
 class TopicModel:
-    """Terms, their counts and the topics over them, applied as one."""
+    """Terms, their counts and the topics over them, applied and stored as one."""
 
     counter: PipelineModel
-    topics: object
+    topics: TopicShares
     names: dict[int, str]
 
+    def pipeline(self) -> PipelineModel:
+        """The stages as one model, which ``model_store`` can keep."""
+        return PipelineModel([*self.counter.stages, self.topics])
+
+    @classmethod
+    def of(cls, stored: PipelineModel, names: dict[int, str] = C.TOPIC_LABELS) -> TopicModel:
+        """The way back from ``pipeline``; the names of the topics are a choice of the job."""
+        return cls(PipelineModel(stored.stages[:-1]), stored.stages[-1], names)
+
     def apply(self, df: DataFrame) -> DataFrame:
         mixed = lda_topic_mix(self.topics, self.counter.transform(df))
         return add_dominant_topic(mixed, names=self.names).drop("topic_terms", "counts", "mixture")
@@ -57,12 +67,9 @@ def fit_topics(
 ) -> TopicModel:
     """Topics over words and bigrams of the stop-word-free text."""
     terms = Terms(inputCol="clean_text_no_stopwords", outputCol="topic_terms")
-    prepared = terms.transform(df).select("topic_terms").persist()
+    prepared = cut_lineage(terms.transform(df).select("topic_terms"))
     counter = count_features(prepared, "topic_terms", "counts", min_df, max_df, max_features)
-    counts = counter.transform(prepared).select("counts").persist()
-    fitted = lda_fit(counts, topics, iterations, seed=seed)
-    counts.unpersist()
-    prepared.unpersist()
+    fitted = lda_fit(counter.transform(prepared).select("counts"), topics, iterations, seed=seed)
     return TopicModel(PipelineModel([terms, counter]), fitted, names)
 
 

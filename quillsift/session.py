@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillsift/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_path(spark: SparkSession, name: str, source: str) -> str:
+    """The path in the shared folder of what this application made from one source, for others to reuse."""
+    digest = hashlib.sha256(source.encode()).hexdigest()[:16]
+    return f"{shared_dir(spark)}/quillsift/{spark.sparkContext.applicationId}/{name}-of-{digest}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

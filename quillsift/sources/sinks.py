@@ -48,6 +48,12 @@ def is_finished(spark: SparkSession, path: str) -> bool:
     return files.exists(mark)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of our own, if it is there."""
+    files, place = _hadoop_path(spark, path)
+    files.delete(place, True)
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Reuse the table at ``path`` if a finished one is there; otherwise build and store it."""
     if not is_finished(spark, path):

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillsift.operators.sampling import reservoir_sample
 from quillsift.sources.schemas import RAW_REVIEW
-from quillsift.sources.sinks import is_finished
+from quillsift.sources.sinks import is_finished, remove
 
 
 def stream_reviews(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -26,11 +26,21 @@ def stream_reservoir(stream: DataFrame, path: str, n: int, seed: int = 42) -> St
 
     Every batch writes a new version of the sample, made from the previous version and the batch. A
     batch that is run again reads the same previous version, and the random keys depend on the row's
-    id alone, so it writes the same rows.
+    id alone, so it writes the same rows. A batch that begins has the one before it behind it for good, so
+    the version before that goes: two are left, or one after ``only_latest_sample``. The rows of a batch
+    are read once and held while the sample is drawn.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        remove(spark, f"{path}/sample/version={batch_id - 2}")
+        batch = batch.persist()
+        try:
+            write(spark, batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def write(spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
         before = f"{path}/sample/version={batch_id - 1}"
         rows = batch
         if is_finished(spark, before):
@@ -47,6 +57,12 @@ def stream_reservoir(stream: DataFrame, path: str, n: int, seed: int = 42) -> St
     )
 
 
+def only_latest_sample(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The sample of the last finished batch; the version before it, which no batch reads any more, goes."""
+    remove(spark, f"{path}/sample/version={batch_id - 1}")
+    return latest_sample(spark, path, batch_id)
+
+
 def latest_sample(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return spark.read.parquet(f"{path}/sample/version={batch_id}")
 

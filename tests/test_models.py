@@ -2,6 +2,7 @@
 
 import inspect
 import json
+from functools import partial
 from unittest.mock import MagicMock
 
 import numpy as np
@@ -15,6 +16,10 @@ from quillsift.functions.columns import LABELS, full_text
 from quillsift.operators import classify as M
 from quillsift.operators import evaluate as E
 from quillsift.operators import features as V
+from quillsift.operators import linear
+from quillsift.operators import search as S
+from quillsift.operators.boosting import Binned, Forest, fit_trees, grow
+from quillsift.operators.linear import LinearScores
 from quillsift.operators.sampling import stratified_kfold
 from quillsift.plans.catalog import models as catalog
 from quillsift.plans.catalog.models import _dataset, keyword_model
@@ -73,10 +78,14 @@ def test_linear_models_beat_the_majority(vectors, train):
     assert E.macro_f1(scored).head()[0] > majority(test) + 0.1
 
 
-def test_boosted_trees_beat_the_majority(vectors):
+def test_boosted_trees_beat_the_majority_and_survive_storage(spark, vectors):
     rows, test = vectors
-    model = M.train_boosted_trees(rows, trees=3, depth=3, top_features=50)
-    assert E.macro_f1(M.score_table(model, test)).head()[0] > majority(test)
+    model = M.train_boosted_trees(rows, trees=30)
+    scored = M.score_table(model, test)
+    assert E.macro_f1(scored).head()[0] > majority(test)
+    path = scratch_path(spark, "trees")
+    model.write().save(path)
+    assert sorted(M.score_table(PipelineModel.load(path), test).collect()) == sorted(scored.collect())
 
 
 def test_calibrated_scores_are_probabilities_and_survive_storage(spark, vectors):
@@ -95,16 +104,172 @@ def test_calibrated_scores_are_probabilities_and_survive_storage(spark, vectors)
 
 
 def test_mean_sigmoid_by_hand(spark):
-    from pyspark.ml.linalg import Vectors
-
-    margins = [[0.5, -1.0, 0.2], [1.5, 0.0, -0.3]]
-    names = [f"m{f}{c}" for f in range(2) for c in range(3)]
-    flat = [m for fold in margins for m in fold]
-    rows = spark.createDataFrame([tuple(Vectors.dense([-m, m]) for m in flat)], names)
+    margins = np.array([[0.5, -1.0, 0.2], [1.5, 0.0, -0.3]])
     slopes, offsets = [1.0, 2.0, 0.5, 1.5, 1.0, 3.0], [0.0, 0.1, -0.2, 0.3, 0.0, 0.4]
-    got = M.MeanSigmoid(inputCols=names, slopes=slopes, offsets=offsets).transform(rows).head()["scores"]
-    p = 1 / (1 + np.exp(-(np.array(flat) * slopes + offsets))).reshape(2, 3)
-    assert got == pytest.approx(list((p / p.sum(axis=1, keepdims=True)).mean(axis=0)))
+    model = LinearScores(link="sigmoids", classes=3, slopes=slopes, offsets=offsets).of(np.column_stack([margins.ravel(), np.zeros(6)]))
+    rows = spark.createDataFrame([(Vectors.dense([1.0]),), (Vectors.sparse(1, {}),)], ["features"])
+    got = [r["scores"] for r in model.transform(rows).collect()]
+    for scores, flat in zip(got, (margins.ravel(), np.zeros(6))):
+        p = 1 / (1 + np.exp(-(flat * slopes + offsets))).reshape(2, 3)
+        assert scores == pytest.approx(list((p / p.sum(axis=1, keepdims=True)).mean(axis=0)))
+
+
+def _rows(spark, n=90, width=12, seed=1):
+    """Sparse rows of three classes, some of them hard to tell apart."""
+    rng = np.random.default_rng(seed)
+    x = np.where(rng.random((n, width)) < 0.4, rng.random((n, width)), 0.0)
+    y = rng.integers(0, 3, n) * (rng.random(n) < 0.8)
+    x[np.arange(n), y] += 0.7
+    frame = [(float(c), Vectors.sparse(width, {j: float(v) for j, v in enumerate(row) if v})) for c, row in zip(y, x)]
+    return x, y, spark.createDataFrame(frame, ["label", "features"]).repartition(3)
+
+
+def _descend(loss, w, steps=200_000, rate=0.5):
+    """Plain gradient descent with backtracking: slow, and nothing like the solver."""
+    value, slope = loss(w)
+    for _ in range(steps):
+        if np.abs(slope).max() < 1e-7:
+            break
+        while True:
+            new = w - rate * slope
+            new_value, new_slope = loss(new)
+            if new_value <= value - 0.5 * rate * (slope**2).sum() + 1e-13 * abs(value):
+                break
+            rate /= 2
+        w, value, slope, rate = new, new_value, new_slope, rate * 1.1
+    return w
+
+
+@pytest.mark.parametrize("share", [0.02, 2.0])
+def test_logreg_is_the_minimum_of_its_loss(spark, monkeypatch, share):
+    """Whether the columns are in the dense block or not."""
+    monkeypatch.setattr(linear, "DENSE_SHARE", share)
+    x, y, frame = _rows(spark)
+    weight = (len(y) / (3 * np.bincount(y)))[y]
+    ones = np.column_stack([x, np.ones(len(x))])
+
+    def loss(w):
+        z = ones @ w
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        kept = w * np.array([1.0] * x.shape[1] + [0.0])[:, None]
+        value = -(weight * np.log(p[np.arange(len(y)), y])).sum() + 0.5 / 2.0 * (kept**2).sum()
+        return value, ones.T @ (weight[:, None] * (p - np.eye(3)[y])) + kept / 2.0
+
+    model = M.train_logreg(frame, c=2.0, tolerance=1e-9).stages[0]
+    want = _descend(loss, np.zeros((13, 3)), rate=0.01)
+    assert model.weights[:, :-1].T == pytest.approx(want[:-1], abs=2e-3)
+    assert loss(model.weights.T)[0] <= loss(want)[0] + 1e-4
+
+
+def test_svc_is_the_minimum_of_its_loss(spark):
+    x, y, frame = _rows(spark, seed=2)
+    ones = np.column_stack([x, np.ones(len(x))])
+    model = M.train_linear_svc(frame, c=0.7, tolerance=1e-9).stages[0]
+    for k in range(3):
+        sign = np.where(y == k, 1.0, -1.0)
+        weight = np.where(y == k, len(y) / (3 * (y == k).sum()), 1.0)
+
+        def loss(w):
+            short = np.maximum(0, 1 - sign * (ones @ w))
+            return 0.5 * w @ w + 0.7 * (weight * short**2).sum(), w - 1.4 * ones.T @ (weight * sign * short)
+
+        assert model.weights[k] == pytest.approx(_descend(loss, np.zeros(13), rate=0.01), abs=1e-4)
+
+
+def test_calibration_equals_the_same_steps_by_hand(spark):
+    x, y, frame = _rows(spark, seed=3)
+    folded = frame.withColumn("fold", F.pmod(F.xxhash64("features"), F.lit(3)).cast("int")).persist()
+    model = M.calibrate_sigmoid(folded, tolerance=1e-9).stages[0]
+    for f in range(3):
+        alone = M.train_linear_svc(folded.where(F.col("fold") != f), tolerance=1e-9).stages[0]
+        assert model.weights[3 * f : 3 * f + 3] == pytest.approx(alone.weights, abs=1e-6)
+        held = folded.where(F.col("fold") == f).collect()
+        for k in range(3):
+            margin = np.array([r["features"].toArray() @ alone.weights[k, :-1] + alone.weights[k, -1] for r in held])
+            hit = np.array([r["label"] == k for r in held])
+            target = np.where(hit, (hit.sum() + 1) / (hit.sum() + 2), 1 / ((~hit).sum() + 2))
+
+            def loss(w):
+                p = 1 / (1 + np.exp(-(w[0] * margin + w[1])))
+                return -(target * np.log(p) + (1 - target) * np.log(1 - p)).sum(), np.array([((p - target) * margin).sum(), (p - target).sum()])
+
+            want = _descend(loss, np.zeros(2))
+            got = [model.getOrDefault(p)[3 * f + k] for p in (model.slopes, model.offsets)]
+            assert got == pytest.approx(list(want), abs=1e-3)
+
+
+def test_models_of_odd_rows(spark):
+    """No rows, one class, rows without a label, null ids; dense vectors."""
+    _, _, frame = _rows(spark)
+    none = frame.where("false")
+    one = frame.where("label = 1").union(frame.withColumn("label", F.lit(None).cast("double")))
+    dense = spark.createDataFrame([(float(i % 3), Vectors.dense([i % 3, -1.0 * (i % 3 == 1)])) for i in range(60)], ["label", "features"])
+    for train in (M.train_logreg, M.train_linear_svc, partial(M.train_boosted_trees, trees=2)):
+        assert train(none).transform(frame).where("prediction in (0, 1, 2)").count() == 90
+        assert train(one).transform(frame).where("prediction = 1").count() == 90
+        assert train(dense).transform(dense).where("prediction = label").count() == 60
+    folded = frame.withColumn("fold", F.lit(0))
+    assert M.calibrate_sigmoid(folded.where("false")).transform(frame).where("prediction in (0, 1, 2)").count() == 90
+    texts = spark.createDataFrame([("good mug", 1.0, 0), (None, 1.0, 1), ("", None, 2)], "clean_text string, label double, fold int")
+    for rows in (texts, texts.where("false")):
+        results = S.random_search(rows, draws=2)
+        assert results.count() == 2
+        assert S.refit_best(rows, results).transform(texts).count() == 3
+
+
+def test_fits_take_a_bounded_part_of_many_rows(spark):
+    rows = spark.range(4000).select((F.col("id") % 3).cast("double").alias("label"), "id")
+    taken = linear.at_most(rows, F.lit(5), rows=500)
+    assert 350 < taken.count() <= 500
+    assert taken.where("label = 1").count() > 50
+    assert linear.at_most(rows, F.lit(5), rows=4000).count() == 4000
+    assert 800 < linear.at_most(rows, F.lit(linear.MAX_ENTRIES // 1000)).count() < 1200
+    same = spark.range(3000).select(F.lit(1.0).alias("label"))
+    assert linear.at_most(same, F.lit(1), rows=100).count() <= 100
+
+
+def _gain(g, h):
+    return g * g / h
+
+
+def test_first_cut_of_a_tree_is_the_best_of_all():
+    """Every cut of every feature tried on dense columns, zeros and negative values among them."""
+    rng = np.random.default_rng(7)
+    for turn in range(6):
+        x = np.where(rng.random((80, 6)) < 0.5, np.round(rng.random((80, 6)), 1), 0.0)
+        x[:, 5] -= 0.4 * (turn % 2)
+        g, h = rng.normal(size=80), rng.random(80) + 0.1
+        at = np.nonzero(x)
+        data = Binned.of(linear.SparseRows(at[0], at[1], x[at], x.shape), 1000, 5)
+        nodes, added = grow(data, 80, g, h, 2, 5, 1e-3, 1.0)
+        best = (0.0, None)
+        for j in range(6):
+            for cut in np.unique(x[:, j])[:-1]:
+                right = x[:, j] > cut
+                if 5 <= right.sum() <= 75:
+                    gain = _gain(g[right].sum(), h[right].sum()) + _gain(g[~right].sum(), h[~right].sum()) - _gain(g.sum(), h.sum())
+                    best = max(best, (gain, (j, cut)))
+        j, cut = best[1]
+        right = x[:, j] > cut
+        want = np.where(right, -g[right].sum() / h[right].sum(), -g[~right].sum() / h[~right].sum())
+        assert nodes[0][1] == j and added == pytest.approx(want)
+
+
+def test_trees_keep_their_limits_and_score_what_they_fitted():
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((400, 20)) < 0.3, rng.random((400, 20)), 0.0)
+    y = (x[:, 0] + 2 * x[:, 1] * (x[:, 2] > 0.5) > 0.5).astype(int) + (x[:, 3] > 0.6)
+    at = np.nonzero(x)
+    rows = linear.SparseRows(at[0], at[1], x[at], x.shape)
+    nodes = fit_trees(rows, y, 3, 40, 7, 0.1, 32, 20)
+    trees = {}
+    for turn, k, node, feature, *_ in nodes:
+        trees.setdefault((turn, k), []).append(feature)
+    assert all(sum(f < 0 for f in tree) <= 7 for tree in trees.values()) and len(trees) == 3 + 120
+    got = Forest(nodes, 3).margins(rows, block=64)
+    assert (got.argmax(axis=1) == y).mean() > 0.9
+    assert got == pytest.approx(Forest(nodes, 3).margins(rows))
 
 
 def test_end_to_end_model_equals_model_on_cleaned_text(spark, data):
@@ -134,24 +299,49 @@ def test_two_raw_sentences(data):
     assert got == {1: "positive", 2: "negative"}
 
 
-def test_search_and_refit(data):
+def test_search_and_refit(spark, data):
     train = data.filter("split = 'train'")
-    folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id")
-    model = M.random_search(folded, draws=2, max_iter=2)
-    results = M.search_results(model, data.sparkSession).collect()
-    assert len(results) == 2 and results[0]["cv_macro_f1"] >= results[1]["cv_macro_f1"]
-    assert model.bestModel.transform(data.filter("split = 'test'")).filter("prediction IS NULL").count() == 0
+    folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id").persist()
+    results = S.random_search(folded, draws=4)
+    rows = results.collect()
+    assert len(rows) == 4 and [r["cv_macro_f1"] for r in rows] == sorted((r["cv_macro_f1"] for r in rows), reverse=True)
+    # The mean of a draw, made anew from the vectors of Spark.
+    draw = rows[0]
+    scores = []
+    for f in range(3):
+        terms = V.Terms(ngrams=draw["ngrams"]).transform(folded)
+        inside, outside = terms.where(F.col("fold") == f), terms.where(F.col("fold") != f)
+        tfidf = V.tfidf_features(outside, min_df=draw["min_df"], max_df=1.0, max_features=draw["max_features"], sublinear=draw["sublinear"])
+        svc = M.train_linear_svc(tfidf.transform(outside).select("label", "features"), c=draw["c"], tolerance=1e-4)
+        scores.append(E.MacroF1().evaluate(svc.transform(tfidf.transform(inside))))
+    assert draw["cv_macro_f1"] == pytest.approx(np.mean(scores), abs=0.02)
+    model = S.refit_best(train, results)
+    test = data.filter("split = 'test'")
+    scored = model.transform(test)
+    assert E.MacroF1().evaluate(scored) > majority(test) + 0.1
+    assert scored.columns == [*test.columns, "scores", "prediction"]
+    path = scratch_path(spark, "svc")
+    model.write().save(path)
+    again = S.TfidfSvcScores.load(path).transform(test)
+    assert sorted(again.select("review_id", "scores").collect()) == sorted(scored.select("review_id", "scores").collect())
+    setting, score = S.best_setting(results)
+    assert score == draw["cv_macro_f1"] and json.loads(setting) == {k: draw[k] for k in ("c", "max_features", "min_df", "ngrams", "sublinear")}
 
 
-def test_random_draws_are_seeded():
-    estimator = M.TfidfSvc()
+def test_refit_reads_the_stored_search(spark, sf_dir, monkeypatch):
+    table = spark.createDataFrame([(0, 0.5, 20_000, 5, 1, True, 0.4), (1, 2.0, 50_000, 2, 2, False, 0.6)], S.SETTING + ", cv_macro_f1 double")
+    monkeypatch.setattr(S, "random_search", lambda folded: table)
+    monkeypatch.setattr(catalog, "stored_path", lambda spark, name, sf_dir: scratch_path(spark, name))
+    report = QUERIES["refit_best"](spark, sf_dir).collect()
+    assert {r["class"] for r in report} >= {*LABELS, "accuracy"}
+    assert all(json.loads(r["best_params"])["max_features"] == 50_000 and r["cv_macro_f1"] == 0.6 for r in report)
 
-    def plain(draws):
-        return [sorted((p.name, v) for p, v in d.items()) for d in draws]
 
-    first = plain(M.random_draws(estimator))
-    assert first == plain(M.random_draws(estimator)) and len(first) == 15
-    assert all(0.01 <= dict(d)["inversePenalty"] <= 10 for d in first)
+def test_random_draws_are_seeded():
+    draws = S.random_draws()
+    assert draws == S.random_draws() and len(draws) == 15 and draws != S.random_draws(seed=1)
+    assert all(0.01 <= d.c <= 10 for d in draws)
+    assert all(getattr(d, name) in choices for d in draws for name, choices in S.SEARCH_SPACE.items())
 
 
 @pytest.mark.parametrize("limit", [None, 128])
@@ -262,10 +452,10 @@ def test_relational_weights_equal_those_of_the_vectors(spark, sublinear):
 )
 def test_queries_fit_in_full(spark, monkeypatch, name, fits):
     """No query limits the iterations, trees, draws or features of a fit below the operator's defaults."""
-    limits, seen = {"max_iter", "trees", "depth", "top_features", "draws"}, []
+    limits, seen = {"max_iter", "trees", "leaves", "draws", "folds", "tolerance", "max_rows"}, []
 
     def recorded(fit):
-        real = inspect.signature(getattr(M, fit))
+        real = inspect.signature(getattr(S if fit == "random_search" else M, fit))
 
         def run(*args, **options):
             call = real.bind(*args, **options)
@@ -277,25 +467,18 @@ def test_queries_fit_in_full(spark, monkeypatch, name, fits):
         return run
 
     for fit in fits:
-        monkeypatch.setattr(M, fit, recorded(fit))
+        monkeypatch.setattr(S if fit == "random_search" else M, fit, recorded(fit))
     monkeypatch.setattr(M, "end_to_end_model", lambda df, train, *args, **options: train(df))
-    for part in ("score_table", "search_results", "label_name", "add_label"):
+    for part in ("score_table", "label_name", "add_label"):
         monkeypatch.setattr(M, part, MagicMock())
-    for part in ("_dataset", "stratified_kfold", "classification_report", "fit_topics", "spread", "cut_lineage", "prepare"):
+    monkeypatch.setattr(S, "refit_best", MagicMock())
+    monkeypatch.setattr(S, "best_setting", lambda results: ("{}", 0.0))
+    monkeypatch.setattr(catalog, "materialize", lambda spark, path, build: build())
+    monkeypatch.setattr(catalog, "model_store", lambda spark, path, fit: fit())
+    for part in ("_dataset", "stratified_kfold", "classification_report", "fit_topics", "spread", "cut_lineage", "prepare", "stored_path", "TopicModel"):
         monkeypatch.setattr(catalog, part, MagicMock())
     for part in ("timed_reviews", "reviews", "score_and_topic", "enrich_reviews"):
         monkeypatch.setattr(catalog, part, MagicMock())
     monkeypatch.setattr(catalog, "_vectors", lambda spark, sf_dir: (MagicMock(), MagicMock()))
     QUERIES[name](spark, "")
     assert seen == fits
-
-
-def test_trees_use_every_feature_that_separates(spark):
-    """More features than any fixed number would keep, and none that says nothing."""
-    rng = np.random.default_rng(3)
-    rows = []
-    for i in range(90):
-        useful = [float(i % 3 + rng.normal() * 0.1) for _ in range(520)]
-        rows.append((float(i % 3), Vectors.dense(useful + [1.0] * 10)))
-    chosen = M.train_boosted_trees(spark.createDataFrame(rows, ["label", "features"]).coalesce(2), trees=1, depth=1).stages[0]
-    assert sorted(chosen.selectedFeatures) == list(range(520))

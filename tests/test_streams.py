@@ -1,5 +1,7 @@
 """Streams give what the batch operators give, also when a batch is run again."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,23 @@ def test_reservoir_goes_on_after_a_restart(spark, sf_dir, arrivals):
     assert ids(S.latest_sample(spark, path, S.last_batch(run))) == ids(reservoir_sample(rows, 60))
 
 
+def test_old_versions_of_the_sample_go(spark, sf_dir, arrivals):
+    path = scratch_path(spark, "versions")
+    run = S.stream_reservoir(S.stream_reviews(spark, arrivals, 1), path, 60)
+    run.awaitTermination()
+    versions = lambda: sorted(p.name for p in Path(f"{path}/sample").iterdir())
+    assert versions() == ["version=1", "version=2"]
+    # The last batch again, as after a lost commit.
+    (Path(f"{path}/checkpoint/commits/2")).unlink()
+    (Path(f"{path}/checkpoint/commits/.2.crc")).unlink(missing_ok=True)
+    again = S.stream_reservoir(S.stream_reviews(spark, arrivals, 1), path, 60)
+    again.awaitTermination()
+    assert versions() == ["version=1", "version=2"]
+    kept = S.only_latest_sample(spark, path, 2)
+    assert versions() == ["version=2"]
+    assert ids(kept) == ids(reservoir_sample(reviews(spark, sf_dir), 60))
+
+
 def test_scores_equal_batch_scores(spark, sf_dir, arrivals):
     def score(df):
         scored = batch_model_scoring(df.withColumn("full_text", full_text()), keyword_model)

@@ -99,6 +99,25 @@ def test_percentiles_are_exact_with_one_heavy_value(spark):
     assert [whole[n] for n in names] == pytest.approx(list(np.percentile(values, [100 * s for s in shares])))
 
 
+@pytest.mark.parametrize("values, parts", [(5, 8), (1, 16), (60, 4)])
+def test_percentiles_by_narrower_ranges(spark, monkeypatch, values, parts):
+    """Rounds that cut the ranges change nothing, with null groups, ties and a heavy tail."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "RANGE_VALUES", values)
+    monkeypatch.setattr(quality, "PARTS", parts)
+    rows = [(g, v) for g, scale in (("a", 1.0), (None, -1e6), ("c", 1e300)) for v in [scale * x**3 for x in range(150)] + [scale] * 80]
+    rows += [("d", 4.0), ("e", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    shares, names = [0.0, 0.25, 0.5, 0.97, 1.0], ["a", "b", "c", "d", "e"]
+    got = {r["g"]: [r[n] for n in names] for r in quality.exact_percentiles(frame, F.col("v"), shares, names, ["g"]).collect()}
+    for g in ("a", None, "c", "d"):
+        mine = [v for key, v in rows if key == g]
+        assert got[g] == pytest.approx(list(np.percentile(mine, [100 * s for s in shares])))
+    whole = quality.exact_percentiles(frame.where("g = 'a'"), F.col("v"), shares, names).head()
+    assert [whole[n] for n in names] == pytest.approx(got["a"])
+
+
 def test_percentiles_of_nothing(spark):
     empty = spark.createDataFrame([], "v double")
     assert quality.exact_percentiles(empty, F.col("v"), [0.5], ["p50"]).head()["p50"] is None

@@ -1,9 +1,11 @@
 """Topics: planted groups are found, merged and named; outliers stay apart."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from quillsift.operators import embedding_topics as B
@@ -11,6 +13,9 @@ from quillsift.operators import features as V
 from quillsift.operators import topics as L
 from quillsift.plans.catalog import topics as catalog
 from quillsift.plans.catalog.topics import letter_encoder
+from quillsift.plans.enrich import TopicModel, fit_topics
+from quillsift.session import scratch_path
+from quillsift.sources.sinks import model_store
 from quillsift.sources.tables import review_vectors
 
 
@@ -140,8 +145,72 @@ def test_every_row_counts_in_the_topics(spark):
     counts = V.count_features(terms, min_df=1, max_df=1.0).transform(terms).persist()
     totals = np.sum([r["counts"].toArray() for r in counts.collect()], axis=0)
     for parts in (1, 5):
-        matrix = L.lda_fit(counts.repartition(parts), topics=3, iterations=5).topicsMatrix().toArray()
-        assert (matrix - 1 / 3).sum(axis=1) == pytest.approx(totals, rel=1e-6)
+        matrix = L.lda_fit(counts.repartition(parts), topics=3, iterations=5).matrix
+        assert (matrix - 1 / 3).sum(axis=0) == pytest.approx(totals, rel=1e-6)
+
+
+def _plain_batch(counts, topics, iterations, seed=42):
+    """Batch variational inference on dense rows, one row after the other."""
+    prior, width = 1 / topics, counts.shape[1]
+    matrix = np.random.default_rng(seed).gamma(100.0, 0.01, (topics, width))
+
+    def expected(w):
+        at = lambda x: np.vectorize(lambda v: (math.lgamma(v + 1e-5) - math.lgamma(v - 1e-5)) / 2e-5)(x)
+        return np.exp(at(w) - at(w.sum(axis=-1, keepdims=True)))
+
+    for _ in range(iterations):
+        factors, total = expected(matrix), np.zeros((topics, width))
+        for row in counts:
+            gamma = np.ones(topics)
+            for _ in range(100):
+                theta = expected(gamma)
+                new = prior + theta * (factors @ (row / (theta @ factors + 1e-100)))
+                moved = np.abs(new - gamma).mean()
+                gamma = new
+                if moved < 1e-3:
+                    break
+            theta = expected(gamma)
+            total += np.outer(theta, row / (theta @ factors + 1e-100))
+        matrix = prior + factors * total
+    return matrix
+
+
+def test_topics_equal_a_plain_batch_fit(spark):
+    """A planted corpus: three groups of words, mixed in some rows."""
+    rng = np.random.default_rng(5)
+    counts = np.zeros((45, 12))
+    for i in range(45):
+        counts[i, 4 * (i % 3) : 4 * (i % 3) + 4] = rng.integers(1, 6, 4)
+        if i % 5 == 0:
+            counts[i, rng.integers(0, 12)] += 2
+    sparse = [(i, Vectors.sparse(12, {j: float(v) for j, v in enumerate(row) if v})) for i, row in enumerate(counts)]
+    rows = spark.createDataFrame(sparse, ["review_id", "counts"])
+    model = L.lda_fit(rows.repartition(4), topics=3, iterations=8)
+    assert model.matrix == pytest.approx(_plain_batch(counts, 3, 8), rel=1e-2, abs=1e-2)
+    found = {r["review_id"]: r["mixture"] for r in L.lda_topic_mix(model, rows).collect()}
+    groups = [{int(np.argmax(found[i])) for i in range(g, 45, 3)} for g in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+
+
+def test_digamma():
+    x = np.array([1e-3, 0.08, 1.0, 2.5, 40.0])
+    assert L.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, abs=1e-9)
+    slope = [(math.lgamma(v * (1 + 1e-6)) - math.lgamma(v * (1 - 1e-6))) / (2e-6 * v) for v in x]
+    assert L.digamma(x) == pytest.approx(slope, rel=1e-6)
+
+
+def test_sums_of_many_tasks_meet_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(L, "FAN", 2)
+    rows = spark.range(7).repartition(7).selectExpr("int(0) AS topic", "array(double(id), 1D) AS weights")
+    assert L._added(rows, 1, 2).tolist() == [[21.0, 7.0]]
+
+
+def test_topic_model_survives_storage(spark):
+    rows = spark.createDataFrame([(i, "mug cup mug" if i % 2 else "lamp desk") for i in range(30)] + [(99, None)], "review_id long, clean_text_no_stopwords string")
+    model = fit_topics(rows, topics=2, iterations=5, min_df=2, max_df=0.9)
+    path = scratch_path(spark, "topics")
+    again = TopicModel.of(model_store(spark, path, model.pipeline))
+    assert sorted(again.apply(rows).collect()) == sorted(model.apply(rows).collect())
 
 
 def test_topic_queries_fit_in_full(monkeypatch):
