@@ -184,8 +184,8 @@ def end_to_end_model(
     return PipelineModel([*first.stages, *tfidf.stages, *classifier.stages])
 
 
-def score_table(model: PipelineModel, df: DataFrame, true: str = "sentiment_label") -> DataFrame:
-    """Key, text, true and predicted label, and the confidence: the largest class probability.
+def score_table(model: PipelineModel, df: DataFrame, *more: str, true: str = "sentiment_label") -> DataFrame:
+    """Key, text, true and predicted label, and the confidence: the largest class probability; then further columns.
 
     For models that give margins and no probabilities the confidence is the largest margin.
     """
@@ -195,6 +195,7 @@ def score_table(model: PipelineModel, df: DataFrame, true: str = "sentiment_labe
         F.col(true).alias("true_label"),
         label_name(row_argmax(F.col("scores"))).alias("predicted_label"),
         row_max(F.col("scores")).alias("confidence"),
+        *more,
     )
 
 

@@ -1,9 +1,12 @@
 """Topics from text embeddings: embed, reduce, group by density, name, merge.
 
-Density is that of the rows themselves: equal vectors are counted once with their number, the distinct
-ones are packed into blocks of bounded size, and a task compares one block with another by a matrix
-product. Pairs of blocks that lie too far apart are left out. Dense vectors are linked within each block
-first, so a heap of near ones yields one edge per pair of groups and not one per pair of rows.
+Density is that of the rows themselves: equal vectors are counted once with their number, and the distinct
+ones are dealt to the cells of some pivots, each to its nearest. A vector is sent to those cells alone that can
+hold one in reach of it: a cell is out of reach if the plane between its pivot and the vector's own is farther
+than the radius, or its outermost member is. So the vectors of separate groups never meet, and what meets
+does so by an equality of cells. A cell is cut into blocks of bounded size, and a task compares two blocks
+by a matrix product. Dense vectors are linked within each block first, so a heap of near ones yields one edge
+per pair of groups and not one per pair of rows.
 """
 
 from __future__ import annotations
@@ -14,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, predict_batch_udf
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,20 +63,33 @@ def reduce_dims(df: DataFrame, k: int, vector: str = "features", output: str = "
     return PCA(k=k, inputCol=vector, outputCol=output).fit(df).transform(df)
 
 
+_SETTINGS = "radius double, pivots array<array<double>>"
+
+
 @dataclass
 class DensityTopics:
     """Fitted topics: the dense vectors (written, in blocks) with the topic of each, -1 where it was too small."""
 
     blocks: DataFrame
     radius: float
-    centres: int
-    seed: int
+    pivots: np.ndarray
+
+    def save(self, path: str) -> None:
+        """Store the blocks, and last the settings: a folder without them is not finished."""
+        self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+        settings = [(self.radius, self.pivots.tolist())]
+        self.blocks.sparkSession.createDataFrame(settings, _SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> DensityTopics:
+        radius, pivots = spark.read.schema(_SETTINGS).parquet(f"{path}/settings").head()
+        return cls(spark.read.schema(_BLOCK).parquet(f"{path}/blocks"), radius, np.array(pivots, dtype=np.float64))
 
     def assign(self, df: DataFrame, vector: str = "vec", output: str = "topic") -> DataFrame:
         """Topic of each row: that of the nearest dense vector, or -1 if none is in reach."""
         rows = cut_lineage(df.withColumn("_point", _doubles(F.col(vector))))
         points = _points(rows.select("_point"))
-        found = _nearest(_blocks(points, self.centres, self.seed), self.blocks, self.radius)
+        found = _nearest(points, self.blocks, self.pivots, self.radius)
         topics = points.select("_id", "_point").join(found, "_id").select("_point", F.col("_value").cast("int").alias("_topic"))
         topic = F.coalesce("_topic", F.lit(OUTLIER))
         return rows.join(topics, "_point", "left").withColumn(output, topic).drop("_point", "_topic")
@@ -109,15 +125,48 @@ def _limit(radius: float) -> float:
     return (radius * (1.0 + 1e-9)) ** 2
 
 
+def _strips(points: np.ndarray, pivots: np.ndarray):
+    """Squared distances to the pivots, some rows at a time."""
+    for i in range(0, len(points), STRIP):
+        yield i, _squares(points[i : i + STRIP], pivots)
+
+
 def _cells(pivots: np.ndarray):
-    """Marks each vector with its nearest pivot."""
+    """Marks each vector with its nearest pivot, and with the distance to it."""
+
+    def run(batches):
+        for batch in batches:
+            points = _matrix(pa.chunked_array([batch.column("_point")]))
+            cell, away = np.zeros(len(points), dtype=np.int64), np.zeros(len(points))
+            for i, squares in _strips(points, pivots):
+                cell[i : i + STRIP] = squares.argmin(axis=1)
+                away[i : i + STRIP] = np.sqrt(squares.min(axis=1))
+            yield batch.append_column("_cell", pa.array(cell)).append_column("_away", pa.array(away))
+
+    return run
+
+
+def _targets(pivots: np.ndarray, reach: np.ndarray, radius: float):
+    """A row per vector and cell that may hold another one in reach; ``reach`` is negative for cells without any."""
+    between = np.sqrt(_squares(pivots, pivots))
+    limit = radius * (1.0 + 1e-6) + 1e-9
 
     def run(batches):
         for batch in batches:
             points = _matrix(pa.chunked_array([batch.column("_point")]))
-            cells = [_squares(points[i : i + 2048], pivots).argmin(axis=1) for i in range(0, len(points), 2048)]
-            flat = np.concatenate(cells) if cells else np.empty(0, np.int64)
-            yield batch.append_column("_cell", pa.array(flat, pa.int64()))
+            rows, cells = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, squares in _strips(points, pivots):
+                home = squares.argmin(axis=1)
+                own = squares[np.arange(len(home)), home]
+                # Half the difference of squares over the distance of the pivots is the distance to the plane.
+                gap = squares - own[:, None]
+                near = gap <= 2.0 * limit * between[home] + 1e-9 * np.maximum(squares, 1.0)
+                near &= (np.sqrt(squares) - reach <= limit) & (reach >= 0)
+                at, cell = np.nonzero(near)
+                rows.append(at + i)
+                cells.append(cell)
+            out = batch.take(pa.array(np.concatenate(rows)))
+            yield out.append_column("_to", pa.array(np.concatenate(cells)))
 
     return run
 
@@ -147,53 +196,60 @@ def _pack(radius: float | None):
         points = _matrix(table.column("_point"))
         if radius is not None:
             values = ids[_groups(points, radius)]
-        centre = points.mean(axis=0)
-        reach = float(np.linalg.norm(points - centre, axis=1).max())
-        kinds = [("_block", pa.int64()), ("_centre", pa.list_(pa.float64())), ("_reach", pa.float64())]
+        row = [table.column(c)[0].as_py() for c in ("_block", "_cell")]
+        row += [float(table.column("_away").to_numpy().max()), ids, values, points.astype(np.float64).tobytes()]
+        kinds = [("_block", pa.int64()), ("_cell", pa.int64()), ("_reach", pa.float64())]
         kinds += [("_ids", pa.list_(pa.int64())), ("_values", pa.list_(pa.int64())), ("_points", pa.binary())]
-        row = [table.column("_block")[0].as_py(), centre, reach, ids, values, points.astype(np.float64).tobytes()]
         return pa.table({name: pa.array([x], kind) for (name, kind), x in zip(kinds, row)})
 
     return run
 
 
-_BLOCK = "_block long, _centre array<double>, _reach double, _ids array<long>, _values array<long>, _points binary"
+_POINT = "_id long, _value long, _point array<double>"
+_BLOCK = "_block long, _cell long, _reach double, _ids array<long>, _values array<long>, _points binary"
 
 
-def _blocks(points: DataFrame, centres: int, seed: int, radius: float | None = None) -> DataFrame:
-    """Vectors in blocks of about BLOCK_ROWS, written; near ones share a block where that is possible.
+def _pivots(points: DataFrame, most: int, seed: int) -> np.ndarray:
+    """Some of the vectors, by a digest: one for BLOCK_ROWS of them, and ``most`` at most.
 
-    The cells are those of some of the vectors. Their number decides how many pairs of blocks are out of
-    reach of each other, and never what is found; cells with many rows are cut into several blocks.
+    Their number decides how many vectors meet, and never what is found.
     """
-    n = max(1, min(centres, points.count() // BLOCK_ROWS))
+    n = max(1, min(most, points.count() // BLOCK_ROWS))
     picked = points.orderBy(F.xxhash64(F.lit(seed), "_point"), "_point").limit(n).collect()
-    if not picked:
-        return points.sparkSession.createDataFrame([], _BLOCK)
-    pivots = np.array([row["_point"] for row in picked], dtype=np.float64)
-    placed = points.select("_id", "_value", "_point")
-    placed = cut_lineage(placed.mapInArrow(_cells(pivots), "_id long, _value long, _point array<double>, _cell long"))
+    return np.array([row["_point"] for row in picked], dtype=np.float64)
+
+
+def _dealt(placed: DataFrame, cell: str) -> DataFrame:
+    """Rows of a cell in blocks of about BLOCK_ROWS."""
     # One row per cell, and their number is a parameter.
-    sizes = F.broadcast(placed.groupBy("_cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_parts")))
-    block = F.col("_cell") * 2**32 + F.pmod(F.xxhash64("_id"), F.col("_parts"))
-    dealt = placed.join(sizes, "_cell").select(block.alias("_block"), "_id", "_value", "_point")
-    return cut_lineage(dealt.groupBy("_block").applyInArrow(_pack(radius), _BLOCK))
+    sizes = F.broadcast(placed.groupBy(cell).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_parts")))
+    block = F.col(cell) * 2**32 + F.pmod(F.xxhash64("_id"), F.col("_parts"))
+    return placed.join(sizes, cell).withColumn("_block", block).drop("_parts")
 
 
-def _distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s))
+def _blocks(points: DataFrame, pivots: np.ndarray, radius: float | None = None) -> DataFrame:
+    """Vectors in blocks by their cells, written."""
+    if not len(pivots):
+        return points.sparkSession.createDataFrame([], _BLOCK)
+    placed = points.select("_id", "_value", "_point").mapInArrow(_cells(pivots), f"{_POINT}, _cell long, _away double")
+    dealt = _dealt(cut_lineage(placed), "_cell")
+    return cut_lineage(dealt.groupBy("_block").applyInArrow(_pack(radius), _BLOCK))
 
 
-def _compared(left: DataFrame, right: DataFrame, radius: float, run, schema: str, once: bool = False) -> DataFrame:
-    """``run`` on each pair of blocks that may have vectors in reach of each other; ``once`` without the reverse."""
-    a, b = (df.select(*[F.col(c).alias(side + c) for c in df.columns]) for side, df in (("a", left), ("b", right)))
-    ends = [a.select("a_block", "a_centre", "a_reach"), b.select("b_block", "b_centre", "b_reach")]
-    gap = _distance(F.col("a_centre"), F.col("b_centre"))
-    near = gap <= (F.col("a_reach") + F.col("b_reach") + radius) * (1.0 + 1e-6)
-    pairs = ends[0].join(ends[1], near & (F.col("a_block") < F.col("b_block")) if once else near).select("a_block", "b_block")
-    work = pairs.join(a.drop("a_centre", "a_reach"), "a_block").join(b.drop("b_centre", "b_reach"), "b_block")
-    return work.groupBy("a_block", "b_block").applyInArrow(run, schema)
+def _compared(points: DataFrame, blocks: DataFrame, pivots: np.ndarray, radius: float, run, schema: str) -> DataFrame:
+    """``run`` on pairs of blocks: of ``points`` sent to a cell, and of that cell of ``blocks``."""
+    if not len(pivots):
+        return points.sparkSession.createDataFrame([], schema)
+    reach = np.full(len(pivots), -1.0)
+    for row in blocks.groupBy("_cell").agg(F.max("_reach").alias("reach")).collect():  # a row per cell
+        reach[row["_cell"]] = row["reach"]
+    sent = points.select("_id", "_value", "_point").mapInArrow(_targets(pivots, reach, radius), f"{_POINT}, _to long")
+    dealt = _dealt(cut_lineage(sent), "_to").withColumns({"_cell": F.col("_to"), "_away": F.lit(0.0)})
+    a = dealt.groupBy("_block").applyInArrow(_pack(None), _BLOCK).drop("_reach").withColumnsRenamed(
+        {c: f"a{c}" for c in ("_block", "_ids", "_values", "_points")}
+    )
+    b = blocks.drop("_reach").withColumnsRenamed({c: f"b{c}" for c in ("_block", "_ids", "_values", "_points")})
+    return a.join(b, "_cell").groupBy("a_block", "b_block").applyInArrow(run, schema)
 
 
 def _sides(table: pa.Table) -> list[np.ndarray]:
@@ -254,9 +310,9 @@ def _closest(radius: float):
     return run
 
 
-def _nearest(blocks: DataFrame, dense: DataFrame, radius: float) -> DataFrame:
+def _nearest(points: DataFrame, dense: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     """(_id, _value): the value of the nearest dense vector, for vectors that have one in reach."""
-    near = _compared(blocks, dense, radius, _closest(radius), "_id long, _square double, _value long")
+    near = _compared(points, dense, pivots, radius, _closest(radius), "_id long, _square double, _value long")
     return near.groupBy("_id").agg(F.min(F.struct("_square", "_value"))["_value"].alias("_value"))
 
 
@@ -274,27 +330,31 @@ def density_topics(
     A vector is dense if at least ``min_points`` rows, its own included, lie within the radius of it.
     Dense vectors within the radius of each other are of one topic, and a row belongs to its nearest
     dense vector in reach. Topics with fewer than ``min_topic_size`` rows dissolve into the outliers.
-    ``centres`` is the largest number of cells that the vectors are dealt to; it decides the speed alone.
+    ``centres`` is the largest number of pivots, and so of cells; it decides the speed alone.
     """
     points = _points(df.select(_doubles(F.col(vector)).alias("_point")))
-    blocks = _blocks(points, centres, seed)
-    reached = _compared(blocks, blocks, radius, _weigh(radius), "_id long, n long")
+    pivots = _pivots(points, centres, seed)
+    reached = _compared(points, _blocks(points, pivots), pivots, radius, _weigh(radius), "_id long, n long")
     dense = reached.groupBy("_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("_id")
-    grouped = _blocks(cut_lineage(points.join(dense, "_id")), centres, seed, radius)
-    edges = _compared(grouped, grouped, radius, _link(radius), "a long, b long", once=True)
+    dense = cut_lineage(points.join(dense, "_id"))
+    grouped = _blocks(dense, pivots, radius)
+    members = grouped.select(F.explode(F.arrays_zip("_ids", "_values")).alias("m"))
+    members = cut_lineage(members.select(F.col("m._ids").alias("_id"), F.col("m._values").alias("_value")))
+    linked = dense.drop("_value").join(members, "_id")
+    edges = _compared(linked, grouped, pivots, radius, _link(radius), "a long, b long")
     joined = components(edges)
-    members = grouped.select(F.explode(F.arrays_zip("_ids", "_values")).alias("m")).select("m._ids", "m._values")
-    group = members.join(joined, F.col("_values") == F.col("node"), "left")
-    group = group.select(F.col("_ids").alias("_id"), F.coalesce("component", "_values").alias("_group"))
+    group = members.join(joined, F.col("_value") == F.col("node"), "left")
+    group = group.select("_id", F.coalesce("component", "_value").alias("_group"))
     named = cut_lineage(points.join(group, "_id").select("_id", F.col("_group").alias("_value"), "_point"))
-    found = _nearest(blocks, _blocks(named, centres, seed), radius)
+    found = _nearest(points, _blocks(named, pivots), pivots, radius)
     sizes = points.select("_id", "_point", F.col("_value").alias("n")).join(found, "_id").groupBy("_value")
     sizes = sizes.agg(F.sum("n").alias("n"), F.min("_point").alias("_first")).where(F.col("n") >= min_topic_size)
     # One row per topic; equal sizes in an order that does not depend on the ids.
-    numbers = sizes.select("_value", (F.row_number().over(Window.orderBy(F.desc("n"), "_first")) - 1).alias("_topic"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "_first")
+    numbers = sizes.select("_value", (F.row_number().over(order) - 1).alias("_topic"))
     topic = F.coalesce("_topic", F.lit(OUTLIER)).cast("long").alias("_value")
     kept = cut_lineage(named.join(numbers, "_value", "left").select("_id", topic, "_point"))
-    return DensityTopics(_blocks(kept, centres, seed), radius, centres, seed)
+    return DensityTopics(_blocks(kept, pivots), radius, pivots)
 
 
 def topic_terms(
@@ -337,42 +397,132 @@ def ctfidf_words(
 def merge_topics(df: DataFrame, n: int = MERGED_TOPICS, topic: str = "topic", vector: str = "vec") -> DataFrame:
     """Merge the most similar topics until ``n`` remain; outliers stay apart.
 
-    Each topic is its mean vector and its size, taken per task and then summed. These rows (one
-    per topic) are merged by average cosine distance; rows are then relabelled
-    by a lookup in the row. The largest merged topic gets number 0.
+    Each topic is its mean vector and its size, taken per task and then summed. Topics are merged by average
+    cosine distance, in rounds over a table with a row per topic; rows are then relabelled by a join. The
+    largest merged topic gets number 0; a row without a topic becomes an outlier.
     """
-    grouped = df.filter(F.col(topic) != OUTLIER).groupBy(topic)
-    means = (
-        grouped.agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("mean"), F.count("*").alias("n"))
-        .orderBy(topic)
-        .collect()
-    )
-    if not means:
-        return df
-    ids = [row[topic] for row in means]
-    merged = _merge(np.array([row["mean"].toArray() for row in means]), np.array([row["n"] for row in means]), n)
-    lookup = F.create_map(*[F.lit(int(v)) for pair in zip(ids, merged) for v in pair])
-    return df.withColumn(topic, F.coalesce(F.try_element_at(lookup, F.col(topic)), F.lit(OUTLIER)))
-
-
-def _merge(means: np.ndarray, sizes: np.ndarray, n: int) -> list[int]:
-    """Average-linkage merging by cosine distance; returns the new number of each topic."""
-    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-    distance = 1.0 - unit @ unit.T
+    grouped = df.filter(F.col(topic) != OUTLIER).groupBy(F.col(topic).cast("long").alias("_id"))
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vector))))
+    topics = cut_lineage(grouped.agg(mean.alias("_mean"), F.count("*").alias("_rows")))
+    edges = cut_lineage(_lowest_merges(topics, n).select("a", "b"))
+    group = F.coalesce("component", "_id").alias("_group")
+    members = topics.join(components(edges), F.col("_id") == F.col("node"), "left").select("_id", "_rows", group)
+    sizes = members.groupBy("_group").agg(F.sum("_rows").alias("_rows"), F.min("_id").alias("_least"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("_rows"), "_least")  # a row per merged topic
+    numbers = sizes.select("_group", (F.row_number().over(order) - 1).alias("_number"))
+    named = cut_lineage(members.join(numbers, "_group").select("_id", "_number")).alias("named")
+    rows = df.alias("rows")
+    labelled = rows.join(named, F.col(f"rows.{topic}").cast("long") == F.col("named._id"), "left")
+    number = F.coalesce("named._number", F.lit(OUTLIER))
+    kind = df.schema[topic].dataType
+    return labelled.select(*[number.cast(kind).alias(c) if c == topic else F.col(f"rows.{c}") for c in df.columns])
+
+
+_MERGE = "a long, b long, height double"
+_CLUSTER = "_id long, _parts long, _point array<double>"
+
+
+def _lowest_merges(topics: DataFrame, n: int) -> DataFrame:
+    """The merges (a, b, height) that leave ``n`` of the topics.
+
+    Two topics that are nearest to each other merge in any order of merging by average distance, so a round
+    merges all such pairs at once. The distance of two groups is that of the means of their unit vectors, so no
+    matrix is kept. What fits a block is merged to the end in one task. Of all merges the lowest count.
+    """
+
+    def unit(batches):
+        for batch in batches:
+            points = _matrix(pa.chunked_array([batch.column(1)]))
+            points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+            yield _clusters_batch(batch.column(0).to_numpy(), np.ones(len(points), dtype=np.int64), points)
+
+    clusters = cut_lineage(topics.select("_id", "_mean").mapInArrow(unit, _CLUSTER))
+    total = alive = clusters.count()
+    if total <= max(n, 1):
+        return topics.sparkSession.createDataFrame([], _MERGE)
+    merges = []
+    while alive > BLOCK_ROWS:
+        nearest = cut_lineage(_nearest_clusters(clusters, alive))
+        back = nearest.select(F.col("_id").alias("other"), F.col("other").alias("_id"))
+        pairs = cut_lineage(nearest.where("_id < other").join(back, ["_id", "other"]).select("_id", "other", "height"))
+        merges.append(pairs.toDF("a", "b", "height"))
+        clusters = cut_lineage(_joined(clusters, pairs))
+        alive = clusters.count()
+    merges.append(clusters.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_merged_to_the_end, _MERGE))
+    every = merges[0]
+    for more in merges[1:]:
+        every = every.unionByName(more)
+    return every.orderBy("height", "a", "b").limit(total - max(n, 1))
+
+
+def _clusters_batch(ids: np.ndarray, parts: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
+    lists = pa.array(list(points), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), lists], names=["_id", "_parts", "_point"])
+
+
+def _nearest_clusters(clusters: DataFrame, count: int) -> DataFrame:
+    """(_id, other, height): the nearest other cluster of each, the smaller id on a tie; block against block."""
+    blocks = -(-count // BLOCK_ROWS)
+    dealt = clusters.withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+    left = dealt.withColumn("against", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def best(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, others = (t.column("_id").to_numpy() for t in (a, b))
+        found, heights = np.empty(len(ids), dtype=np.int64), np.full(len(ids), np.inf)
+        if len(ids) and len(others):
+            order = np.argsort(others)
+            others, right = others[order], _matrix(b.column("_point"))[order]
+            points = _matrix(a.column("_point"))
+            for i in range(0, len(ids), STRIP):
+                # Rounded, so that both sides of a pair have the same distance.
+                distance = np.round(1.0 - points[i : i + STRIP] @ right.T, 12)
+                distance[ids[i : i + STRIP, None] == others] = np.inf
+                at = distance.argmin(axis=1)
+                found[i : i + STRIP], heights[i : i + STRIP] = others[at], distance[np.arange(len(at)), at]
+        real = np.isfinite(heights)
+        return pa.table({"_id": pa.array(ids[real]), "other": pa.array(found[real]), "height": pa.array(heights[real])})
+
+    # A block meets each of the others in a task of its own.
+    right = dealt.withColumn("from", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = left.groupBy("block", "against").cogroup(right.groupBy("from", "block")).applyInArrow(best, "_id long, other long, height double")
+    least = met.groupBy("_id").agg(F.min(F.struct("height", "other")).alias("least"))
+    return least.select("_id", F.col("least.other").alias("other"), F.col("least.height").alias("height"))
+
+
+def _joined(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Clusters after the pairs have merged; a merged one keeps the smaller id."""
+    ends = pairs.select(F.col("_id").alias("_own"), F.col("_id").alias("_to")).union(pairs.select("other", "_id"))
+    placed = clusters.join(ends, F.col("_id") == F.col("_own"), "left").withColumn("_to", F.coalesce("_to", "_id"))
+    # One row, or the two of a pair.
+    both = placed.groupBy("_to").agg(F.sort_array(F.collect_list(F.struct("_id", "_parts", "_point"))).alias("c"), F.sum("_parts").alias("_parts"))
+    a, b = F.col("c")[0], F.get("c", F.lit(1))
+    mean = F.zip_with(a["_point"], b["_point"], lambda x, y: (x * a["_parts"] + y * b["_parts"]) / F.col("_parts"))
+    return both.select(F.col("_to").alias("_id"), "_parts", F.when(F.size("c") == 1, a["_point"]).otherwise(mean).alias("_point"))
+
+
+def _merged_to_the_end(table: pa.Table) -> pa.Table:
+    """All merges of at most a block of clusters; the nearest pair first, smaller ids on a tie."""
+    order = np.argsort(table.column("_id").to_numpy())
+    ids, parts = (table.column(c).to_numpy()[order] for c in ("_id", "_parts"))
+    unit = _matrix(table.column("_point"))[order]
+    parts = parts.astype(float)
+    distance = np.round(1.0 - unit @ unit.T, 12)
     np.fill_diagonal(distance, np.inf)
-    parts = [[i] for i in range(len(means))]
-    alive = len(means)
-    while alive > max(n, 1):
-        a, b = sorted(np.unravel_index(np.argmin(distance), distance.shape))
-        share = len(parts[a]) / (len(parts[a]) + len(parts[b]))
+    rows = []
+    for _ in range(len(ids) - 1):
+        least = distance.min(axis=1)  # per row, then over the rows
+        a = int(least.argmin())
+        b = int(distance[a].argmin())
+        a, b = min(a, b), max(a, b)
+        rows.append((int(ids[a]), int(ids[b]), float(distance[a, b])))
+        share = parts[a] / (parts[a] + parts[b])
         joined = share * distance[a] + (1.0 - share) * distance[b]
         distance[a], distance[:, a] = joined, joined
         distance[b], distance[:, b] = np.inf, np.inf
         distance[a, a] = np.inf
-        parts[a], parts[b] = parts[a] + parts[b], []
-        alive -= 1
-    groups = sorted((p for p in parts if p), key=lambda p: (-int(sizes[p].sum()), p[0]))
-    return [next(g for g, part in enumerate(groups) if i in part) for i in range(len(means))]
+        parts[a] += parts[b]
+    columns = zip(*rows) if rows else ([], [], [])
+    return pa.table({n: pa.array(c, t) for n, c, t in zip("abh", columns, (pa.int64(), pa.int64(), pa.float64()))}).rename_columns(["a", "b", "height"])
 
 
 def topic_info(topics: DataFrame, distinctive: DataFrame, topic: str = "topic", n: int = 4) -> DataFrame:
@@ -391,6 +541,16 @@ def topic_info(topics: DataFrame, distinctive: DataFrame, topic: str = "topic",
     )
 
 
+def topic_tables(df: DataFrame, n: int = MERGED_TOPICS, min_df: int = 10, topic: str = "topic", vector: str = "vec") -> DataFrame:
+    """The topic table as the topics were found and after merging to ``n``, as ``stage`` found and merged."""
+    stages = {"found": df, "merged": cut_lineage(merge_topics(df, n, topic, vector))}
+    tables = [
+        topic_info(rows, ctfidf_words(rows, min_df=min_df, topic=topic), topic).select(F.lit(stage).alias("stage"), "*")
+        for stage, rows in stages.items()
+    ]
+    return tables[0].unionByName(tables[1])
+
+
 def topic_summary(info: DataFrame) -> DataFrame:
     """Number of topics, outlier rows and their share in percent; zero where there are none."""
     outliers = F.sum(F.when(F.col("Topic") == OUTLIER, F.col("Count")).otherwise(0))

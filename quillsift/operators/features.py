@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -11,25 +13,26 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillsift.functions import text as X
+from quillsift.functions.arrays import fenced
 from quillsift.session import cut_lineage
 
-_VECTOR = T.StructType([T.StructField("v", VectorUDT())])
-
-
 def vector_entries(vector: Column) -> Column:
     """Type, size, indices and values of a sparse vector, as Spark stores it."""
     return F.unwrap_udt(vector)
 
 
 def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
-    """The way back: a sparse vector from its parts, through JSON, since Spark has no cast to a vector."""
-    parts = F.struct(
-        F.lit(0).alias("type"), size.alias("size"), indices.alias("indices"), values.alias("values")
-    )
-    return F.from_json(F.to_json(F.struct(parts.alias("v"))), _VECTOR)["v"]
+    """The way back: a sparse vector from its parts, which go through Arrow as they are; null if the size is."""
+
+    @F.arrow_udf(VectorUDT())
+    def vector(size: pa.Array, indices: pa.Array, values: pa.Array) -> pa.Array:
+        sparse = pa.array(np.zeros(len(size), dtype=np.int8))
+        parts = [sparse, size.cast(pa.int32()), indices, values]
+        return pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"], mask=size.is_null())
+
+    return vector(size, indices, values)
 
 
 class CleanText(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -72,12 +75,10 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        parts = F.col("_parts")
-        step = dataset.withColumn("_parts", vector_entries(F.col(self.getInputCol())))
-        scaled = F.transform(parts["values"], lambda c: F.log(c) + 1.0)
-        return step.withColumn(
-            self.getOutputCol(), sparse_vector(parts["size"], parts["indices"], scaled)
-        ).drop("_parts")
+        parts = vector_entries(F.col(self.getInputCol()))
+        # The logarithms have a projection of their own: a Python function cannot take a lambda.
+        step = dataset.withColumn("_logs", fenced(F.transform(parts["values"], lambda c: F.log(c) + 1.0)))
+        return step.withColumn(self.getOutputCol(), sparse_vector(parts["size"], parts["indices"], F.col("_logs"))).drop("_logs")
 
 
 def count_features(

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.functions.columns import LABELS, full_text
+from quillsift.functions.columns import LABELS, full_text, topic_label
 from quillsift.operators import classify as M
 from quillsift.operators import features as V
 from quillsift.operators import search as S
-from quillsift.operators.evaluate import classification_report
+from quillsift.operators.evaluate import classification_report, nested_report
 from quillsift.operators.sampling import stratified_kfold, stratified_split
+from quillsift.plans.assess import assess, predictions
 from quillsift.plans.catalog.tables import labelled
 from quillsift.plans.catalog.text import cleaned
 from quillsift.plans.enrich import TopicModel, enrich_reviews, fit_topics, prepare, score_and_topic
 from quillsift.plans.registry import query, rounded, view
 from quillsift.session import cut_lineage, spread, stored_path
-from quillsift.sources.sinks import materialize, model_store
+from quillsift.sources.sinks import materialize, model_store, sink_metrics_json
 from quillsift.sources.tables import reviews, timed_reviews
 
 # A setting of these runs, for which the tables here are small; the fits run by the operators' defaults.
 MIN_DF = 5
 
+SETTING_JSON = "struct<c: double, max_features: int, min_df: int, ngrams: int, sublinear: boolean>"
+
 
 def _terms(spark, sf_dir):
     return V.Terms(inputCol="clean_text", outputCol="terms").transform(cleaned(spark, sf_dir)).select("review_id", "terms")
@@ -78,6 +83,31 @@ def _(spark, sf_dir):
     return _tfidf(spark, sf_dir, True)
 
 
+def _most_frequent(form, min_df, max_df, limit):
+    return f"""SELECT '{form}' AS form, count(*) AS terms, CAST(min(n) AS BIGINT) AS least_n, CAST(sum(n) AS BIGINT) AS total_n FROM (
+      SELECT term, sum(tf) AS n FROM tallied GROUP BY 1
+      HAVING count(*) >= {min_df} AND count(*) <= {max_df}::DOUBLE * (SELECT count(*) FROM cleaned) ORDER BY n DESC LIMIT {limit})"""
+
+
+@query(
+    "vocabulary_limits",
+    f"{_most_frequent('counts', 10, 0.5, 10_000)} UNION ALL {_most_frequent('tfidf', MIN_DF, 0.9, 50_000)}",
+)
+def _(spark, sf_dir):
+    """The vocabularies of the vector forms: as many terms as the limit allows, and the most frequent ones."""
+    terms = cut_lineage(_terms(spark, sf_dir).select("terms"))
+    totals = cut_lineage(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+    counters = {"counts": V.count_features(terms), "tfidf": V.tfidf_features(terms, min_df=MIN_DF).stages[0]}
+
+    def row(form, counter):
+        used = totals.join(V.vocabulary(counter, spark), "term")
+        return used.agg(
+            F.lit(form).alias("form"), F.count("*").alias("terms"), F.min("n").alias("least_n"), F.sum("n").alias("total_n")
+        )
+
+    return reduce(DataFrame.unionByName, [row(form, counter) for form, counter in counters.items()])
+
+
 @query(
     "class_weights",
     """SELECT sentiment_label, count(*) AS n, round(sum(count(*)) OVER ()::DOUBLE / (count(*) OVER () * count(*)), 6) AS weight
@@ -88,45 +118,77 @@ def _(spark, sf_dir):
 
 
 def _dataset(spark, sf_dir):
-    """Clean labelled texts with their side of the split, written once for the many passes of a fit."""
-    rows = M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))
-    rows = rows.select("review_id", "text", "full_text", "clean_text", "sentiment_label", "label")
-    return spread(cut_lineage(stratified_split(cut_lineage(rows))), "review_id")
+    """Clean labelled texts with their side of the split, written once for all fits."""
+
+    def build():
+        rows = M.add_label(prepare(timed_reviews(spark, sf_dir, heavy=True)))
+        rows = rows.select("review_id", "rating", "text", "full_text", "clean_text", "sentiment_label", "label")
+        return stratified_split(cut_lineage(rows))
+
+    return spread(materialize(spark, stored_path(spark, "dataset", sf_dir), build), "review_id")
 
 
 def _vectors(spark, sf_dir):
     """Training and test rows as tf-idf vectors, the weights learnt on the training rows alone."""
-    terms = V.Terms(inputCol="clean_text", outputCol="terms").transform(_dataset(spark, sf_dir))
-    data = cut_lineage(terms.select("review_id", "text", "sentiment_label", "label", "terms", "split"))
-    tfidf = V.tfidf_features(data.filter("split = 'train'").select("terms"), min_df=MIN_DF)
-    columns = ["review_id", "text", "sentiment_label", "label", "features"]
-    train = cut_lineage(tfidf.transform(data.filter("split = 'train'")).select(*columns))
-    return train, tfidf.transform(data.filter("split = 'test'")).select(*columns)
+    data = _dataset(spark, sf_dir)
+    terms = V.Terms(inputCol="clean_text", outputCol="terms")
+
+    def fit():
+        rows = cut_lineage(terms.transform(data.filter("split = 'train'")).select("terms"))
+        return PipelineModel([terms, *V.tfidf_features(rows, min_df=MIN_DF).stages])
+
+    tfidf = model_store(spark, stored_path(spark, "tfidf", sf_dir), fit)
+
+    def vectors(side):
+        columns = ["review_id", "rating", "text", "sentiment_label", "label", "features"]
+        return tfidf.transform(data.filter(F.col("split") == side)).select(*columns)
+
+    train = materialize(spark, stored_path(spark, "train-vectors", sf_dir), lambda: vectors("train"))
+    return train, vectors("test")
+
+
+def _calibrated(train):
+    folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id")
+    return M.calibrate_sigmoid(cut_lineage(folded))
+
+
+FITS = {
+    "train_logreg": lambda train: M.train_logreg(train),
+    "train_linear_svc": lambda train: M.train_linear_svc(train),
+    "calibrate_sigmoid": _calibrated,
+    "train_boosted_trees": lambda train: M.train_boosted_trees(train),
+}
+
+
+def _model(spark, sf_dir, name):
+    """A fitted classifier over the vectors, fitted once; and the test rows."""
+    train, test = _vectors(spark, sf_dir)
+    return model_store(spark, stored_path(spark, name, sf_dir), lambda: FITS[name](train)), test
+
+
+def _scored(spark, sf_dir, name):
+    model, test = _model(spark, sf_dir, name)
+    return M.score_table(model, test)
 
 
 @query("train_logreg")
 def _(spark, sf_dir):
-    train, test = _vectors(spark, sf_dir)
-    return M.score_table(M.train_logreg(train), test)
+    return _scored(spark, sf_dir, "train_logreg")
 
 
 @query("train_linear_svc")
 def _(spark, sf_dir):
-    train, test = _vectors(spark, sf_dir)
-    return M.score_table(M.train_linear_svc(train), test)
+    return _scored(spark, sf_dir, "train_linear_svc")
 
 
 @query("calibrate_sigmoid")
 def _(spark, sf_dir):
-    train, test = _vectors(spark, sf_dir)
-    folded = train.join(stratified_kfold(train).select("review_id", "fold"), "review_id")
-    return M.score_table(M.calibrate_sigmoid(cut_lineage(folded)), test)
+    return _scored(spark, sf_dir, "calibrate_sigmoid")
 
 
 @query("train_boosted_trees")
 def _(spark, sf_dir):
-    train, test = _vectors(spark, sf_dir)
-    return M.score_table(M.train_boosted_trees(train), test)
+    return _scored(spark, sf_dir, "train_boosted_trees")
 
 
 @query("end_to_end_model")
@@ -138,13 +200,87 @@ def _(spark, sf_dir):
 
 @query("score_table")
 def _(spark, sf_dir):
-    train, test = _vectors(spark, sf_dir)
-    scored = M.score_table(M.train_logreg(train), test)
-    return scored.groupBy("true_label", "predicted_label").agg(
+    return _scored(spark, sf_dir, "train_logreg").groupBy("true_label", "predicted_label").agg(
         F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence")
     )
 
 
+def _assessed(spark, sf_dir):
+    """The predictions of all models on the test rows, and the tables over them."""
+
+    def build():
+        models = {name: _model(spark, sf_dir, name) for name in FITS}
+        test = next(iter(models.values()))[1]
+        return predictions({name: model for name, (model, _) in models.items()}, test, "rating")
+
+    stacked = materialize(spark, stored_path(spark, "predictions", sf_dir), build)
+    return stacked, assess(stacked, "train_boosted_trees", "train_logreg", "calibrate_sigmoid")
+
+
+# The cleaned reviews and their split, as the models get them.
+view("clean_kept", """SELECT * FROM (SELECT * FROM labelled QUALIFY row_number() OVER (PARTITION BY text ORDER BY review_id) = 1)
+    WHERE length(text) >= 20""")
+view(
+    "clean_quotas",
+    """SELECT sentiment_label, n * t // a + CAST(row_number() OVER (ORDER BY n * t % a DESC, sentiment_label)
+        <= t - sum(n * t // a) OVER () AS BIGINT) AS quota
+    FROM (SELECT sentiment_label, CAST(count(*) AS HUGEINT) AS n, CAST(sum(count(*)) OVER () AS HUGEINT) AS a,
+          CAST(ceil(sum(count(*)) OVER () * 0.2) AS HUGEINT) AS t FROM clean_kept GROUP BY 1)""",
+)
+view(
+    "clean_test",
+    """SELECT k.review_id, k.rating, k.sentiment_label AS true_label FROM clean_kept k JOIN clean_quotas q ON k.sentiment_label = q.sentiment_label
+    QUALIFY row_number() OVER (PARTITION BY k.sentiment_label
+        ORDER BY CAST('0x' || substr(md5('42:' || CAST(k.review_id AS VARCHAR)), 1, 15) AS BIGINT), k.review_id) <= q.quota""",
+)
+
+
+@query(
+    "assess_predictions",
+    f"""SELECT m.model, review_id, true_label, rating, true AS named, m.shares AS sure FROM clean_test,
+    (VALUES {", ".join(f"('{name}', {name != 'train_linear_svc'})" for name in FITS)}) m(model, shares)""",
+)
+def _(spark, sf_dir):
+    """Every test review scored by every model; whether the label is one of the classes and the confidence a share."""
+    stacked, _ = _assessed(spark, sf_dir)
+    shares = F.col("model") != "train_linear_svc"  # margins
+    return stacked.select(
+        "model",
+        "review_id",
+        "true_label",
+        "rating",
+        F.col("predicted_label").isin(*LABELS).alias("named"),
+        (shares & F.col("confidence").between(1 / len(LABELS) - 1e-9, 1 + 1e-9)).alias("sure"),
+    )
+
+
+@query(
+    "assess_stars",
+    """SELECT CASE WHEN rating = 5 THEN '5star_negative' ELSE '1star_positive' END AS kind, count(*) AS star_total, true AS in_bounds
+    FROM clean_test WHERE rating IN (1, 5) GROUP BY rating""",
+)
+def _(spark, sf_dir):
+    """Reviews with each star that the mismatch rates refer to; the counted mismatches are among them."""
+    _, tables = _assessed(spark, sf_dir)
+    within = F.col("count").between(F.col("count_confident"), F.col("star_total"))
+    return tables["mismatches"].select("kind", "star_total", within.alias("in_bounds"))
+
+
+@query("assess_mismatches")
+def _(spark, sf_dir):
+    return _assessed(spark, sf_dir)[1]["mismatches"]
+
+
+@query("assess_comparison")
+def _(spark, sf_dir):
+    return _assessed(spark, sf_dir)[1]["comparison"]
+
+
+@query("assess_gain")
+def _(spark, sf_dir):
+    return _assessed(spark, sf_dir)[1]["gain"]
+
+
 def _search(spark, sf_dir):
     """The data set, and the table of the search over its training rows: made once, then read."""
     data = _dataset(spark, sf_dir)
@@ -163,18 +299,65 @@ def _(spark, sf_dir):
     return results.orderBy(F.desc("cv_macro_f1"), "draw")
 
 
-@query("refit_best")
+@query(
+    "random_search_facts",
+    """SELECT CAST(d AS INT) AS draw, true AS listed, true AS in_range, true AS in_order FROM range(15) t(d)""",
+)
 def _(spark, sf_dir):
-    """The report of the best setting, with the setting and its score in the search."""
+    """Per draw whether its setting is one of those to search, its score is a share, and better draws stand before it."""
+    _, results = _search(spark, sf_dir)
+    listed = [F.col(name).isin(*choices) for name, choices in S.SEARCH_SPACE.items()]
+    low, high = S.PENALTY_RANGE
+    before = F.lag("cv_macro_f1").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("cv_macro_f1"), "draw"))  # a row per draw
+    return results.select(
+        "draw",
+        reduce(Column.__and__, listed).alias("listed"),
+        (F.col("c").between(low, high) & F.col("cv_macro_f1").between(0.0, 1.0)).alias("in_range"),
+        F.coalesce(before >= F.col("cv_macro_f1"), F.lit(True)).alias("in_order"),
+    )
+
+
+def _refitted(spark, sf_dir):
+    """The report of the best setting on the test rows, and the stored results that name the setting."""
     data, results = _search(spark, sf_dir)
     model = S.refit_best(data.filter("split = 'train'"), results)
     tested = model.transform(data.filter("split = 'test'"))
     named = tested.select(
         F.col("sentiment_label").alias("true_label"), M.label_name(F.col("prediction")).alias("predicted_label")
     )
+    return cut_lineage(named), results
+
+
+@query("refit_best")
+def _(spark, sf_dir):
+    """The report of the best setting, with the setting and its score in the search."""
+    named, results = _refitted(spark, sf_dir)
+    setting, score = S.best_setting(results)
+    return classification_report(named).withColumns({"best_params": F.lit(setting), "cv_macro_f1": F.lit(score)})
+
+
+@query(
+    "refit_report_json",
+    """SELECT true_label AS class, count(*) AS support, true AS scored, true AS tuned FROM clean_test GROUP BY 1
+    UNION ALL SELECT 'weighted avg', count(*), true, true FROM clean_test""",
+)
+def _(spark, sf_dir):
+    """The stored report of the refit, read back: supports, scores that are shares, and the setting beside them."""
+    named, results = _refitted(spark, sf_dir)
     setting, score = S.best_setting(results)
-    report = classification_report(named)
-    return report.withColumns({"best_params": F.lit(setting), "cv_macro_f1": F.lit(score)})
+    report = nested_report(named).withColumns({"best_params": F.from_json(F.lit(setting), SETTING_JSON), "cv_macro_f1": F.lit(score)})
+    lines = sink_metrics_json(report, stored_path(spark, "refit-report", sf_dir))
+    scores = "map<string, struct<support: double, `f1-score`: double>>"
+    read = lines.select(F.from_json("value", f"report {scores}, best_params {SETTING_JSON}, cv_macro_f1 double").alias("r")).select("r.*")
+    listed = [F.col("best_params")[name].isin(*choices) for name, choices in S.SEARCH_SPACE.items()]
+    tuned = reduce(Column.__and__, listed) & F.col("cv_macro_f1").between(0.0, 1.0)
+    rows = read.select(F.explode(F.map_entries("report")).alias("e"), tuned.alias("tuned")).where("e.key NOT IN ('accuracy', 'macro avg')")
+    return rows.select(
+        F.col("e.key").alias("class"),
+        F.col("e.value.support").cast("long").alias("support"),
+        F.col("e.value")["f1-score"].between(0.0, 1.0).alias("scored"),
+        "tuned",
+    )
 
 
 def keyword_model():
@@ -262,3 +445,20 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "enrich_reviews_facts",
+    """SELECT review_id, sentiment_label, strftime(timestamp, '%Y-%m') AS year_month, true AS named, true AS sure, true AS topic_named FROM clean_kept""",
+)
+def _(spark, sf_dir):
+    """Every clean review comes out once, with one of the classes, a share as confidence, and a topic that has its name."""
+    score, topics = _fitted(spark, sf_dir)
+    enriched = enrich_reviews(timed_reviews(spark, sf_dir, heavy=True), score, topics)
+    label = topic_label("dominant_topic", topics.names)
+    return enriched.select(
+        "review_id",
+        "sentiment_label",
+        "year_month",
+        F.col("predicted_label").isin(*LABELS).alias("named"),
+        F.col("confidence").between(1 / len(LABELS) - 1e-9, 1 + 1e-9).alias("sure"),
+        (F.col("topic_label").eqNullSafe(label) & F.coalesce(F.col("dominant_topic").between(0, 11), F.lit(True))).alias("topic_named"),
+    )

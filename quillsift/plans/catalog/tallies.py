@@ -324,3 +324,19 @@ def _(spark, sf_dir):
 @query("bootstrap_macro_f1_diff")
 def _(spark, sf_dir):
     return E.bootstrap_macro_f1_diff(scored_reviews(spark, sf_dir), "predicted_label", "other_label")
+
+
+@query(
+    "bootstrap_facts",
+    """SELECT round((SELECT macro_f1 FROM compared WHERE model = 'first') - (SELECT macro_f1 FROM compared WHERE model = 'second'), 5) AS observed_diff,
+    true AS ordered, true AS near_the_mean""",
+)
+def _(spark, sf_dir):
+    """The observed difference is that of the two models; mean and limits of the resamples lie around it."""
+    found = E.bootstrap_macro_f1_diff(scored_reviews(spark, sf_dir), "predicted_label", "other_label")
+    spread = F.col("ci_high") - F.col("ci_low")
+    return found.select(
+        F.round("observed_diff", 5).alias("observed_diff"),
+        ((F.col("ci_low") <= F.col("mean_diff")) & (F.col("mean_diff") <= F.col("ci_high"))).alias("ordered"),
+        (F.abs(F.col("mean_diff") - F.col("observed_diff")) <= spread / 4).alias("near_the_mean"),
+    )

@@ -50,6 +50,27 @@ def _(spark, sf_dir):
     return mixed.select("review_id", "dominant_topic", "topic_label")
 
 
+@query(
+    "lda_facts",
+    """SELECT count(*) AS n_rows, true AS shares, true AS terms_in_order, 12 AS topics FROM cleaned""",
+)
+def _(spark, sf_dir):
+    """Shares of all rows add up to one, or to zero without a known term; every topic lists its heaviest terms first."""
+    model, counts, _ = _topic_model(spark, sf_dir)
+    mixed = L.lda_topic_mix(model, counts).select("counts", F.aggregate("mixture", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    known = F.size(F.unwrap_udt("counts")["values"]) > 0
+    right = F.when(known, F.abs(F.col("total") - 1) < 1e-9).otherwise(F.col("total") == 0)
+    weights = F.col("termWeights")
+    ordered = F.forall(F.sequence(F.lit(1), F.size(weights) - 1), lambda i: weights[i - 1] >= weights[i])
+    lists = model.describe_topics(10).agg(F.every(ordered & (F.size(weights) == 10)).alias("in_order"), F.count("*").cast("int").alias("n"))
+    return mixed.agg(
+        F.count("*").alias("n_rows"),
+        F.every(right).alias("shares"),
+        lists.select("in_order").scalar().alias("terms_in_order"),
+        lists.select("n").scalar().alias("topics"),
+    )
+
+
 @query("topic_top_words")
 def _(spark, sf_dir):
     model, _, counter = _topic_model(spark, sf_dir)
@@ -120,6 +141,18 @@ def _(spark, sf_dir):
     return B.merge_topics(_planted(spark, sf_dir), n=4).select("review_id", "label", "topic")
 
 
+@query(
+    "merge_topics_facts",
+    """SELECT label, count(*) AS n, CAST(1 AS BIGINT) AS topics, (SELECT least(4, count(DISTINCT label)) FROM embeddings WHERE vec_id % 5 <> 0) AS merged
+    FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """The planted groups stay whole when topics merge, and as many topics as asked for are left."""
+    planted = B.merge_topics(_planted(spark, sf_dir), n=4).filter(F.col("topic") != B.OUTLIER)
+    left = planted.agg(F.count_distinct("topic")).scalar()
+    return planted.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("topic").alias("topics")).withColumn("merged", left)
+
+
 @query("embedding_topics")
 def _(spark, sf_dir):
     """The whole chain over texts: embed, reduce, group, name, and merge to fewer topics."""
@@ -129,6 +162,30 @@ def _(spark, sf_dir):
     return B.topic_view_other(B.topic_info(merged, B.ctfidf_words(merged, min_df=1)))
 
 
+def _both_tables(spark, sf_dir):
+    rows = _reduced(spark, sf_dir)
+    found = B.density_topics(rows, radius=0.15, min_points=5, min_topic_size=15, centres=64)
+    return B.topic_tables(cut_lineage(found.assign(rows)), n=10, min_df=1)
+
+
+@query("embedding_topic_tables")
+def _(spark, sf_dir):
+    """The topics of the texts as found, and beside them as merged."""
+    return _both_tables(spark, sf_dir)
+
+
+@query(
+    "embedding_topic_totals",
+    "SELECT stage, (SELECT count(*) FROM cleaned) AS n_rows, true AS few_enough FROM (VALUES ('found'), ('merged')) s(stage)",
+)
+def _(spark, sf_dir):
+    """Every text is in one topic of each table, and merging leaves ten topics at most."""
+    topics = F.count_if(F.col("Topic") >= 0)
+    return _both_tables(spark, sf_dir).groupBy("stage").agg(F.sum("Count").alias("n_rows"), topics.alias("n")).select(
+        "stage", "n_rows", ((F.col("stage") == "found") | (F.col("n") <= 10)).alias("few_enough")
+    )
+
+
 # Class-based tf-idf with a topic that SQL knows as well: the language of the text, one as outlier.
 
 _TOPIC = "CASE WHEN rating = 5 THEN -1 WHEN rating = 4 THEN 0 WHEN rating = 3 THEN 1 ELSE 2 END"

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -69,6 +70,56 @@ def test_more_groups_than_centres(spark):
     assert all(len(s) == 1 for s in topics.values())
 
 
+def _plain_density(points, radius, min_points, least):
+    """Every pair of rows compared; the topic of each row as a set of rows, None for outliers."""
+    near = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)) <= radius * (1 + 1e-9)
+    dense = near.sum(axis=1) >= min_points
+    label = np.arange(len(points))
+    while True:
+        new = np.array([min(label[j] for j in np.flatnonzero(near[i] & dense)) if dense[i] else label[i] for i in range(len(points))])
+        if (new == label).all():
+            break
+        label = new
+    out = {}
+    for i, p in enumerate(points):
+        reach = np.flatnonzero(near[i] & dense)
+        if len(reach):
+            out[i] = label[reach[np.argmin(((points[reach] - p) ** 2).sum(axis=1))]]
+    sizes = Counter(out.values())
+    return {i: {j for j in out if out[j] == t} for i, t in out.items() if sizes[t] >= least}
+
+
+@pytest.mark.parametrize("block, centres", [(2048, 10), (8, 40), (20, 3)])
+def test_topics_equal_those_of_all_pairs(spark, monkeypatch, block, centres):
+    """Scattered groups, noise and repeated rows; few and many cells."""
+    monkeypatch.setattr(B, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(block)
+    points = np.concatenate([rng.normal(size=(60, 3)) * 0.5 + c for c in ([0, 0, 0], [3, 0, 0], [0, 4, 1])] + [rng.uniform(-3, 6, (60, 3))])
+    points = np.concatenate([points, points[:20]])
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "review_id long, vec array<double>").repartition(3)
+    found = B.density_topics(rows, radius=0.6, min_points=5, min_topic_size=10, centres=centres).assign(rows).collect()
+    groups = defaultdict(set)
+    for r in found:
+        groups[r["topic"]].add(r["review_id"])
+    want = _plain_density(points, 0.6, 5, 10)
+    assert {r["review_id"]: groups[r["topic"]] for r in found if r["topic"] >= 0} == want
+    assert len(groups) > 2
+
+
+def test_vectors_of_separate_groups_do_not_meet():
+    """Each vector goes to its own cell and few others, however many groups there are."""
+    rng = np.random.default_rng(9)
+    for count in (20, 200):
+        places = rng.normal(size=(count, 16)) * 3
+        points = (places.repeat(30, axis=0) + 0.05 * rng.normal(size=(30 * count, 16)))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(points))), pa.array(list(points))], names=["_id", "_point"])
+        placed = next(B._cells(places)([batch]))
+        reach = np.zeros(count)
+        np.maximum.at(reach, placed.column("_cell").to_numpy(), placed.column("_away").to_numpy())
+        sent = next(B._targets(places, reach, 0.6)([batch]))
+        assert len(points) <= sent.num_rows < 1.2 * len(points)
+
+
 def test_a_chain_over_many_blocks_is_one_topic(spark, monkeypatch):
     monkeypatch.setattr(B, "BLOCK_ROWS", 16)
     rows = [(i, [0.9 * i, 0.0]) for i in range(200)] + [(1000, [0.0, 50.0]), (1001, None), (1002, [180.0, 0.0])]
@@ -89,10 +140,53 @@ def test_merging_keeps_groups_whole(planted):
     assert all(len(m) == 1 for m in mapping.values()) and mapping[-1] == {-1}
 
 
-def test_merge_takes_the_closest_pair():
-    means = np.array([[1.0, 0.0], [0.99, 0.1], [0.0, 1.0]])
-    assert B._merge(means, np.array([5, 5, 8]), 2) == [0, 0, 1]
-    assert B._merge(means, np.array([5, 5, 8]), 3) == [1, 2, 0]
+def _merge(means, sizes, n):
+    """Average-linkage merging by cosine distance, pair after pair on the whole matrix; the new number of each topic."""
+    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
+    distance = np.round(1.0 - unit @ unit.T, 12)
+    np.fill_diagonal(distance, np.inf)
+    parts = [[i] for i in range(len(means))]
+    alive = len(means)
+    while alive > max(n, 1):
+        a, b = sorted(np.unravel_index(np.argmin(distance), distance.shape))
+        share = len(parts[a]) / (len(parts[a]) + len(parts[b]))
+        joined = share * distance[a] + (1.0 - share) * distance[b]
+        distance[a], distance[:, a] = joined, joined
+        distance[b], distance[:, b] = np.inf, np.inf
+        distance[a, a] = np.inf
+        parts[a], parts[b] = parts[a] + parts[b], []
+        alive -= 1
+    groups = sorted((p for p in parts if p), key=lambda p: (-int(sizes[p].sum()), p[0]))
+    return [next(g for g, part in enumerate(groups) if i in part) for i in range(len(means))]
+
+
+@pytest.mark.parametrize("block, n", [(2048, 25), (16, 25), (16, 1), (7, 90), (2048, 100)])
+def test_merging_in_rounds_equals_merging_on_a_matrix(spark, monkeypatch, block, n):
+    """Also where the topics do not fit a block, and where they are fewer than asked for."""
+    monkeypatch.setattr(B, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(n)
+    means = rng.normal(size=(100, 6)) + 2 * rng.normal(size=(10, 6)).repeat(10, axis=0)
+    sizes = rng.integers(1, 4, 100)
+    rows = [(10 + i, m.tolist()) for i, m in enumerate(means) for _ in range(sizes[i])]
+    rows += [(-1, [9.0] * 6), (-1, [0.0] * 6), (None, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "topic int, vec array<double>").withColumns({"_id": F.lit(0), "_number": F.lit("x")})
+    got = B.merge_topics(frame, n)
+    assert got.columns == frame.columns
+    by_vector = {tuple(r["vec"]): r["topic"] for r in got.collect()}
+    want = _merge(means, sizes, n)
+    assert [by_vector[tuple(m.tolist())] for m in means] == want
+    assert by_vector[(9.0,) * 6] == -1 and by_vector[(1.0,) * 6] == -1
+    assert B.merge_topics(frame.where("topic = -1"), n).count() == 2
+
+
+def test_density_topics_survive_storage(spark, planted, sf_dir):
+    vectors = review_vectors(spark, sf_dir)
+    found = B.density_topics(vectors, radius=0.5, min_points=5, min_topic_size=20, centres=128)
+    path = scratch_path(spark, "density")
+    found.save(path)
+    again = B.DensityTopics.load(spark, path)
+    assert again.radius == found.radius and (again.pivots == found.pivots).all()
+    assert sorted(r["topic"] for r in again.assign(vectors).collect()) == sorted(r["topic"] for r in planted.collect())
 
 
 def test_ctfidf_by_hand(spark):
