@@ -60,13 +60,40 @@ def symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.where(is_letter | mark, points, 32)[keep].astype(np.uint32), ~mark[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
 
-def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 0, 1, ..., order: the hash of the n characters that end at each place, before the language is mixed in."""
-    out = [np.zeros(len(points), dtype=np.uint64)]
+#: Cells of a table that numbers keys by looking them up; more are numbered by sorting.
+_CELLS = 1 << 23
+
+
+def _numbered(keys: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Keys below ``size`` as 0, 1, ... in their order, and how many there are."""
+    if size > _CELLS:
+        known, numbers = np.unique(keys, return_inverse=True)
+        return numbers, len(known)
+    seen = np.zeros(size, dtype=bool)
+    seen[keys] = True
+    numbers = np.cumsum(seen, dtype=np.int64) - 1
+    return numbers[keys], int(seen.sum())
+
+
+def gram_numbers(points: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the number of the n-gram that ends there, and for each number a place that has it."""
+    single, letters = _numbered(points.astype(np.int64), int(points.max(initial=0)) + 1)
+    numbers, count = single, letters
+    for _ in range(order - 1):
+        keys = single.copy()
+        keys[1:] += numbers[:-1] * letters
+        numbers, count = _numbered(keys, count * letters)
+    places = np.zeros(count, dtype=np.int64)
+    places[numbers] = np.arange(len(points))
+    return numbers, places
+
+
+def gram_hashes(points: np.ndarray, places: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n = 0, 1, ..., order: the hash of the n characters that end at each of the places, without the language."""
+    out = [np.zeros(len(places), dtype=np.uint64)]
     for n in range(1, order + 1):
-        step = out[-1].copy()
-        step[n - 1 :] += (points[: max(0, len(points) - n + 1)].astype(np.uint64) + np.uint64(1)) * np.uint64(pow(_R, n, 1 << 64))
-        out.append(step)
+        own = points[np.maximum(0, places - n + 1)].astype(np.uint64) + np.uint64(1)
+        out.append(out[-1] + own * np.uint64(pow(_R, n, 1 << 64)))
     return out
 
 
@@ -116,18 +143,16 @@ class LanguageModel:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text the number of characters, and per language the bits per character."""
         points, real, ends = symbols(texts, self.order)
-        hashes = gram_hashes(points, self.order)
-        places = np.flatnonzero(real)
-        _, some, which = np.unique(hashes[-1][places], return_index=True, return_inverse=True)
-        at = places[some]
-        longer, shorter = [h[at] for h in hashes], [h[at - 1] for h in hashes]
-        cuts = np.searchsorted(places, np.concatenate([[0], ends]))
-        n = np.diff(cuts)
-        bits = np.empty((len(texts), len(self.languages)))
-        for language in range(len(self.languages)):
-            summed = np.concatenate([[0.0], np.cumsum(-np.log2(self.probabilities(shorter, longer, language))[which])])
-            bits[:, language] = np.diff(summed[cuts]) / np.maximum(1, n)
-        return n, bits
+        numbers, some = gram_numbers(points, self.order)
+        longer, shorter = (gram_hashes(points, at, self.order) for at in (some, some - 1))
+        logs = [-np.log2(self.probabilities(shorter, longer, i)) for i in range(len(self.languages))]
+        starts = np.concatenate([[0], ends[:-1]])
+        cuts = np.concatenate([[0], np.cumsum(real)])
+        n = cuts[ends] - cuts[starts]
+        # Every text has its marks, so no stretch is empty; marks count nothing.
+        each = np.where(real[:, None], np.column_stack(logs)[numbers], 0.0)
+        bits = np.add.reduceat(each, starts, axis=0) if len(texts) else np.empty((0, len(logs)))
+        return n, bits / np.maximum(1, n)[:, None]
 
     def shares(self, bits: np.ndarray, steep: float | None = None) -> np.ndarray:
         """Scores over the languages that add up to one."""
@@ -164,19 +189,21 @@ def count_top(train: DataFrame, order: int) -> DataFrame:
 def _count(texts: list[str], names: list[str], order: int, held: dict[str, list]) -> None:
     """Add the n-grams of some texts to what is held: per language sorted hashes, counts and the characters."""
     points, real, ends = symbols(texts, order)
-    hashes = gram_hashes(points, order)[-1]
+    numbers, some = gram_numbers(points, order)
     known = {name: i for i, name in enumerate(dict.fromkeys(names))}
     owner = np.repeat([known[name] for name in names], np.diff(np.concatenate([[0], ends])))
+    tally = np.bincount((owner * len(some) + numbers)[real], minlength=len(known) * len(some)).reshape(len(known), -1)
+    hashes = gram_hashes(points, some, order)[-1]
     for name, i in known.items():
-        places = np.flatnonzero(real & (owner == i))
-        values, some, counts = np.unique(hashes[places], return_index=True, return_counts=True)
-        at = places[some]
+        own = np.flatnonzero(tally[i])
+        own = own[np.argsort(hashes[own])]
+        values, counts, at = hashes[own], tally[i][own], some[own]
         spelt = np.column_stack([points[at - j] for j in range(order - 1, -1, -1)]) if len(at) else np.empty((0, order), np.uint32)
         if name in held:
             old_values, old_counts, old_spelt = held[name]
-            values, some, where = np.unique(np.concatenate([old_values, values]), return_index=True, return_inverse=True)
+            values, some_of, where = np.unique(np.concatenate([old_values, values]), return_index=True, return_inverse=True)
             counts = np.bincount(where, weights=np.concatenate([old_counts, counts])).astype(np.int64)
-            spelt = np.concatenate([old_spelt, spelt])[some]
+            spelt = np.concatenate([old_spelt, spelt])[some_of]
         held[name] = [values, counts, spelt]
 
 
@@ -243,10 +270,9 @@ def fit_counts(train: DataFrame, order: int = 4, max_grams: int = 1 << 19) -> La
     for n in range(1, order + 1):
         at = np.flatnonzero(size == n)
         points = np.frombuffer("".join(spelt[i] for i in at.tolist()).encode("utf-32-le", "surrogatepass"), "<u4")
-        hashes = gram_hashes(points, n)
         last = np.arange(n - 1, len(points), n)
-        own, before = hashes[n][last], (hashes[n - 1][last - 1] if n > 1 else np.zeros(len(last), dtype=np.uint64))
-        own, before = own.copy(), before.copy()
+        hashes = gram_hashes(points, last, n)
+        own, before = hashes[n].copy(), gram_hashes(points, last - 1, n - 1)[-1]
         for i in range(len(languages)):
             mine = language[at] == i
             own[mine], before[mine] = _of_language(own[mine], i), _of_language(before[mine], i)
@@ -282,14 +308,14 @@ def _calibrate(model: LanguageModel, docs: DataFrame, wrong: float) -> None:
     summed = seen.agg(*[F.sum(F.col("logs")[i]) for i in range(len(_STEEP))]).head()
     if summed[0] is not None:
         model.steep = float(_STEEP[int(np.argmax(summed))])
-    mean = seen.groupBy("language").agg((F.sum(F.col("bits") * F.col("n")) / F.sum("n")).alias("mean"))
-    above = (F.col("bits") - F.col("mean")) * F.sqrt("n")
-    limits = seen.join(mean, "language").groupBy("language").agg(
-        F.first("mean").alias("mean"), F.percentile_approx(above, 1.0 - wrong, 10_000).alias("limit")
-    )
     model.mean, model.limit = np.zeros(len(known)), np.full(len(known), np.inf)
-    for row in limits.collect():  # a row per language
-        model.mean[row["language"]], model.limit[row["language"]] = row["mean"], row["limit"]
+    for row in seen.groupBy("language").agg(F.sum(F.col("bits") * F.col("n")), F.sum("n")).collect():  # a row per language
+        model.mean[row[0]] = row[1] / row[2]
+    # The means are values of the expression, so that no row moves before the tasks have their sketches.
+    own_mean = F.array(*map(F.lit, model.mean.tolist()))[F.col("language")]
+    above = (F.col("bits") - own_mean) * F.sqrt("n")
+    for row in seen.groupBy("language").agg(F.percentile_approx(above, 1.0 - wrong, 10_000)).collect():
+        model.limit[row[0]] = row[1]
 
 
 def fit_languages(

@@ -284,6 +284,15 @@ def test_probabilities_are_those_of_the_recursion(spark, order):
             assert bits[i, j] == pytest.approx(want, rel=1e-9)
 
 
+def test_numbers_of_grams_by_table_and_by_sorting(monkeypatch):
+    points = language.symbols(["the cat on the mat", "", "über den Hut, the"], 4)[0]
+    tables = language.gram_numbers(points, 4)
+    monkeypatch.setattr(language, "_CELLS", 1)
+    assert (language.gram_numbers(points, 4)[0] == tables[0]).all()
+    grams = [tuple(points[i - 3 : i + 1]) for i in range(3, len(points))]
+    assert len(set(zip(grams, tables[0][3:].tolist()))) == len(set(grams))
+
+
 @pytest.mark.parametrize("max_grams", [1 << 19, 40, 1])
 def test_every_context_sums_to_one(spark, max_grams):
     """Also where the tables hold few n-grams only."""
@@ -296,8 +305,8 @@ def test_every_context_sums_to_one(spark, max_grams):
             total = 0.0
             for c in [*alphabet, "漢"]:
                 points = np.array([ord(x) for x in head + c], dtype=np.uint32)
-                h = language.gram_hashes(points, 3)
-                total += model.probabilities([x[1:2] for x in h], [x[2:3] for x in h], j)[0]
+                shorter, longer = (language.gram_hashes(points, np.array([place]), 3) for place in (1, 2))
+                total += model.probabilities(shorter, longer, j)[0]
             assert total == pytest.approx(1.0, rel=1e-9)
 
 
