@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quillsift.functions.arrays import row_argmax
 
-#: What a fit takes at most: labelled rows, and entries of their vectors (some 24 bytes each in the task).
-MAX_ROWS, MAX_ENTRIES = 200_000, 25_000_000
+#: What a fit takes at most: labelled rows, and entries of their vectors (some 60 bytes each in the task).
+MAX_ROWS, MAX_ENTRIES = 200_000, 12_000_000
 
 #: Bytes of the dense block of a task, and the share of rows that a column of it must have at least.
 DENSE_BYTES, DENSE_SHARE = 256 << 20, 0.02

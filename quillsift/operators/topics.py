@@ -100,8 +100,8 @@ def _matrix_batch(matrix: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([number, pa.array(list(matrix), pa.list_(pa.float64()))], names=["topic", "weights"])
 
 
-def _added(parts: DataFrame, topics: int, width: int) -> np.ndarray:
-    """The sum of the matrices of all tasks; a task holds one matrix, however many it adds."""
+def _added(parts: DataFrame, tasks: int, topics: int, width: int) -> np.ndarray:
+    """The sum of the matrices of all ``tasks``; a task holds one matrix, however many it adds."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((topics, width))
@@ -110,7 +110,6 @@ def _added(parts: DataFrame, topics: int, width: int) -> np.ndarray:
             np.add.at(total, batch.column(0).to_numpy(), weights)
         yield _matrix_batch(total)
 
-    tasks = parts.rdd.getNumPartitions()
     if tasks > FAN:
         parts = parts.repartition(math.ceil(tasks / FAN)).mapInArrow(add, _MATRIX)
     total = np.zeros((topics, width))
@@ -204,6 +203,7 @@ def lda_fit(df: DataFrame, topics: int = 12, iterations: int = 30, counts: str =
     prior = 1.0 / topics
     matrix = np.random.default_rng(seed).gamma(100.0, 0.01, (topics, width))
     rows = cut_lineage(df.select(*entries(counts)[1:]))
+    tasks = rows.rdd.getNumPartitions()
     context = df.sparkSession.sparkContext
     for _ in range(iterations if width else 0):
         factors = _expected(matrix)
@@ -218,7 +218,7 @@ def lda_fit(df: DataFrame, topics: int = 12, iterations: int = 30, counts: str =
                         total[k] += np.bincount(block.columns, share * theta[block.rows, k], minlength=width)
             yield _matrix_batch(total)
 
-        matrix = prior + factors * _added(rows.mapInArrow(statistics, _MATRIX), topics, width)
+        matrix = prior + factors * _added(rows.mapInArrow(statistics, _MATRIX), tasks, topics, width)
         shared.destroy()
     return TopicShares(inputCol=counts, prior=prior).of(matrix)
 

@@ -296,7 +296,7 @@ def test_digamma():
 def test_sums_of_many_tasks_meet_in_steps(spark, monkeypatch):
     monkeypatch.setattr(L, "FAN", 2)
     rows = spark.range(7).repartition(7).selectExpr("int(0) AS topic", "array(double(id), 1D) AS weights")
-    assert L._added(rows, 1, 2).tolist() == [[21.0, 7.0]]
+    assert L._added(rows, 7, 1, 2).tolist() == [[21.0, 7.0]]
 
 
 def test_topic_model_survives_storage(spark):
