@@ -124,7 +124,7 @@ def _rows(spark, n=90, width=12, seed=1):
     return x, y, spark.createDataFrame(frame, ["label", "features"]).repartition(3)
 
 
-def _descend(loss, w, steps=200_000, rate=0.5):
+def _descend(loss, w, steps=30_000, rate=0.5):
     """Plain gradient descent with backtracking: slow, and nothing like the solver."""
     value, slope = loss(w)
     for _ in range(steps):
