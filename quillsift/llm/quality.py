@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import batch_texts, cut_lineage, own_columns, slices
+from quillsift.llm.common import batch_texts, cut_lineage, own_columns, slices, tidied, trim
 
 FEATURES = """log_bytes log_words word_bytes upper digit bang stop_mark comma symbol bar non_ascii
 newline_per_word distinct_words top_word next_repeat distinct_pairs distinct_lines line_words short_words
@@ -269,7 +269,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 )
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], names=["doc_id", "x"])
 
-    return own_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, x array<float>")
+    return own_columns(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, x array<float>")
 
 
 def fit_quality(table: DataFrame, labels: DataFrame, max_rows: int = 50_000, **options) -> AdditiveModel:
@@ -293,6 +293,33 @@ def fit_quality(table: DataFrame, labels: DataFrame, max_rows: int = 50_000, **o
     return fit(x, y, **options)
 
 
+def fit_on_texts(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, **options) -> AdditiveModel:
+    """``fit_quality`` that reads only the texts it learns from: those of at most ``max_rows`` labelled ids.
+
+    The ids are taken in the order of a digest, and so are their rows. Null ids and labels are not used.
+    """
+    known = labels.where("label in (0, 1)").select(labels["doc_id"].cast("long").alias("doc_id"), "label")
+    present = docs.select(docs["doc_id"].cast("long").alias("doc_id")).distinct()
+    chosen = known.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    ids = cut_lineage(chosen.select("doc_id").distinct())
+    # At most max_rows ids, so the texts stay where they are.
+    texts = own_columns(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return fit_quality(feature_table(texts), known, max_rows, **options)
+
+
+def score_column(model: AdditiveModel, text: Column) -> Column:
+    """The score of each text; only texts go to the Python workers. Null and empty texts are scored from zeros."""
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        texts = batch_texts(column)
+        parts = [model.score(features(texts[at:to])) for at, to in slices(map(len, texts), 1_000_000)]
+        trim()
+        return pa.array(np.concatenate(parts) if parts else np.empty(0))
+
+    return score(text)
+
+
 def score_table(table: DataFrame, model: AdditiveModel) -> DataFrame:
     """(doc_id, score) for every row of a feature table."""
 

@@ -22,21 +22,35 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, np.ndarray] = {}
+#: Exponents are split into steps of this many, so that no table grows with the texts.
+_STEP = 1 << 12
+
+
+def _table(base: int, count: int) -> np.ndarray:
+    """base**0, base**1, ... modulo 2**64, by doubling: the next stretch is the last times base**done."""
+    out = np.ones(count, dtype=np.uint64)
+    done, step = 1, base
+    while done < count:
+        out[done : 2 * done] = out[: min(done, count - done)] * np.uint64(step)
+        done, step = 2 * done, step * step % (1 << 64)
+    return out
+
+
+def _tables(base: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers within a step, and of whole steps, for exponents below ``count``."""
+    return _table(base, _STEP), _table(pow(base, _STEP, 1 << 64), max(1, -(-count // _STEP)))
 
 
 def powers(base: int, count: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64, kept for the longest count asked for."""
-    known = _powers.get(base)
-    if known is None or len(known) < count:
-        size = max(1 << 12, 1 << (count - 1).bit_length())
-        out = np.ones(size, dtype=np.uint64)
-        done, step = 1, base
-        while done < size:  # doubling: the next stretch is the last times base**done
-            out[done : 2 * done] = out[:done] * np.uint64(step)
-            done, step = 2 * done, step * step % (1 << 64)
-        known = _powers[base] = out
-    return known[:count]
+    """base**0, base**1, ... modulo 2**64."""
+    low, high = _tables(base, count)
+    return (high[:, None] * low).ravel()[:count]
+
+
+def powers_at(base: int, exponents: np.ndarray, count: int) -> np.ndarray:
+    """base**exponents modulo 2**64; exponents are below ``count``."""
+    low, high = _tables(base, count)
+    return low[exponents & (_STEP - 1)] * high[exponents >> 12]
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -54,7 +68,7 @@ def running(raw: np.ndarray) -> np.ndarray:
 
 def stretches(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Digests of raw[start:end], the same wherever the bytes stand."""
-    return mixed((sums[ends] - sums[starts]) * powers(_R_INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
+    return mixed((sums[ends] - sums[starts]) * powers_at(_R_INVERSE, starts, len(sums)) + (ends - starts).astype(np.uint64))
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +85,10 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """The sorted distinct n-grams of each text; a shorter text is one n-gram, one without words none."""
     digests, ends = words(texts)
-    grams = np.zeros(max(0, len(digests) - n + 1), dtype=np.uint64)
+    count = max(0, len(digests) - n + 1)
+    grams = np.zeros(count, dtype=np.uint64)
     for i in range(n):
-        grams += digests[i : len(digests) - n + 1 + i] * np.uint64(2 * i + 3) * np.uint64(_R)
+        grams += digests[i : i + count] * np.uint64(2 * i + 3) * np.uint64(_R)
     grams = mixed(grams, n)
     out, start = [], 0
     for end in ends.tolist():
