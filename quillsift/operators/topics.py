@@ -29,7 +29,7 @@ from quillsift.operators.linear import SparseRows, entries
 from quillsift.session import cut_lineage
 
 #: Entries that one step of the inference takes; steps and change of a row's shares at which it ends.
-TOGETHER, STEPS, CHANGE = 200_000, 100, 1e-3
+TOGETHER, STEPS, CHANGE = 20_000, 100, 1e-3
 
 #: Statistics of so many tasks are added up by one task.
 FAN = 64
@@ -64,22 +64,24 @@ def infer(rows: SparseRows, terms: np.ndarray, prior: float) -> tuple[np.ndarray
     sizes = np.bincount(rows.rows, minlength=n)
     gamma[sizes > 0] = 1.0
     per_entry = np.ascontiguousarray(terms.T)[rows.columns]
-    open_ = sizes > 0
-    own = np.arange(len(rows.rows))
+    live = np.flatnonzero(sizes)
+    moving = np.ones(len(live), dtype=bool)
+    factor, values = per_entry, rows.values
     for _ in range(STEPS):
-        if not len(own):
+        if not moving.any():
             break
-        r, factor, values = rows.rows[own], per_entry[own], rows.values[own]
-        live = np.flatnonzero(open_)
-        starts = np.searchsorted(r, live)
+        starts = np.cumsum(sizes[live]) - sizes[live]
         theta = _expected(gamma[live])
         norm = np.einsum("ek,ek->e", np.repeat(theta, sizes[live], axis=0), factor) + 1e-100
         new = prior + theta * np.add.reduceat((values / norm)[:, None] * factor, starts, axis=0)
-        moved = np.abs(new - gamma[live]).mean(axis=1) >= CHANGE
-        gamma[live] = new
-        if not moved.all():
-            open_[live[~moved]] = False
-            own = own[open_[r]]
+        # A row that has come to rest stays as it is, whatever rows it shares a block with.
+        far = np.abs(new - gamma[live]).mean(axis=1) >= CHANGE
+        gamma[live[moving]] = new[moving]
+        moving &= far
+        if moving.mean() < 0.7:
+            own = np.repeat(moving, sizes[live])
+            factor, values, live = factor[own], values[own], live[moving]
+            moving = np.ones(len(live), dtype=bool)
     theta = _expected(gamma)
     norm = np.einsum("ek,ek->e", theta[rows.rows], per_entry) + 1e-100
     return gamma, rows.values / norm, theta
