@@ -43,7 +43,9 @@ def _named(runs: DataFrame, keys: list[str]) -> DataFrame:
     first = runs.groupBy(*keys).agg(
         F.min(F.struct("doc_id", "line_id")).alias("first"), F.count(F.lit(1)).alias("members")
     ).where("members > 1")
-    named = runs.join(first.select(*keys, F.col("first.line_id").alias("name")), keys)
+    # Written, so that the aggregate does not fix how the join deals its rows: then a key with very many rows is split.
+    first = cut_lineage(first.select(*keys, F.col("first.line_id").alias("name")))
+    named = runs.join(first.hint("merge"), keys)
     return named.select("line_id", "doc_id", "left", "chars", "name")
 
 
