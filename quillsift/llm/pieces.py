@@ -3,7 +3,7 @@
 The model file is parsed here: pieces with their scores and kinds, and the settings of trainer and
 normaliser. From these the normaliser, the space marker, the byte fallback and the model itself (unigram
 scores, or merges in the order of their scores) are set up again in ``tokenizers``, which encodes batches
-on several threads. Parity with ``sentencepiece`` is checked on the way.
+on several threads. Parity with ``sentencepiece`` is checked on the way, and whole texts are decoded again.
 
 A lone space never joins two words in a piece, so the distinct words of a slice of texts are encoded once
 each. Texts with other white space at a space, or with the marker itself, are encoded whole.
@@ -156,10 +156,6 @@ class PieceEncoder:
         self.model = read_model(path)
         self.tokenizer = build(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        surfaces = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, _, kind in self.model.pieces]
-        self.surface_bytes = np.array(list(map(len, surfaces)), dtype=np.int64)
-        self.surface_start = np.cumsum(self.surface_bytes) - self.surface_bytes
-        self.surfaces = np.frombuffer(b"".join(surfaces), dtype=np.uint8)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Whole texts, by the library alone; an empty text has no ids."""
@@ -168,8 +164,8 @@ class PieceEncoder:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def _checked(self, texts: list[str], chunk: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of texts one after the other, how many each has, and the two flags."""
+    def _checked(self, texts: list[str], chunk: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts one after the other, how many each has, and whether ``sentencepiece`` gives the same."""
         flat, lengths, same = [], [], []
         for at in range(0, len(texts), chunk):
             part = texts[at : at + chunk]
@@ -177,47 +173,46 @@ class PieceEncoder:
             same.append(np.array([a == b for a, b in zip(ids, self.reference.encode(part, num_threads=1))], dtype=bool))
             lengths.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
             flat.append(np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=int(lengths[-1].sum())))
-        every, sizes = np.concatenate(flat), np.concatenate(lengths)
-        return every, sizes, np.concatenate(same), self._comes_back(texts, every, sizes)
-
-    def _comes_back(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Whether the surfaces of the ids of each text are the normalised text, compared as bytes."""
-        prefix = (MARKER if self.model.escape_spaces else " ") if self.model.dummy_prefix else ""
-        marked = [t.replace(" ", MARKER) if self.model.escape_spaces else t for t in texts]
-        wanted = [(prefix + t).encode() if t else b"" for t in marked]
-        wanted_sizes = np.fromiter(map(len, wanted), dtype=np.int64, count=len(wanted))
-        own = self.surface_bytes[ids]
-        ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum(sizes)]
-        starts = np.concatenate([[0], ends[:-1]])
-        out = ends - starts == wanted_sizes
-        shift = np.repeat(self.surface_start[ids] - (np.cumsum(own) - own), own)
-        made = self.surfaces[shift + np.arange(len(shift))]
-        if out.all():
-            differs = made != np.frombuffer(b"".join(wanted), dtype=np.uint8)
-            counts = np.concatenate([[0], np.cumsum(differs)])
-            return counts[ends] == counts[starts]
-        raw = made.tobytes()
-        return np.array([raw[a:b] == w for a, b, w in zip(starts.tolist(), ends.tolist(), wanted)], dtype=bool)
+        return np.concatenate(flat), np.concatenate(lengths), np.concatenate(same)
+
+    def normalised(self, text: str) -> str:
+        """What decoding must give: the text after the model's own changes to it, with spaces for markers."""
+        if not self.model.charsmap and not self.model.squeeze_spaces:
+            return text.replace(MARKER, " ") if self.model.escape_spaces else text
+        spaced = self.tokenizer.normalizer.normalize_str(text).replace(MARKER, " ")
+        return spaced[1:] if self.model.dummy_prefix and spaced.startswith(" ") else spaced
+
+    def _comes_back(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Whether the ids of each whole text, decoded by the library, give its normalised text."""
+        out = []
+        for at, to in slices(map(len, texts), 1_000_000):
+            came = self.decode([x.tolist() for x in ids[at:to]])
+            out += [back == self.normalised(text) for back, text in zip(came, texts[at:to])]
+        return out
 
     def _splits(self, text: str) -> bool:
         """Whether the words of the text can be encoded one by one."""
         return not (text[0] == " " or text[-1] == " " or "  " in text or MARKER in text)
 
     def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
-        empty = np.empty(0, dtype="<u4")
-        out: list[tuple[np.ndarray, bool, bool]] = [(empty, True, True)] * len(texts)
+        ids, parity = self._encoded(texts)
+        return list(zip(ids, parity, self._comes_back(texts, ids)))
+
+    def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether ``sentencepiece`` gives the same."""
+        out, parity = [np.empty(0, dtype="<u4")] * len(texts), [True] * len(texts)
         simple = self.model.dummy_prefix and self.model.escape_spaces and not self.model.charsmap
         plain = [i for i, t in enumerate(texts) if t and simple and self._splits(t)]
         whole = [i for i, t in enumerate(texts) if t and not (simple and self._splits(t))]
         if whole:
-            ids, sizes, same, back = self._checked([texts[i] for i in whole], 256)
-            for i, own, s, b in zip(whole, np.split(ids, np.cumsum(sizes)[:-1]), same.tolist(), back.tolist()):
-                out[i] = (own, s, b)
+            ids, sizes, same = self._checked([texts[i] for i in whole], 256)
+            for i, own, s in zip(whole, np.split(ids, np.cumsum(sizes)[:-1]), same.tolist()):
+                out[i], parity[i] = own, s
         if not plain:
-            return out
+            return out, parity
         split = pc.split_pattern(pa.array([texts[i] for i in plain], type=pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        flat, lengths, same, back = self._checked(coded.dictionary.to_pylist())
+        flat, lengths, same = self._checked(coded.dictionary.to_pylist())
         starts = np.cumsum(lengths) - lengths
         which = coded.indices.to_numpy()
         per_word = lengths[which]
@@ -226,19 +221,18 @@ class PieceEncoder:
         offsets = split.offsets.to_numpy()
         ends = place[offsets[1:] - 1].tolist()
         all_same = np.minimum.reduceat(same[which], offsets[:-1])
-        all_back = np.minimum.reduceat(back[which], offsets[:-1])
         start = 0
-        for i, end, s, b in zip(plain, ends, all_same.tolist(), all_back.tolist()):
-            out[i] = (spread[start:end], s, b)
+        for i, end, s in zip(plain, ends, all_same.tolist()):
+            out[i], parity[i] = spread[start:end], s
             start = end
-        return out
+        return out, parity
 
 
 def encode_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, parity, round_trip) of every whole text.
 
-    ``parity``: the ids are those of ``sentencepiece``; ``round_trip``: the surfaces of the ids give the normalised text back, byte for byte. A null
-    or empty text has no ids and both flags. Repeated rows and null ids are encoded like any other, other
+    ``parity``: the ids are those of ``sentencepiece``; ``round_trip``: the ids of the whole text, decoded, give the
+    normalised text back. A null or empty text has no ids and both flags. Repeated rows and null ids are encoded like any other, other
     columns are not read, an empty table gives no rows.
     """
 

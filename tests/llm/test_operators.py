@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from quillsift.llm import fingerprints, jaccard, katz, lines, packing, pieces, quality, substrings, topk, urls
+from quillsift.llm import fingerprints, jaccard, katz, lines, packing, pieces, quality, shingles, substrings, topk, urls
 from quillsift.llm.queries import CHECKS, QUERIES
 from tests.checking import compare, connect
 
@@ -161,6 +164,21 @@ def test_jaccard_takes_sets_by_their_text(spark, few):
     ]
 
 
+def test_shingles_of_few_words():
+    sets = shingles.shingle_sets(["one two", "", "one"], 5)
+    assert [len(x) for x in sets] == [1, 0, 1]
+    assert [len(x) for x in shingles.shingle_sets(["a b c d e f"], 5)] == [2]
+
+
+def test_jaccard_blocks_by_their_ngrams(docs, monkeypatch):
+    """Blocks and cells that few n-grams fill change nothing."""
+    key = lambda r: (r.doc_id or 0, r.n_shingles, r.component_id or 0)
+    whole = sorted(map(key, jaccard.similar_groups(docs, 5, jaccard.Threshold(80, 100), few=1).collect()))
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 3)
+    monkeypatch.setattr(jaccard, "CELLS", 1)
+    assert sorted(map(key, jaccard.similar_groups(docs, 5, jaccard.Threshold(80, 100), few=1).collect())) == whole
+
+
 def test_jaccard_finds_links_in_a_large_near_group(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
@@ -206,6 +224,13 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     assert {r.query_id for r in got} == {0, 20, 40}
 
 
+def test_top_k_with_repeated_ids(spark):
+    rows = [(0, [2, 0]), (0, [1, 0]), (1, [5, 1]), (1, [5, 1]), (2, [3, 9]), (None, [9, 9])]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(4)
+    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id in (0, 2)"), 4).collect())
+    assert got == [(0, 1, 1, 5), (0, 2, 1, 5), (0, 3, 2, 3), (2, 1, 1, 24), (2, 2, 1, 24), (2, 3, 0, 6), (2, 4, 0, 3)]
+
+
 def test_quality_learns_and_scores_every_row(spark, docs, sf_dir):
     labels = spark.createDataFrame([(1, 1), (3, 0), (6, 0), (7, None)], "doc_id long, label int")
     rows = quality.quality_scores(docs, labels).collect()
@@ -217,6 +242,84 @@ def test_quality_learns_and_scores_every_row(spark, docs, sf_dir):
     assert ((model.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.9
 
 
+def test_quality_score_is_the_sum_of_its_tables(spark, sf_dir):
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit_on_texts(texts, labels)
+    assert any(t.any() for t in model.tables)
+    rows = quality.feature_table(texts).collect()
+    scores = dict(quality.score_table(quality.feature_table(texts), model).collect())
+    for r in rows:
+        bins = [sum(v >= edge for edge in edges) for v, edges in zip(r.x, model.edges)]
+        margin = model.intercept + sum(t[b] for t, b in zip(model.tables, bins))
+        margin += sum(t[model.coarse[i][bins[i]], model.coarse[j][bins[j]]] for (i, j), t in zip(model.pairs, model.pair_tables))
+        assert scores[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, margin)))))
+
+
+def test_held_out_quality_labels_are_not_learnt(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    outside = quality.held_out(F.col("doc_id"), 5, 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    assert labels.where(outside).count() > 5
+    turned = F.when(outside, 1 - F.col("quality")).otherwise(F.col("quality"))
+    labels.withColumn("quality", turned).write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda d: sorted(tuple(r) for r in QUERIES["op7_quality_classifier"](spark, d).collect())
+    rows = key(sf_dir)
+    assert key(str(tmp_path)) == rows
+    assert all(held == (zlib.crc32(str(i).encode()) % 5 == 0) for i, held, *_ in rows)
+
+
+def _factors(table):
+    """Good-Turing factors of counts 1..5 from the numbers of types, 1 where they are not sound."""
+    n = [0, *(sum(c == r for c in table.values()) for r in range(1, 7))]
+    common = 6 * n[6] / n[1] if n[1] else 1
+    out = {}
+    for r in range(1, 6):
+        f = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 1
+        out[r] = f if 0 < f <= 1 else 1
+    return out
+
+
+def test_katz_scores_are_those_of_a_plain_model(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    lower = {c: c + 32 for c in range(65, 91)}
+    docs = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
+    one, two = Counter(), Counter()
+    for i, words in docs.items():
+        if not held[i]:
+            one.update(words)
+            two.update(zip(["", *words], words))
+    n, f1, f2 = sum(one.values()), _factors(one), _factors(two)
+    seen = sum(c * f1.get(c, 1) for c in one.values())
+    unknown = max(n - seen, 1)
+    p1 = lambda w: one[w] * f1.get(one[w], 1) / (seen + unknown) if one[w] else unknown / (seen + unknown)
+    total, mass, covered = Counter(), Counter(), Counter()
+    for (h, w), c in two.items():
+        total[h] += c
+        mass[h] += c * f2.get(c, 1)
+        covered[h] += p1(w)
+
+    def p2(h, w):
+        if not total[h]:
+            return p1(w)
+        whole = total[h] + 1 if total[h] - mass[h] < 1e-9 else total[h]
+        if two[h, w]:
+            return two[h, w] * f2.get(two[h, w], 1) / whole
+        return (whole - mass[h]) / whole / (1 - covered[h]) * p1(w)
+
+    got = QUERIES["op8_katz_lm"](spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        words = docs[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(words), n)
+        assert r.n_known == sum(one[w] > 0 for w in words)
+        assert r.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in words))
+        assert r.score == pytest.approx(sum(math.log10(p2(h, w)) for h, w in zip(["", *words], words)))
+    outside = [r for r in got if r.held_out]
+    assert sum(r.score for r in outside) > sum(r.base_score for r in outside)
+
+
 def test_katz_contexts_sum_to_one():
     rng = np.random.default_rng(4)
     counts = rng.zipf(1.5, 200).clip(0, 50)
@@ -268,6 +371,28 @@ def test_pieces_match_and_come_back(docs):
     assert back == sorted((d or 0, t or "") for d, t, _ in ROWS)
 
 
+def test_piece_digests_are_those_of_the_library(spark, sf_dir):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, "  two  spaces "), (-4, "▁marked ▁ text"), (-5, "tab\t\r\n 漢字 😀"), (-6, "word " * 20_000)]
+    docs = rows.union(spark.createDataFrame(odd, rows.schema))
+    texts = dict(docs.collect())
+    for r in pieces.digests(docs, P.path("piece_bpe_32k.model")).collect():
+        ids = np.array(library.encode(texts[r.doc_id] or ""), dtype="<u4")
+        assert (r.n_tokens, r.ids_crc32, r.parity, r.round_trip) == (len(ids), zlib.crc32(ids.tobytes()), True, True)
+
+
+def test_piece_flags_tell_of_faults(monkeypatch):
+    encoder = pieces.PieceEncoder(P.path("piece_bpe_32k.model"))
+    decode, encode = encoder.decode, encoder.encode
+    monkeypatch.setattr(encoder, "decode", lambda ids: [t.replace("three", "four") for t in decode(ids)])
+    monkeypatch.setattr(encoder, "encode", lambda texts: [x[:-1] if "end" in t else x for x, t in zip(encode(texts), texts)])
+    got = [(parity, back) for _, parity, back in encoder(["one two", "three", "the end"])]
+    assert got == [(True, True), (True, False), (False, False)]
+
+
 @pytest.mark.parametrize("slice_rows", [2, 2000])
 def test_fingerprints(docs, slice_rows):
     rows = fingerprints.edited_with_next(docs, slice_rows).collect()
@@ -283,6 +408,44 @@ def test_fingerprints(docs, slice_rows):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
 
 
+def _fingerprint(text):
+    """Sums over the paragraphs of bits and parts of their digests."""
+    x = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed=seed)
+    lanes = [0] * (64 + 4 + 1)
+    for p in re.split(r"\n+|(?<=[.!?])\s+", text, flags=re.ASCII):
+        if p:
+            a, b, c = (x(p.encode()), *(x(p.encode(), x(name)) for name in (b"b", b"c")))
+            for i in range(64):
+                lanes[i] += a >> i & 1
+            for i, part in enumerate((b & 0xFFFFFFFF, b >> 32, c & 0xFFFFFFFF, c >> 32)):
+                lanes[64 + i] += part
+            lanes[68] += 1
+    return [v % 2**32 for v in lanes]
+
+
+def _likeness(a, b):
+    if a == b:
+        return 1.0
+    u, v = ([2 * x - f[68] for x in f[:64]] for f in (a, b))
+    size = math.sqrt(sum(x * x for x in u) * sum(x * x for x in v))
+    return min(1.0, max(0.0, sum(x * y for x, y in zip(u, v)) / size)) if size else 0.0
+
+
+def test_fingerprints_are_sums_of_paragraphs(spark, sf_dir):
+    rows = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect(), reverse=True)
+    texts = [t or "" for _, t in rows]
+    got = {r.doc_id: r for r in QUERIES["op10_fingerprints"](spark, sf_dir).collect()}
+    spell = lambda f: "".join(f"{v:08x}" for v in f)
+    for k, (doc_id, _) in enumerate(rows):
+        text, after = texts[k], texts[(k + 1) % len(texts)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, other, following = _fingerprint(text), _fingerprint(edited), _fingerprint(after)
+        r = got[doc_id]
+        assert (r.fingerprint, r.edited_fingerprint) == (spell(own), spell(other))
+        assert r.near_edited == pytest.approx(_likeness(own, other)) and r.near_next == pytest.approx(_likeness(own, following))
+
+
 def test_fingerprint_vectors_add_and_subtract(spark):
     one = spark.range(1).select(
         F.array(F.lit(4294967295), F.lit(1)).alias("a"), F.array(F.lit(2), F.lit(3)).alias("b")
