@@ -231,6 +231,16 @@ def test_top_k_with_repeated_ids(spark):
     assert got == [(0, 1, 1, 5), (0, 2, 1, 5), (0, 3, 2, 3), (2, 1, 1, 24), (2, 2, 1, 24), (2, 3, 0, 6), (2, 4, 0, 3)]
 
 
+def test_top_k_ranks_the_pairs_of_every_query_row(spark):
+    rows = [(0, [2, 0]), (0, [1, 0]), (0, [1, 0]), (1, [5, 1]), (1, [5, 1]), (2, [3, 9]), (3, [0, 0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(4)
+    for k in (3, 9, 30):
+        pairs = [(-sum(a * b for a, b in zip(q, c)), i) for n, q in rows if n == 0 for i, c in rows if i != 0]
+        want = [(0, rank, i, -score) for rank, (score, i) in enumerate(sorted(pairs)[:k], 1)]
+        found = topk.top_k(vectors, vectors.where("vec_id = 0"), k, query_block=1, vector_block=2, every_row=True)
+        assert sorted(tuple(r) for r in found.collect()) == want
+
+
 def test_quality_learns_and_scores_every_row(spark, docs, sf_dir):
     labels = spark.createDataFrame([(1, 1), (3, 0), (6, 0), (7, None)], "doc_id long, label int")
     rows = quality.quality_scores(docs, labels).collect()
