@@ -313,3 +313,24 @@ def test_topic_queries_fit_in_full(monkeypatch):
     monkeypatch.setattr(L, "lda_fit", lambda counts, topics=12, iterations=30: seen.append(iterations))
     catalog._topic_model(None, "")
     assert seen == [30]
+
+
+def test_inference_of_rows_of_all_sizes_is_that_of_each_row():
+    rng = np.random.default_rng(3)
+    terms = L._expected(rng.gamma(100.0, 0.01, (5, 400)))
+    sizes = np.concatenate([[0, 1, 300, 0], rng.integers(1, 120, 60)])
+    columns = np.concatenate([np.sort(rng.choice(400, n, replace=False)) for n in sizes]).astype(np.int64)
+    rows = L.SparseRows(np.repeat(np.arange(len(sizes)), sizes), columns, rng.integers(1, 9, len(columns)).astype(float), (len(sizes), 400))
+    assert any(len(set(sizes[group])) > 1 for group in L._alike(sizes))
+    gamma, share, theta = L.infer(rows, terms, 0.2)
+    for i, n in enumerate(sizes):
+        own = rows.rows == i
+        factor, values, want = terms.T[columns[own]], rows.values[own], np.full(5, 1.0 if n else 0.2)
+        for _ in range(L.STEPS if n else 0):
+            weight = np.exp(L.digamma(want) - L.digamma(np.array([want.sum()])))
+            new = 0.2 + weight * (values / (factor @ weight)) @ factor
+            want, change = new, np.abs(new - want).mean()
+            if change < L.CHANGE:
+                break
+        np.testing.assert_allclose(gamma[i], want, rtol=1e-9)
+        np.testing.assert_allclose(share[own], values / (factor @ theta[i]), rtol=1e-9)
