@@ -15,8 +15,8 @@ from quillsift.functions.arrays import softmax
 from quillsift.functions.columns import LABELS, full_text
 from quillsift.operators import classify as M
 from quillsift.operators import evaluate as E
+from quillsift.operators import boosting, linear
 from quillsift.operators import features as V
-from quillsift.operators import linear
 from quillsift.operators import search as S
 from quillsift.operators.boosting import Binned, Forest, fit_trees, grow
 from quillsift.operators.linear import LinearScores
@@ -482,3 +482,25 @@ def test_queries_fit_in_full(spark, monkeypatch, name, fits):
     monkeypatch.setattr(catalog, "_vectors", lambda spark, sf_dir: (MagicMock(), MagicMock()))
     QUERIES[name](spark, "")
     assert seen == fits
+
+
+def test_leaves_keep_only_the_slots_where_a_cut_is_possible():
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((120, 30)) < rng.uniform(0.02, 0.6, 30), rng.random((120, 30)), 0.0)
+    x[:, 3] = np.where(rng.random(120) < 0.4, 1.0, 0.0)
+    x[:, 7] = x[:, 3]  # equal cuts: the first is taken
+    at = np.nonzero(x)
+    data = Binned.of(linear.SparseRows(at[0], at[1], x[at], x.shape), 16, 5)
+    g, h = rng.normal(size=120) + 3.0 * (x[:, 3] > 0), np.full(120, 0.25)
+    leaf = boosting._Leaf(np.arange(120), np.arange(len(data.feature)), boosting._all_sums(data, g, h))
+    boosting._best_cut(data, leaf, g, h, 20, 1e-3)
+    right = [np.unique(data.rows[(data.slots >= s) & (data.slots < data.end[s])]) for s in range(len(data.feature))]
+    fits = [s for s, rows in enumerate(right) if 20 <= len(rows) <= 100]
+    gains = {s: g[r].sum() ** 2 / h[r].sum() + (g.sum() - g[r].sum()) ** 2 / (h.sum() - h[r].sum()) for s, r in enumerate(right) if s in fits}
+    assert set(fits) <= set(leaf.slots.tolist()) and len(leaf.slots) < len(data.feature)
+    assert gains[leaf.slot] >= max(gains.values()) * (1 - 1e-9) and data.feature[leaf.slot] == 3
+    part = np.flatnonzero(x[:, 3] > 0)
+    places, sums = boosting._sums(data, part, leaf.slots, g, h)
+    for s, own in zip(leaf.slots[places], sums.T):
+        rows = np.intersect1d(right[s], part)
+        np.testing.assert_allclose(own, [g[rows].sum(), h[rows].sum(), len(rows)], atol=1e-9)
