@@ -31,6 +31,9 @@ from quillsift.llm.shingles import mixed, shingle_sets
 #: Bits of the parity sketch and of the presence bitmap of wanted documents (1 MB); both of fixed size.
 SKETCH_BITS, PRESENCE_BITS = 512, 1 << 23
 
+#: Bits of the bitmap of n-grams that may be common (4 MB), and the most n-grams that a task counts at once.
+COMMON_BITS, TOGETHER = 1 << 25, 4_000_000
+
 
 @dataclass(frozen=True)
 class Threshold:
@@ -128,19 +131,69 @@ def _nodes(docs: DataFrame, n: int, salt: int) -> DataFrame:
     return _per_set(docs, n, make, "doc_id long, n long, node long, more long")
 
 
-def _common(docs: DataFrame, rows: int, n: int, sample: int, least: int, most: int) -> np.ndarray:
-    """N-grams in at least ``least`` documents of a sample. Any answer is right: it only sets the order."""
-    step = max(1, rows // sample)
+def _often(sets: list[np.ndarray], share: float) -> np.ndarray:
+    """The n-grams in at least ``share`` of some sets, at least one; in random order, as digests are."""
+    grams, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+    return grams[counts >= share * len(sets) * (1 - 1e-9)]
+
+
+def _common(docs: DataFrame, rows: int, n: int, share: float, least: int, most: int) -> np.ndarray:
+    """N-grams in at least ``least`` documents and ``share`` of all, the most frequent ones, by exact counts.
+
+    What has the share of all documents has it of some stretch of documents too, so a first pass marks the n-grams
+    that are that frequent in any stretch, and only marked ones are counted.
+    """
+    need = max(least, share * rows)
+    part = need / max(1, rows)
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(COMMON_BITS, dtype=bool)
+        held, some, size, wide = [], [], 0, int(4 / part)
+
+        def mark(sets: list[np.ndarray]) -> None:
+            if sets:
+                marked[_often(sets, part) % np.uint64(COMMON_BITS)] = True
+
+        for batch in batches:
+            texts = batch_texts(batch.column(1))
+            for at, to in slices(map(len, texts), 1_000_000):
+                for own in shingle_sets(texts[at:to], n):
+                    some.append(own)
+                    size += len(own)
+                    if size >= TOGETHER or len(some) >= wide:
+                        mark(held)
+                        held, some, size = some, [], 0
+        # In a short stretch every n-gram is frequent, so the rest joins the stretch before it.
+        mark(held + some)
+        places = np.flatnonzero(marked.reshape(-1, 32768).any(axis=1))
+        bits = [np.packbits(marked[i * 32768 : (i + 1) * 32768]).tobytes() for i in places]
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(bits, pa.binary())], names=["part", "bits"])
+
+    # A row per part of the bitmap, whatever the number of tasks.
+    parts = docs.mapInArrow(tidied(stretches), "part int, bits binary").groupBy("part").applyInArrow(_either, "part int, bits binary")
+    marks = np.zeros(COMMON_BITS // 8, dtype=np.uint8)
+    for row in parts.collect():
+        marks[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
 
     def make(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_signed(np.concatenate([np.empty(0, np.uint64), *sets]))], names=["gram"])
+        grams, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+        bit = grams % np.uint64(COMMON_BITS)
+        known = (marks[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 > 0
+        return pa.RecordBatch.from_arrays([_signed(grams[known]), pa.array(counts[known], pa.int64())], names=["gram", "n"])
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    counts = _per_set(chosen, n, make, "gram long").groupBy("gram").count().where(F.col("count") >= least)
+    counts = _per_set(docs, n, make, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("count")).where(F.col("count") >= need)
     found = counts.orderBy(F.desc("count"), "gram").limit(most).select("gram").toArrow().column(0)
     return np.sort(found.to_numpy().view(np.uint64))
 
 
+def _either(table: pa.Table) -> pa.Table:
+    """One part of a bitmap from those of all tasks."""
+    bits = np.zeros(4096, dtype=np.uint8)
+    for own in table.column("bits").to_pylist():
+        bits |= np.frombuffer(own, dtype=np.uint8)
+    return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
 def _keyed(docs: DataFrame, n: int, salt: int, threshold: Threshold, common: np.ndarray) -> DataFrame:
     def make(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [s for s in sets if len(s)]
@@ -336,8 +389,8 @@ def similar_groups(
     few: int = 64,
     block: int = 512,
     fragments: int = 8,
-    sample: int = 4000,
-    sample_least: int = 3,
+    common_share: float = 3 / 4000,
+    common_least: int = 3,
     most_common: int = 500_000,
     rounds: int = 3,
     id_col: str = "doc_id",
@@ -351,7 +404,8 @@ def similar_groups(
     from the start, so copies never meet as pairs. Rows of one id are separate sets with that id; a null
     id takes part but is never the smallest. Other columns are not read; an empty table gives no rows.
 
-    ``sample`` documents give the common n-grams, which only decide the order and so not the result.
+    N-grams in ``common_share`` of all rows (``common_least`` at least) are put last in the order, ``most_common`` at
+    most; they decide the order alone and so not the result.
     """
     docs = own_columns(docs, id_col, text_col)
     for salt in range(8):
@@ -363,7 +417,7 @@ def similar_groups(
             break
     else:
         raise RuntimeError("set digests collide under every salt")
-    common = _common(docs, rows.count(), n, sample, sample_least, most_common)
+    common = _common(docs, rows.count(), n, common_share, common_least, most_common)
     keyed = cut_lineage(_keyed(docs, n, salt, threshold, common))
     shared = cut_lineage(
         keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")

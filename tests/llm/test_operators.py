@@ -480,3 +480,17 @@ def test_empty_tables(spark, docs):
         topk.top_k(none.selectExpr("doc_id as vec_id", "array(1L) as vector"), none.selectExpr("doc_id as vec_id", "array(1L) as vector")),
     ):
         assert frame.collect() == []
+
+
+def test_common_ngrams_are_counted_in_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TOGETHER", 40)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.geometric(0.25, 30), 12)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = jaccard.shingle_sets(texts, 2)
+    grams, counts = np.unique(np.concatenate(sets), return_counts=True)
+    for share, least, most in ((0.1, 3, 1000), (0.001, 3, 1000), (0.3, 3, 1000), (0.01, 3, 5)):
+        need = max(least, share * len(texts))
+        kept = sorted(((-c, int(np.uint64(g).astype(np.int64)), g) for g, c in zip(grams, counts) if c >= need))[:most]
+        got = jaccard._common(docs, len(texts), 2, share, least, most)
+        assert len(kept) and got.tolist() == sorted(int(g) for *_, g in kept)
