@@ -13,12 +13,16 @@ from quillsift.sources.tables import reviews
 from quillsift.streaming import streams as S
 
 
+BATCHES = 4
+
+
 def _arrivals(spark, sf_dir):
-    """The reviews as JSON files, read as a stream of several batches."""
+    """The reviews as JSON files, read as a stream of ``BATCHES`` batches, whose files grow in number with the table."""
     path = scratch_path(spark, "arrivals")
     raw = reviews(spark, sf_dir).withColumnRenamed("ts_ms", "timestamp")
-    raw.repartition(4, "review_id").write.json(path)
-    return S.stream_reviews(spark, path, files_per_batch=1)
+    files = max(1, -(-raw.rdd.getNumPartitions() // BATCHES))
+    raw.repartition(BATCHES * files, "review_id").write.json(path)
+    return S.stream_reviews(spark, path, files_per_batch=files)
 
 
 @query(

@@ -81,3 +81,16 @@ def test_trend_with_a_watermark(spark, sf_dir, arrivals):
     run.awaitTermination()
     table = S.latest_trend(spark, path, S.last_batch(run))
     assert table.agg(F.sum("count")).head()[0] == reviews(spark, sf_dir).count()
+
+
+def test_the_files_of_a_batch_grow_in_number_with_the_table(spark, sf_dir, monkeypatch):
+    from quillsift.plans.catalog import streams as catalog
+
+    whole = catalog.reviews(spark, sf_dir)
+    monkeypatch.setattr(catalog, "reviews", lambda *_: whole.repartition(10))
+    written = []
+    monkeypatch.setattr(catalog.S, "stream_reviews", lambda _, path, files_per_batch: written.append((path, files_per_batch)))
+    catalog._arrivals(spark, sf_dir)
+    path, files = written[0]
+    assert files == 3 and spark.read.json(path).count() == whole.count()
+    assert len(spark.read.text(path).inputFiles()) == catalog.BATCHES * files
