@@ -144,11 +144,20 @@ def _common(docs: DataFrame, rows: int, n: int, share: float, least: int, most:
     that are that frequent in any stretch, and only marked ones are counted.
     """
     need = max(least, share * rows)
-    part = need / max(1, rows)
+    counts = _counts_of_marked(docs, rows, n, need / max(1, rows)).groupBy("gram").agg(F.sum("n").alias("count"))
+    found = counts.where(F.col("count") >= need).orderBy(F.desc("count"), "gram").limit(most).select("gram").toArrow().column(0)
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
+def _counts_of_marked(docs: DataFrame, rows: int, n: int, part: float) -> DataFrame:
+    """(gram, n): counts, by parts of tasks, of at least the n-grams that have the share ``part`` of some stretch."""
+    wide = int(4 / part)
+    # In fewer documents than a stretch every n-gram has the share, so tasks with few documents are joined.
+    docs = docs.coalesce(max(1, rows // max(1, wide)))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.zeros(COMMON_BITS, dtype=bool)
-        held, some, size, wide = [], [], 0, int(4 / part)
+        held, some, size = [], [], 0
 
         def mark(sets: list[np.ndarray]) -> None:
             if sets:
@@ -175,15 +184,27 @@ def _common(docs: DataFrame, rows: int, n: int, share: float, least: int, most:
     for row in parts.collect():
         marks[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
 
-    def make(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        grams, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-        bit = grams % np.uint64(COMMON_BITS)
-        known = (marks[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 > 0
-        return pa.RecordBatch.from_arrays([_signed(grams[known]), pa.array(counts[known], pa.int64())], names=["gram", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    counts = _per_set(docs, n, make, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("count")).where(F.col("count") >= need)
-    found = counts.orderBy(F.desc("count"), "gram").limit(most).select("gram").toArrow().column(0)
-    return np.sort(found.to_numpy().view(np.uint64))
+        def counted() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([_signed(grams), pa.array(counts, pa.int64())], names=["gram", "n"])
+
+        for batch in batches:
+            texts = batch_texts(batch.column(1))
+            for at, to in slices(map(len, texts), 1_000_000):
+                grams = np.concatenate([np.empty(0, np.uint64), *shingle_sets(texts[at:to], n)])
+                bit = grams % np.uint64(COMMON_BITS)
+                known = (marks[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 > 0
+                held.append(grams[known])
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    yield counted()
+                    held, size = [], 0
+        yield counted()
+
+    return docs.mapInArrow(tidied(count), "gram long, n long")
 
 
 def _either(table: pa.Table) -> pa.Table:

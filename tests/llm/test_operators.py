@@ -494,3 +494,14 @@ def test_common_ngrams_are_counted_in_all_documents(spark, monkeypatch):
         kept = sorted(((-c, int(np.uint64(g).astype(np.int64)), g) for g, c in zip(grams, counts) if c >= need))[:most]
         got = jaccard._common(docs, len(texts), 2, share, least, most)
         assert len(kept) and got.tolist() == sorted(int(g) for *_, g in kept)
+
+
+def test_jaccard_marks_few_ngrams_in_small_tasks(spark):
+    """A task with few documents must not mark all its n-grams as frequent, or all of them are counted."""
+    texts = [f"common words here {' '.join(f'w{i}x{j}' for j in range(30))}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(100)
+    need = 0.1
+    counts = jaccard._counts_of_marked(docs, len(texts), 3, need)
+    assert counts.count() < 100
+    common = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= need * len(texts)).collect()
+    assert [r.n for r in common] == [400]
