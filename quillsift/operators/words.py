@@ -1,4 +1,4 @@
-"""Word and bigram frequencies. Words are counted within each task before they are shuffled."""
+"""Word and bigram frequencies. Words are counted within slices of each task before they are shuffled."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from quillsift.functions.text import ENGLISH_STOP_WORDS, bigrams, tokenize_words, without, words
 from quillsift.operators.quality import percentiles_of_counts, value_counts
+from quillsift.operators.tallies import term_tallies
 
 
 def _counted(df: DataFrame, items: Column, name: str, by: list[str]) -> DataFrame:
-    return df.select(*by, F.explode(items).alias(name)).groupBy(*by, name).agg(F.count("*").alias("count"))
+    """Counts of the items, for each value of the column in ``by`` if there is one."""
+    counted = term_tallies(df, items, df.count(), *map(F.col, by))
+    return counted.select(*[F.col("name").cast(df.schema[c].dataType).alias(c) for c in by], F.col("term").alias(name), F.col("n").alias("count"))
 
 
 def _top(counted: DataFrame, name: str, n: int, by: list[str]) -> DataFrame:
