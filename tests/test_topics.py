@@ -334,3 +334,41 @@ def test_inference_of_rows_of_all_sizes_is_that_of_each_row():
                 break
         np.testing.assert_allclose(gamma[i], want, rtol=1e-9)
         np.testing.assert_allclose(share[own], values / (factor @ theta[i]), rtol=1e-9)
+
+
+def test_only_vectors_that_are_not_dense_are_compared_with_dense_ones(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(60, 3)) * 0.05 + 3.0 * k for k in range(3)] + [rng.uniform(-9, 9, size=(20, 3))])
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "review_id long, vec array<double>")
+    real, compared = B._nearest, []
+
+    def counted(points, *rest):
+        compared.append(points.count())
+        return real(points, *rest)
+
+    monkeypatch.setattr(B, "_nearest", counted)
+    found = B.density_topics(rows, radius=0.3, min_points=5, min_topic_size=20, centres=4)
+    topics = {r["review_id"]: r["topic"] for r in found.assign(rows).collect()}
+    near = np.linalg.norm(points[:, None] - points, axis=2) <= 0.3
+    dense = near.sum(axis=1) >= 5
+    assert compared == [(~dense).sum()] * 2
+    assert all((topics[i] >= 0) == (near[i] & dense).any() for i in range(len(points)))
+    assert len({topics[i] for i in range(180)} - {B.OUTLIER}) == 3
+
+
+def test_a_block_meets_others_without_being_copied_for_both_sides(spark):
+    """The pairs of blocks are dealt once, by the second block."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.createDataFrame([(i, 1, [float(i % 7), 0.0]) for i in range(50)], B._POINT)
+        pivots = np.array([[0.0, 0.0], [5.0, 0.0]])
+        met = B._compared(rows, B._blocks(rows, pivots), pivots, 1.0, B._weigh(1.0), "_id long, n long")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4  # sizes of cells, packing, pairs by block, the blocks themselves
+        assert {r["_id"]: r["n"] for r in met.groupBy("_id").agg(F.sum("n").alias("n")).collect()} == {
+            i: sum(abs(i % 7 - j % 7) <= 1 for j in range(50)) for i in range(50)
+        }
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
