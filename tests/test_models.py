@@ -6,6 +6,7 @@ from functools import partial
 from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
@@ -20,14 +21,14 @@ from quillsift.operators import features as V
 from quillsift.operators import search as S
 from quillsift.operators.boosting import Binned, Forest, fit_trees, grow
 from quillsift.operators.linear import LinearScores
-from quillsift.operators.sampling import stratified_kfold
+from quillsift.operators.sampling import stratified_kfold, stratified_split
 from quillsift.plans.catalog import models as catalog
 from quillsift.plans.catalog.models import _dataset, keyword_model
-from quillsift.plans.enrich import fit_topics, score_and_topic
+from quillsift.plans.enrich import fit_topics, prepare, score_and_topic
 from quillsift.plans.registry import QUERIES
 from quillsift.session import scratch_path
 from quillsift.sources.sinks import sink_metrics_json
-from quillsift.sources.tables import reviews, scored_reviews
+from quillsift.sources.tables import reviews, scored_reviews, timed_reviews
 
 
 @pytest.fixture(scope="module")
@@ -504,3 +505,56 @@ def test_leaves_keep_only_the_slots_where_a_cut_is_possible():
     for s, own in zip(leaf.slots[places], sums.T):
         rows = np.intersect1d(right[s], part)
         np.testing.assert_allclose(own, [g[rows].sum(), h[rows].sum(), len(rows)], atol=1e-9)
+
+
+def test_counts_of_batches_are_those_of_all_rows():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(-5, 5, rng.integers(0, 9)).tolist() for _ in range(1200)]
+    words = [len(t) // 2 for t in texts]
+
+    def batch(lo, hi):
+        lists = pa.array(texts[lo:hi], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(words[lo:hi], pa.int32()), lists, pa.array([1.0] * (hi - lo))], names=["n_words", "terms", "label"])
+
+    for ngrams in (1, 2):
+        counts, (labels,) = S._whole(iter([batch(0, 700), batch(0, 0), batch(700, 1200)]), ngrams, "label")
+        got = {}
+        for r, c, v in zip(counts.rows.rows.tolist(), counts.terms[counts.rows.columns].tolist(), counts.rows.values):
+            assert (r, c) not in got
+            got[r, c] = v
+        seen = [t[:w] if ngrams == 1 else t for t, w in zip(texts, words)]
+        assert got == {(i, t): own.count(t) for i, own in enumerate(seen) for t in own} and len(labels) == 1200
+        order = counts.rows.rows.astype(np.int64) * len(counts.terms) + counts.rows.columns
+        assert (np.diff(order) > 0).all()
+
+
+def test_search_deals_no_copies_of_its_rows(spark, monkeypatch):
+    """A fit of the search scans the stored rows; they are not sent to every setting and fold."""
+    texts = spark.createDataFrame([(f"good mug {i % 3}", float(i % 3), i % 2) for i in range(30)], "clean_text string, label double, fold int")
+    plans, real = [], S.cut_lineage
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(S, "cut_lineage", cut)
+    assert S.random_search(texts, draws=2, folds=2).count() == 2
+    assert "Generate" not in plans[-1] and plans[-1].count("MapInArrow") == 4
+
+
+def test_dataset_stores_each_text_once(spark, sf_dir, monkeypatch):
+    paths = []
+    real = catalog.materialize
+
+    def kept(spark, path, build):
+        paths.append(path)
+        return real(spark, path, build)
+
+    monkeypatch.setattr(catalog, "materialize", kept)
+    monkeypatch.setattr(catalog, "stored_path", lambda spark, name, sf_dir: scratch_path(spark, name))
+    rows = _dataset(spark, sf_dir)
+    stored = [spark.read.parquet(path) for path in paths]
+    assert not any("full_text" in df.columns for df in stored) and sum("text" in df.columns for df in stored) == 1
+    clean = prepare(timed_reviews(spark, sf_dir))
+    whole = {(r["review_id"], r["full_text"], r["split"]) for r in stratified_split(clean).select("review_id", "full_text", "split").collect()}
+    assert {(r["review_id"], r["full_text"], r["split"]) for r in rows.collect()} == whole
