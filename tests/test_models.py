@@ -2,6 +2,7 @@
 
 import inspect
 import json
+import threading
 from functools import partial
 from unittest.mock import MagicMock
 
@@ -558,3 +559,20 @@ def test_dataset_stores_each_text_once(spark, sf_dir, monkeypatch):
     clean = prepare(timed_reviews(spark, sf_dir))
     whole = {(r["review_id"], r["full_text"], r["split"]) for r in stratified_split(clean).select("review_id", "full_text", "split").collect()}
     assert {(r["review_id"], r["full_text"], r["split"]) for r in rows.collect()} == whole
+
+
+def test_trees_are_fitted_beside_the_other_models(spark, monkeypatch):
+    met = threading.Barrier(2)
+
+    def model(spark, sf_dir, name):
+        if name in ("train_boosted_trees", "train_logreg"):
+            met.wait(20)
+        return name, None
+
+    monkeypatch.setattr(catalog, "_model", model)
+    monkeypatch.setattr(catalog, "_vectors", lambda spark, sf_dir: (None, "test"))
+    monkeypatch.setattr(catalog, "materialize", lambda spark, path, build: build())
+    monkeypatch.setattr(catalog, "predictions", lambda models, test, *more: (models, test, more))
+    monkeypatch.setattr(catalog, "assess", lambda *args: {})
+    stacked, _ = catalog._assessed(spark, "")
+    assert stacked == ({name: name for name in catalog.FITS}, "test", ("rating",)) and list(stacked[0]) == list(catalog.FITS)
