@@ -576,3 +576,21 @@ def test_trees_are_fitted_beside_the_other_models(spark, monkeypatch):
     monkeypatch.setattr(catalog, "assess", lambda *args: {})
     stacked, _ = catalog._assessed(spark, "")
     assert stacked == ({name: name for name in catalog.FITS}, "test", ("rating",)) and list(stacked[0]) == list(catalog.FITS)
+
+
+def test_topics_are_fitted_beside_the_classifier(spark, monkeypatch):
+    met, prepared = threading.Barrier(2), []
+
+    def store(spark, path, fit):
+        fit()
+        met.wait(20)
+        return path
+
+    monkeypatch.setattr(catalog, "model_store", store)
+    monkeypatch.setattr(catalog, "stored_path", lambda spark, name, sf_dir: name)
+    monkeypatch.setattr(M, "end_to_end_model", MagicMock())
+    monkeypatch.setattr(catalog, "cut_lineage", lambda df: prepared.append(df) or df)
+    for part in ("fit_topics", "prepare", "timed_reviews", "spread"):
+        monkeypatch.setattr(catalog, part, MagicMock())
+    monkeypatch.setattr(catalog, "TopicModel", MagicMock(of=lambda stored: stored))
+    assert catalog._fitted(spark, "")[1] == "topics" and len(prepared) == 1
