@@ -231,6 +231,52 @@ def test_fits_take_a_bounded_part_of_many_rows(spark):
     assert linear.at_most(same, F.lit(1), rows=100).count() <= 100
 
 
+def test_linear_fits_take_all_rows_beyond_the_bounds_of_a_task(spark, monkeypatch):
+    """The same coefficients as in one task, whatever rows do not fit there; null labels, null folds and empty rows among them."""
+    _, _, frame = _rows(spark, n=150, width=5, seed=5)
+    odd = spark.createDataFrame([(None, Vectors.dense([1.0] * 5)), (1.0, Vectors.sparse(5, {})), (2.0, Vectors.dense([0.5] * 5))], frame.schema)
+    frame = frame.union(odd).withColumn("fold", F.nullif(F.pmod(F.xxhash64("features"), F.lit(4)), F.lit(3)).cast("int")).coalesce(2).persist()
+    fits = [partial(train, tolerance=1e-6) for train in (M.train_logreg, M.train_linear_svc, M.calibrate_sigmoid)]
+    want = [fit(frame).stages[0] for fit in fits]
+    monkeypatch.setattr(linear, "MAX_ROWS", 50)
+    for fit, one in zip(fits, want):
+        got = fit(frame).stages[0]
+        assert got.weights == pytest.approx(one.weights, abs=1e-3)
+        for part in ("slopes", "offsets"):
+            assert got.getOrDefault(part) == pytest.approx(one.getOrDefault(part), abs=1e-3)
+
+
+def test_sums_over_blocks_take_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(linear, "FAN", 2)
+    _, y, frame = _rows(spark, n=60)
+    parts = F.unwrap_udt("features")
+    rows = frame.repartition(7).select("label", parts["size"].alias("size"), parts["indices"].alias("indices"), parts["values"].alias("values"))
+    with linear.Blocks.of(rows, 12) as blocks:
+        got = blocks.sums(3, lambda block: np.bincount(block.labels, minlength=3).astype(float))
+    assert got.tolist() == np.bincount(y, minlength=3).tolist()
+    assert not linear.in_bounds(rows, F.lit(linear.MAX_ENTRIES)) and linear.in_bounds(rows, F.lit(1))
+
+
+def test_blocks_keep_every_row():
+    sizes = np.array([0, 3, 0, 5, 1, 0])
+    rows = linear.SparseRows(np.repeat(np.arange(6), sizes), np.arange(9), np.arange(9.0), (6, 9))
+    many = linear.BLOCK_ENTRIES
+    linear.BLOCK_ENTRIES = 4
+    try:
+        packed = linear.pack(rows, np.arange(6), np.arange(6) - 1).to_pylist()
+    finally:
+        linear.BLOCK_ENTRIES = many
+    blocks = [linear.Block.of(tuple(row.values()), 9) for row in packed]
+    assert len(blocks) > 1 and np.concatenate([b.labels for b in blocks]).tolist() == [*range(6)]
+    assert np.concatenate([b.folds for b in blocks]).tolist() == [*range(-1, 5)]
+    w = np.arange(10.0)[:, None]
+    dense = np.zeros((6, 9))
+    dense[rows.rows, rows.columns] = rows.values
+    assert np.concatenate([b.times(w) for b in blocks]) == pytest.approx(dense @ w[:-1] + 9)
+    r = np.arange(6.0)[:, None]
+    assert sum(b.back(r[b.labels]) for b in blocks) == pytest.approx(np.concatenate([dense.T @ r, [[15.0]]]))
+
+
 def _gain(g, h):
     return g * g / h
 
