@@ -246,6 +246,28 @@ def test_linear_fits_take_all_rows_beyond_the_bounds_of_a_task(spark, monkeypatc
             assert got.getOrDefault(part) == pytest.approx(one.getOrDefault(part), abs=1e-3)
 
 
+def test_search_and_refit_take_all_rows_beyond_the_bounds_of_a_task(spark, monkeypatch):
+    """The same scores and machines as in one task; a fold that is null, a label that is null, and texts that are."""
+    rng = np.random.default_rng(11)
+    words = np.array(["mug", "lid", "bad", "good", "fine", "tea", "cup", "hot"])
+    rows = [(" ".join(rng.choice(words, 6, p=np.roll([0.3] + [0.1] * 7, i % 3))), float(i % 3), i // 3 % 2) for i in range(150)]
+    rows += [(None, 1.0, 0), ("", 2.0, 1), ("mug lid", None, 0), ("tea cup", 0.0, None)]
+    frame = spark.createDataFrame(rows, "clean_text string, label double, fold int").coalesce(2).persist()
+
+    def both():
+        results = S.random_search(frame, draws=2, folds=2)
+        return results.orderBy("draw").collect(), S.refit_best(frame, results, tolerance=1e-6).fitted
+
+    found, one = both()
+    monkeypatch.setattr(linear, "MAX_ROWS", 50)
+    again, got = both()
+    for new, want in zip(again, found):
+        assert new["cv_macro_f1"] == pytest.approx(want["cv_macro_f1"], abs=1e-9)
+    assert got.terms.tolist() == one.terms.tolist(), (len(got.terms), len(one.terms))
+    assert len(got.terms) >= 8
+    assert got.idf == pytest.approx(one.idf) and got.weights == pytest.approx(one.weights, abs=1e-3)
+
+
 def test_sums_over_blocks_take_every_row_once(spark, monkeypatch):
     monkeypatch.setattr(linear, "FAN", 2)
     _, y, frame = _rows(spark, n=60)
