@@ -238,7 +238,7 @@ def test_linear_fits_take_all_rows_beyond_the_bounds_of_a_task(spark, monkeypatc
     frame = frame.union(odd).withColumn("fold", F.nullif(F.pmod(F.xxhash64("features"), F.lit(4)), F.lit(3)).cast("int")).coalesce(2).persist()
     fits = [partial(train, tolerance=1e-6) for train in (M.train_logreg, M.train_linear_svc, M.calibrate_sigmoid)]
     want = [fit(frame).stages[0] for fit in fits]
-    monkeypatch.setattr(linear, "MAX_ROWS", 50)
+    monkeypatch.setattr(linear, "MAX_ENTRIES", 100)
     for fit, one in zip(fits, want):
         got = fit(frame).stages[0]
         assert got.weights == pytest.approx(one.weights, abs=1e-3)
@@ -259,7 +259,7 @@ def test_search_and_refit_take_all_rows_beyond_the_bounds_of_a_task(spark, monke
         return results.orderBy("draw").collect(), S.refit_best(frame, results, tolerance=1e-6).fitted
 
     found, one = both()
-    monkeypatch.setattr(linear, "MAX_ROWS", 50)
+    monkeypatch.setattr(linear, "MAX_ENTRIES", 100)
     again, got = both()
     for new, want in zip(again, found):
         assert new["cv_macro_f1"] == pytest.approx(want["cv_macro_f1"], abs=1e-9)
@@ -268,6 +268,16 @@ def test_search_and_refit_take_all_rows_beyond_the_bounds_of_a_task(spark, monke
     assert got.idf == pytest.approx(one.idf) and got.weights == pytest.approx(one.weights, abs=1e-3)
 
 
+def test_trees_take_all_rows_beyond_the_bounds_of_a_linear_fit(spark, monkeypatch):
+    x, y, frame = _rows(spark, n=200, seed=6)
+    at = np.nonzero(x)
+    rows = linear.SparseRows(at[0], at[1], x[at], x.shape)
+    monkeypatch.setattr(linear, "MAX_ENTRIES", 100)
+    model = M.train_boosted_trees(frame, trees=2).stages[0]
+    # The same rows in another order: sums differ by rounding.
+    assert Forest(model.nodes, 3).margins(rows) == pytest.approx(Forest(fit_trees(rows, y, 3, 2, 63, 0.1, 32, 20), 3).margins(rows))
+
+
 def test_sums_over_blocks_take_every_row_once(spark, monkeypatch):
     monkeypatch.setattr(linear, "FAN", 2)
     _, y, frame = _rows(spark, n=60)
